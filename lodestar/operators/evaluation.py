@@ -31,8 +31,10 @@ def _dcg(m: Column) -> Column:
 
 def ndcg_expr(n: Column, r: Column, a: Column) -> Column:
     """n documents, r relevant among them, a relevant among the first r."""
+    n, r, a = n.cast("int"), r.cast("int"), a.cast("int")
     dr, dn = _dcg(r), _dcg(n)
-    val = (a / r * dr + (r - a) / (n - r) * (dn - dr)) / dr
+    nd, rd, ad = n.cast("double"), r.cast("double"), a.cast("double")
+    val = (ad / rd * dr + (rd - ad) / (nd - rd) * (dn - dr)) / dr
     return (F.when(n <= 1, 0.0).when(r == 0, 0.0).when(r == n, 1.0).otherwise(val))
 
 
@@ -82,7 +84,7 @@ def eval_metrics(ranked_docs: DataFrame, questions: DataFrame, qrels: DataFrame,
         F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f1_10"),
         F.when(F.col("n") < k, 0.0).otherwise(F.coalesce("ap", F.lit(0.0))).alias("map10"),
         F.coalesce(1.0 / F.col("first_hit"), F.lit(0.0)).alias("mrr"),
-        ndcg_expr(n_k.cast("double"), F.col("hits").cast("double"), a.cast("double")).alias("ndcg10"))
+        ndcg_expr(n_k, F.col("hits"), a).alias("ndcg10"))
 
 
 def mrr_reported(metrics: DataFrame, run_keys: list[str] | None = None, k: int = 10,

@@ -105,13 +105,28 @@ def evaluate(inp: Inputs, res: DataFrame) -> DataFrame:
     return E.mrr_reported(m, ["ranker", "mode"])
 
 
-def experiment_grid(inp: Inputs, rankers=C.RANKERS, modes=C.QUERY_MODES) -> DataFrame:
-    """Macro metrics of every (ranker, query mode) configuration in one job."""
+def grid_runs(rankers=C.RANKERS, modes=C.QUERY_MODES) -> list[tuple[str, str]]:
+    return [(r, m) for r in rankers for m in modes]
+
+
+def grid_results(inp: Inputs, rankers=C.RANKERS, modes=C.QUERY_MODES) -> DataFrame:
+    """Nested results of every (ranker, mode) configuration, in one plan."""
     res = None
     for r in rankers:
         part = results(inp, r, modes)
         res = part if res is None else res.unionByName(part)
-    return E.macro_metrics(evaluate(inp, res), ["ranker", "mode"])
+    return res
+
+
+def experiment_grid(inp: Inputs, rankers=C.RANKERS, modes=C.QUERY_MODES) -> DataFrame:
+    """Macro metrics of every configuration: ``(run_no, ranker, mode, metrics...)``."""
+    def build():
+        macro = E.macro_metrics(evaluate(inp, grid_results(inp, rankers, modes)), ["ranker", "mode"])
+        order = F.array(*[F.struct(F.lit(r).alias("ranker"), F.lit(m).alias("mode"))
+                          for r, m in grid_runs(rankers, modes)])
+        run_no = F.array_position(order, F.struct(F.col("ranker"), F.col("mode")))
+        return macro.select(run_no.cast("int").alias("run_no"), *macro.columns)
+    return inp.memo(("grid", tuple(rankers), tuple(modes)), build)
 
 
 def question_status(inp: Inputs, clauses: DataFrame | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions.text import extract_id, tokens_bm25, tokens_tfidf, tokens_words
+from ..operators import compare as CMP
 from ..operators import evaluation as E
 from ..operators import keywords as K
 from ..operators import rerank as R
@@ -144,6 +145,47 @@ def q_extract_id(spark, d):
     return FX.urls(spark, d).select("page_id", "url", extract_id("url").alias("extracted_id"))
 
 
+def _round(df: DataFrame, cols, digits: int = 6) -> DataFrame:
+    return df.select(*[F.round(c, digits).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
+def _bm25_body_eval(spark, d):
+    inp = inputs(spark, d)
+    return inp.memo("eval_bm25_body", lambda: P.evaluate(inp, P.results(inp, "BM25", ("BODY",))))
+
+
+def q_eval_metrics(spark, d):
+    m = _bm25_body_eval(spark, d).select("id", "seq", "n_docs", *E.METRICS)
+    return _round(m, E.METRICS)
+
+
+def q_mrr_reported(spark, d):
+    m = _bm25_body_eval(spark, d).select("id", "seq", "n_docs", "mrr", "mrr_reported")
+    return _round(m, ["mrr", "mrr_reported"])
+
+
+def q_macro_metrics(spark, d):
+    m = E.macro_metrics(_bm25_body_eval(spark, d))
+    return _round(m, E.METRICS + ["mrr_true"])
+
+
+def q_experiment_grid(spark, d):
+    g = P.experiment_grid(inputs(spark, d))
+    return _round(g, E.METRICS + ["mrr_true"])
+
+
+def q_compare_configs(spark, d):
+    return CMP.compare_configs(P.experiment_grid(inputs(spark, d)))
+
+
+def q_best_config(spark, d):
+    return CMP.best_config(P.experiment_grid(inputs(spark, d)))
+
+
+def q_metric_series(spark, d):
+    return CMP.metric_series(P.experiment_grid(inputs(spark, d)))
+
+
 QUERIES = {
     "tokenize_bm25": q_tokenize_bm25,
     "tokenize_tfidf": q_tokenize_tfidf,
@@ -168,4 +210,11 @@ QUERIES = {
     "build_snippets": q_build_snippets,
     "pipeline_results": q_pipeline_results,
     "extract_id": q_extract_id,
+    "eval_metrics": q_eval_metrics,
+    "mrr_reported": q_mrr_reported,
+    "macro_metrics": q_macro_metrics,
+    "experiment_grid": q_experiment_grid,
+    "compare_configs": q_compare_configs,
+    "best_config": q_best_config,
+    "metric_series": q_metric_series,
 }

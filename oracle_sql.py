@@ -158,6 +158,104 @@ for _m in C.QUERY_MODES:
     bm25_view(_m)
 
 
+view("v_tf_post", ["v_doc_text"], f"""
+SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TOK2('text')}) AS term FROM v_doc_text) GROUP BY doc_id, term""")
+view("v_tf_n", ["v_cand"], "SELECT id, count(*) AS n_docs FROM v_cand GROUP BY id")
+view("v_tf_ct", ["v_cand", "v_tf_post"], "SELECT c.id, c.doc_id, p.term, p.tf FROM v_cand c JOIN v_tf_post p ON p.doc_id = c.doc_id")
+view("v_tf_dstat", ["v_tf_ct"], "SELECT id, term, count(*) AS df_d, sum(tf) AS tot_d FROM v_tf_ct GROUP BY id, term")
+
+
+def tfidf_view(mode: str) -> str:
+    m = _mk(mode)
+    view(f"v_tf_q_{m}", ["v_rq"], f"SELECT id, query FROM v_rq WHERE mode = '{mode}' AND query IS NOT NULL AND query <> ''")
+    view(f"v_tf_qt_{m}", [f"v_tf_q_{m}"], f"""
+SELECT id, term, count(*) AS qtf FROM (SELECT id, unnest({TOK2('query')}) AS term FROM v_tf_q_{m}) GROUP BY id, term""")
+    view(f"v_tf_stat_{m}", [f"v_tf_q_{m}", f"v_tf_qt_{m}", "v_tf_dstat"], f"""
+SELECT coalesce(d.id, q.id) AS id, coalesce(d.term, q.term) AS term, coalesce(q.qtf, 0) AS qtf,
+       coalesce(d.df_d, 0) + CASE WHEN q.qtf IS NOT NULL THEN 1 ELSE 0 END AS df,
+       coalesce(d.tot_d, 0) + coalesce(q.qtf, 0) AS tot
+FROM (SELECT * FROM v_tf_dstat WHERE id IN (SELECT id FROM v_tf_q_{m})) d
+FULL OUTER JOIN v_tf_qt_{m} q ON q.id = d.id AND q.term = d.term""")
+    view(f"v_tf_vocab_{m}", [f"v_tf_stat_{m}", "v_tf_n"], f"""
+SELECT s.id, s.term, s.qtf, ln((n.n_docs + 2.0) / (s.df + 1.0)) + 1.0 AS idf FROM (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY tot DESC, term) AS vr FROM v_tf_stat_{m}) s
+JOIN v_tf_n n ON n.id = s.id WHERE s.vr <= 5000""")
+    view(f"v_tf_qn_{m}", [f"v_tf_vocab_{m}"], f"""
+SELECT id, sqrt(sum((qtf * idf) * (qtf * idf))) AS nq FROM v_tf_vocab_{m} WHERE qtf > 0 GROUP BY id""")
+    view(f"v_tf_dw_{m}", [f"v_tf_vocab_{m}", "v_tf_ct"], f"""
+SELECT t.id, t.doc_id, t.term, t.tf * v.idf AS wd, v.qtf * v.idf AS wq
+FROM v_tf_ct t JOIN v_tf_vocab_{m} v ON v.id = t.id AND v.term = t.term""")
+    view(f"v_tfidf_{m}", [f"v_tf_q_{m}", f"v_tf_dw_{m}", f"v_tf_qn_{m}", f"v_tf_vocab_{m}", "v_cand"], f"""
+SELECT id, doc_id, round(score, 6) AS score,
+  row_number() OVER (PARTITION BY id ORDER BY CASE WHEN fb THEN retr_rank END ASC NULLS FIRST,
+                     round(score, 6) DESC, doc_id) AS rank
+FROM (SELECT c.id, c.doc_id, c.retr_rank, vv.id IS NULL AS fb,
+        CASE WHEN qn.nq > 0 AND dn.nd > 0 THEN coalesce(dot.dot, 0.0) / (qn.nq * dn.nd) ELSE 0.0 END AS score
+      FROM v_cand c
+      LEFT JOIN (SELECT DISTINCT id FROM v_tf_vocab_{m}) vv ON vv.id = c.id
+      LEFT JOIN (SELECT id, doc_id, sqrt(sum(wd * wd)) AS nd FROM v_tf_dw_{m} GROUP BY id, doc_id) dn
+             ON dn.id = c.id AND dn.doc_id = c.doc_id
+      LEFT JOIN (SELECT id, doc_id, sum(wd * wq) AS dot FROM v_tf_dw_{m} WHERE wq > 0 GROUP BY id, doc_id) dot
+             ON dot.id = c.id AND dot.doc_id = c.doc_id
+      LEFT JOIN v_tf_qn_{m} qn ON qn.id = c.id
+      WHERE c.id IN (SELECT id FROM v_tf_q_{m}))""")
+    return f"v_tfidf_{m}"
+
+
+def _vsum(expr_i: str, arr: str) -> str:
+    return f"list_reduce(list_transform(range(1, len({arr}) + 1), lambda i: {expr_i}), lambda acc, x: acc + x)"
+
+
+view("v_qemb", ["v_questions"], f"""
+SELECT vec_id AS id, v AS qv, sqrt({_vsum('v[i] * v[i]', 'v')}) AS qn
+FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IN (SELECT id FROM v_questions))""")
+view("v_demb", [], f"""
+SELECT vec_id AS doc_id, v AS dv, sqrt({_vsum('v[i] * v[i]', 'v')}) AS dn
+FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)""")
+
+
+def emb_view(mode: str) -> str:
+    m = _mk(mode)
+    view(f"v_emb_{m}", ["v_rq", "v_cand", "v_qemb", "v_demb"], f"""
+SELECT id, doc_id, round(score, 6) AS score,
+  row_number() OVER (PARTITION BY id ORDER BY round(score, 6) DESC, doc_id) AS rank
+FROM (SELECT c.id, c.doc_id,
+        CASE WHEN q.qn > 0 AND d.dn > 0 THEN {_vsum('q.qv[i] * d.dv[i]', 'q.qv')} / (q.qn * d.dn) ELSE 0.0 END AS score
+      FROM v_cand c LEFT JOIN v_qemb q ON q.id = c.id LEFT JOIN v_demb d ON d.doc_id = c.doc_id
+      WHERE c.id IN (SELECT id FROM v_rq WHERE mode = '{mode}' AND query IS NOT NULL AND query <> ''))""")
+    return f"v_emb_{m}"
+
+
+for _m in C.QUERY_MODES:
+    tfidf_view(_m)
+    emb_view(_m)
+
+# ranking with the pipeline fallbacks (no article found / no usable text)
+view("v_status", ["v_search", "v_articles", "v_doc_text"], """
+SELECT s.id, count(a.doc_id) AS n_found, count(t.doc_id) AS n_usable
+FROM v_search s LEFT JOIN v_articles a ON a.doc_id = s.doc_id LEFT JOIN v_doc_text t ON t.doc_id = s.doc_id
+GROUP BY s.id""")
+
+
+def ranked_view(ranker: str, mode: str) -> str:
+    m = _mk(mode)
+    inner = {"BM25": f"v_bm25_{m}", "TF-IDF": f"v_tfidf_{m}", "EMBEDDING": f"v_emb_{m}"}[ranker]
+    name = f"v_rank_{ranker.replace('-', '').lower()}_{m}"
+    view(name, [inner, "v_status", "v_search", "v_articles", "v_rq"], f"""
+SELECT r.id, r.doc_id, r.score, r.rank FROM {inner} r JOIN v_status st ON st.id = r.id WHERE st.n_usable > 0
+UNION ALL
+SELECT s.id, s.doc_id, 0.0 AS score, row_number() OVER (PARTITION BY s.id ORDER BY s.retr_rank) AS rank
+FROM v_search s JOIN v_status st ON st.id = s.id LEFT JOIN v_articles a ON a.doc_id = s.doc_id
+WHERE st.n_usable = 0 AND (st.n_found = 0 OR a.doc_id IS NOT NULL)
+  AND s.id IN (SELECT id FROM v_rq WHERE mode = '{mode}' AND query IS NOT NULL AND query <> '')""")
+    return name
+
+
+for _r in C.RANKERS:
+    for _m in C.QUERY_MODES:
+        ranked_view(_r, _m)
+
+
 def with_views(sql: str, needs: list[str]) -> str:
     order: list[str] = []
 
@@ -228,6 +326,9 @@ FROM v_search s LEFT JOIN v_articles a ON a.doc_id = s.doc_id""", ["v_search", "
     "rerank_bm25": with_views("SELECT * FROM v_bm25_body", BM25_BODY),
     "topk_documents": with_views("SELECT * FROM v_bm25_body WHERE rank <= 10", BM25_BODY),
     "build_snippets": with_views(SNIPPET_SQL, BM25_BODY + ["v_articles"]),
+    "rerank_tfidf": with_views("SELECT * FROM v_tfidf_body", ["v_tfidf_body"]),
+    "rerank_embedding": with_views("SELECT * FROM v_emb_body", ["v_emb_body"]),
+    "rank_with_fallback": with_views("SELECT * FROM v_rank_bm25_keywords", ["v_rank_bm25_keywords"]),
     "extract_id": """
 SELECT page_id, url, coalesce(nullif(regexp_extract(url, '([0-9]+)/?$', 1), ''), '0') AS extracted_id FROM pages""",
 }
@@ -236,3 +337,104 @@ ORACLES["pipeline_results"] = with_views(f"""
 SELECT q.id, q.seq, q.body, s.document, s.text, s."beginSection", s."endSection", s."offsetInBeginSection",
        s."offsetInEndSection", s.rerank_score, s.rerank_position
 FROM v_questions q LEFT JOIN ({SNIPPET_SQL}) s ON s.id = q.id""", BM25_BODY + ["v_articles", "v_questions"])
+
+# ---------------------------------------------------------------- evaluation
+URL = "'http://www.ncbi.nlm.nih.gov/pubmed/'"
+
+
+def EXTRACT_ID(x: str) -> str:
+    return f"coalesce(nullif(regexp_extract({x}, '([0-9]+)/?$', 1), ''), '0')"
+
+
+def DCG(m: str) -> str:
+    return f"(CASE WHEN {m} >= 1 THEN list_sum(list_transform(range(1, {m} + 1), lambda i: 1.0 / log2(i + 1.0))) ELSE 0.0 END)"
+
+
+view("v_qrels", [], """
+SELECT DISTINCT b.item_id AS id, d.doc_id FROM benchmark b JOIN documents d
+  ON substr(b.text, 1, 40) <> '' AND contains(d.text, substr(b.text, 1, 40))""")
+view("v_gold", ["v_qrels", "v_questions"], f"""
+SELECT DISTINCT id, {EXTRACT_ID(f"{URL} || doc_id")} AS key FROM v_qrels
+UNION ALL
+SELECT id, '0' AS key FROM v_questions WHERE id NOT IN (SELECT id FROM v_qrels)""")
+view("v_nrel", ["v_gold"], "SELECT id, count(*) AS n_rel FROM v_gold GROUP BY id")
+
+
+def eval_view(ranker: str, mode: str) -> str:
+    rv = ranked_view(ranker, mode)
+    name = "v_ev_" + rv[len("v_rank_"):]
+    view(name + "_d", [rv, "v_questions", "v_gold"], f"""
+SELECT d.id, d.seq, d.rank, d.document, d.rel,
+       sum(d.rel) OVER (PARTITION BY d.id ORDER BY d.rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum
+FROM (SELECT q.id, q.seq, r.rank, r.document,
+        CASE WHEN r.document IS NULL THEN NULL WHEN g.key IS NOT NULL THEN 1 ELSE 0 END AS rel
+      FROM v_questions q
+      LEFT JOIN (SELECT id, rank, {URL} || doc_id AS document FROM {rv} WHERE rank <= 10) r ON r.id = q.id
+      LEFT JOIN v_gold g ON g.id = q.id AND g.key = {EXTRACT_ID('r.document')}) d""")
+    view(name + "_a", [name + "_d", "v_nrel"], f"""
+SELECT d.id, d.seq, count(d.document) AS n, CAST(coalesce(sum(d.rel), 0) AS BIGINT) AS hits, n.n_rel,
+       avg(CASE WHEN d.rel = 1 THEN d.cum / d.rank END) AS ap,
+       min(CASE WHEN d.rel = 1 THEN d.rank END) AS first_hit,
+       count(CASE WHEN d.rel = 1 AND d.rank <= (SELECT CAST(coalesce(sum(x.rel), 0) AS BIGINT) FROM {name}_d x WHERE x.id = d.id) THEN 1 END) AS a
+FROM {name}_d d JOIN v_nrel n ON n.id = d.id GROUP BY d.id, d.seq, n.n_rel""")
+    view(name, [name + "_a"], f"""
+SELECT id, seq, n AS n_docs, s10, p10, r10,
+  CASE WHEN p10 + r10 > 0 THEN 2 * p10 * r10 / (p10 + r10) ELSE 0.0 END AS f1_10,
+  map10, mrr, ndcg10,
+  last_value(CASE WHEN n < 10 THEN mrr END IGNORE NULLS) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+    AS mrr_reported
+FROM (SELECT *, CASE WHEN hits > 0 THEN 1.0 ELSE 0.0 END AS s10, hits / 10.0 AS p10, hits / n_rel AS r10,
+        CASE WHEN n < 10 THEN 0.0 ELSE coalesce(ap, 0.0) END AS map10,
+        coalesce(1.0 / first_hit, 0.0) AS mrr,
+        CASE WHEN n <= 1 THEN 0.0 WHEN hits = 0 THEN 0.0 WHEN hits = n THEN 1.0
+             ELSE (a / hits * {DCG('hits')} + (hits - a) / (n - hits) * ({DCG('n')} - {DCG('hits')})) / {DCG('hits')} END
+          AS ndcg10
+      FROM {name}_a)""")
+    return name
+
+
+METRIC_SQL = ["s10", "p10", "r10", "f1_10", "map10", "mrr", "ndcg10"]
+
+
+def _r(cols, digits=6):
+    return ", ".join(f"round({c}, {digits}) AS {c}" for c in cols)
+
+
+GRID = [(r, m) for r in C.RANKERS for m in C.QUERY_MODES]
+_grid_parts = []
+for _i, (_r_, _m_) in enumerate(GRID, start=1):
+    _ev = eval_view(_r_, _m_)
+    _grid_parts.append((_ev, f"""
+SELECT {_i} AS run_no, '{_r_}' AS ranker, '{_m_}' AS mode,
+  avg(s10) AS s10, avg(p10) AS p10, avg(r10) AS r10, avg(f1_10) AS f1_10, avg(map10) AS map10,
+  coalesce(avg(mrr_reported), 0.0) AS mrr, avg(ndcg10) AS ndcg10, avg(mrr) AS mrr_true, count(*) AS n_questions
+FROM {_ev}"""))
+view("v_runs", [p for p, _ in _grid_parts], "\nUNION ALL\n".join(sql for _, sql in _grid_parts))
+
+ORACLES.update({
+    "eval_metrics": with_views(f"SELECT id, seq, n_docs, {_r(METRIC_SQL)} FROM v_ev_bm25_body", ["v_ev_bm25_body"]),
+    "mrr_reported": with_views("SELECT id, seq, n_docs, round(mrr, 6) AS mrr, round(mrr_reported, 6) AS mrr_reported "
+                               "FROM v_ev_bm25_body", ["v_ev_bm25_body"]),
+    "macro_metrics": with_views(f"""
+SELECT {_r(METRIC_SQL)}, round(mrr_true, 6) AS mrr_true, n_questions FROM (
+  SELECT avg(s10) AS s10, avg(p10) AS p10, avg(r10) AS r10, avg(f1_10) AS f1_10, avg(map10) AS map10,
+         coalesce(avg(mrr_reported), 0.0) AS mrr, avg(ndcg10) AS ndcg10, avg(mrr) AS mrr_true, count(*) AS n_questions
+  FROM v_ev_bm25_body)""", ["v_ev_bm25_body"]),
+    "experiment_grid": with_views(f"SELECT run_no, ranker, mode, {_r(METRIC_SQL)}, round(mrr_true, 6) AS mrr_true, "
+                                  "n_questions FROM v_runs", ["v_runs"]),
+    "compare_configs": with_views(f"""
+SELECT row_number() OVER (ORDER BY ndcg10 DESC, run_no) AS position, ranker || ' (' || mode || ')' AS label,
+       ranker, mode, {_r(METRIC_SQL, 4)} FROM v_runs""", ["v_runs"]),
+    "best_config": with_views("""
+SELECT 'NDCG@10' AS metric, label, round(value, 4) AS value FROM (
+  SELECT ranker || ' (' || mode || ')' AS label, ndcg10 AS value FROM v_runs ORDER BY ndcg10 DESC, run_no LIMIT 1)
+UNION ALL
+SELECT 'MAP@10' AS metric, label, round(value, 4) AS value FROM (
+  SELECT ranker || ' (' || mode || ')' AS label, map10 AS value FROM v_runs ORDER BY map10 DESC, run_no LIMIT 1)""",
+                              ["v_runs"]),
+    "metric_series": with_views("""
+SELECT metric, row_number() OVER (PARTITION BY metric ORDER BY value DESC, run_no) AS position, label,
+       round(value, 4) AS value
+FROM (SELECT run_no, ranker || ' (' || mode || ')' AS label, unnest(['S@10', 'P@10', 'R@10', 'F1@10', 'MAP@10', 'MRR', 'NDCG@10']) AS metric,
+             unnest([s10, p10, r10, f1_10, map10, mrr, ndcg10]) AS value FROM v_runs)""", ["v_runs"]),
+})
