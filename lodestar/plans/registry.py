@@ -218,3 +218,162 @@ QUERIES = {
     "best_config": q_best_config,
     "metric_series": q_metric_series,
 }
+
+
+# ------------------------------------------------------------- sources/sinks
+from ..operators import responses as RS  # noqa: E402
+from ..session import scratch_path  # noqa: E402
+from ..sources import articles as SA  # noqa: E402
+from ..sources import background as SB  # noqa: E402
+from ..sources import questions as SQ  # noqa: E402
+from ..sources import runs as SR  # noqa: E402
+
+RUN_TS = "1970-01-01_00-00-00"  # fixed so file names are reproducible
+
+
+def q_scan_questions(spark, d):
+    path = scratch_path(spark, "questions")
+    SQ.write_question_files(FX.questions(spark, d), path)
+    return SQ.scan_questions(spark, path).select("id", "type", "body")
+
+
+def q_question_limit(spark, d):
+    return SQ.question_limit(FX.questions(spark, d), 20)
+
+
+def q_scan_unigrams(spark, d):
+    path = scratch_path(spark, "unigrams")
+    SB.write_unigram_csv(FX.unigrams(spark, d), path)
+    return SB.scan_unigrams(spark, path)
+
+
+def q_scan_word_repr(spark, d):
+    path = scratch_path(spark, "word_repr")
+    SB.write_word_repr_json(FX.word_repr(spark, d), path)
+    return SB.scan_word_repr(spark, path)
+
+
+def q_parse_articles(spark, d):
+    path = scratch_path(spark, "articles_xml")
+    SA.write_article_xml(FX.articles(spark, d), path)
+    return SA.parse_articles(spark, path)
+
+
+def q_parse_pages(spark, d):
+    return SA.parse_pages(FX.table(spark, d, "pages"))
+
+
+def _write_bm25_results(spark, d):
+    inp = inputs(spark, d)
+
+    def build():
+        path = scratch_path(spark, "results")
+        SR.write_results(P.results(inp, "BM25", ("BODY",)), path, "TRAIN", RUN_TS)
+        return path
+    if "results_path" not in inp.cache:
+        inp.cache["results_path"] = build()
+    return inp.cache["results_path"]
+
+
+def q_write_results(spark, d):
+    res = SR.scan_results(spark, _write_bm25_results(spark, d))
+    return S.explode_results(res.select("id", "seq", "body", "documents", "snippets"))
+
+
+def q_strip_rerank_fields(spark, d):
+    res = SR.scan_results(spark, _write_bm25_results(spark, d)).select("id", "documents", "snippets")
+    st = S.strip_rerank_fields(res)
+    e = st.select("id", "removed", F.explode_outer("snippets").alias("s"))
+    return e.select("id", "removed", *[F.col("s")[c].alias(c) for c in S.SNIPPET_FIELDS[:6]])
+
+
+def q_write_metrics(spark, d):
+    per = _bm25_body_eval(spark, d)
+    path = scratch_path(spark, "metrics")
+    SR.write_metrics(per, E.macro_metrics(per, ["ranker", "mode"]), path, "TRAIN", RUN_TS)
+    back = spark.read.json(path + "_questions")
+    return _round(back.select(F.col("id").cast("bigint").alias("id"), "seq",
+                              *[F.col(f"`{E.METRIC_LABELS[m]}`").alias(m) for m in E.METRICS]), E.METRICS)
+
+
+def q_scan_metrics(spark, d):
+    inp = inputs(spark, d)
+    grid = P.experiment_grid(inp)
+    path = scratch_path(spark, "metrics")
+    SR.write_metrics(None, grid, path, "TRAIN", RUN_TS)
+    return _round(SR.scan_metrics(spark, path), E.METRICS)
+
+
+def q_parse_keyword_responses(spark, d):
+    return RS.parse_keyword_responses(RS.conversation_responses(FX.table(spark, d, "conversations")),
+                                      ("conv_id", "turn"))
+
+
+def q_clean_query_responses(spark, d):
+    return RS.clean_query_responses(RS.conversation_responses(FX.table(spark, d, "conversations"), "user"),
+                                    ("conv_id", "turn"))
+
+
+# ---------------------------------------------------- keywords and retrieval
+def q_expand_keywords(spark, d):
+    return K.expand_keywords(P.keywords(inputs(spark, d)), FX.word_repr(spark, d))
+
+
+def q_sort_word_repr(spark, d):
+    return K.sort_word_repr(FX.word_repr(spark, d))
+
+
+def retry_clauses(kw: DataFrame) -> DataFrame:
+    """Clause 1: every keyword OR-ed; clause 2 (negated): the last keyword of
+    questions with at least three keywords."""
+    pos_cl = FX.retry_clauses(kw)
+    n = kw.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max("pos").alias("maxpos"))
+    neg = (kw.join(n, "id").filter((F.col("n") >= 3) & (F.col("pos") == F.col("maxpos")))
+           .select("id", F.lit(2).alias("clause_no"), "term", F.lit(None).cast("string").alias("field"),
+                   F.lit(True).alias("negated")))
+    return pos_cl.unionByName(neg)
+
+
+def q_clause_search(spark, d):
+    inp = inputs(spark, d)
+    return RT.clause_search(retry_clauses(P.keywords(inp)), inp.index)
+
+
+def q_search_with_retry(spark, d):
+    inp = inputs(spark, d)
+    kw = P.keywords(inp)
+    return RT.search_with_retry(P.with_body(inp.questions), kw, FX.retry_clauses(kw), inp.index, n_core=3)
+
+
+def q_run_stats(spark, d):
+    inp = inputs(spark, d)
+    st = P.question_status(inp, FX.retry_clauses(P.keywords(inp)))
+    return _round(E.run_stats(st), ["zero_keywords_share", "zero_hits_share"])
+
+
+def q_empty_body(spark, d):
+    res = P.results(inputs(spark, d), "BM25", ("BODY",))
+    has = F.col("body").isNotNull() & (F.col("body") != "")
+    return res.select("id", has.alias("has_body"), F.size("documents").alias("n_documents"))
+
+
+QUERIES.update({
+    "scan_questions": q_scan_questions,
+    "question_limit": q_question_limit,
+    "scan_unigrams": q_scan_unigrams,
+    "scan_word_repr": q_scan_word_repr,
+    "parse_articles": q_parse_articles,
+    "parse_pages": q_parse_pages,
+    "write_results": q_write_results,
+    "strip_rerank_fields": q_strip_rerank_fields,
+    "write_metrics": q_write_metrics,
+    "scan_metrics": q_scan_metrics,
+    "parse_keyword_responses": q_parse_keyword_responses,
+    "clean_query_responses": q_clean_query_responses,
+    "expand_keywords": q_expand_keywords,
+    "sort_word_repr": q_sort_word_repr,
+    "clause_search": q_clause_search,
+    "search_with_retry": q_search_with_retry,
+    "run_stats": q_run_stats,
+    "empty_body": q_empty_body,
+})

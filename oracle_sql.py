@@ -438,3 +438,90 @@ SELECT metric, row_number() OVER (PARTITION BY metric ORDER BY value DESC, run_n
 FROM (SELECT run_no, ranker || ' (' || mode || ')' AS label, unnest(['S@10', 'P@10', 'R@10', 'F1@10', 'MAP@10', 'MRR', 'NDCG@10']) AS metric,
              unnest([s10, p10, r10, f1_10, map10, mrr, ndcg10]) AS value FROM v_runs)""", ["v_runs"]),
 })
+
+# ---------------------------------------------------------- sources / sinks
+from lodestar.operators.responses import (ITEM_RE, LIST_RE, PIECE_SPLIT_RE, STRING_LIST_RE)  # noqa: E402
+from lodestar.functions.text import WORD  # noqa: E402
+
+view("v_word_repr", ["v_questions"], f"""
+SELECT key, word, count(*) AS weight FROM (
+  SELECT t[i] AS key, t[i + 1] AS word FROM (SELECT {TOK3('text')} AS t FROM conversations), range(1, 100000) r(i)
+  WHERE i < len(t)
+  UNION ALL
+  SELECT t[i + 1] AS key, t[i] AS word FROM (SELECT {TOK3('text')} AS t FROM conversations), range(1, 100000) r(i)
+  WHERE i < len(t))
+WHERE key <> word AND key IN (SELECT unnest({TOK3('body')}) FROM v_questions)
+GROUP BY key, word""")
+
+RESULT_COLS = ('document, text, "beginSection", "endSection", "offsetInBeginSection", "offsetInEndSection", '
+               'rerank_score, rerank_position')
+
+ORACLES.update({
+    "scan_questions": """
+SELECT CAST(item_id AS VARCHAR) AS id,
+  CASE WHEN suffix(text, '?') THEN 'factoid' WHEN length(text) < 120 THEN 'yesno' ELSE 'summary' END AS type,
+  text AS body
+FROM benchmark""",
+    "question_limit": with_views("SELECT id, seq, body FROM v_questions ORDER BY seq LIMIT 20", ["v_questions"]),
+    "scan_unigrams": with_views("SELECT word, freq FROM v_unigrams", ["v_unigrams"]),
+    "scan_word_repr": with_views("SELECT key, word, weight FROM v_word_repr", ["v_word_repr"]),
+    "sort_word_repr": with_views("""
+SELECT key, row_number() OVER (PARTITION BY key ORDER BY weight DESC, word) AS rank, word, weight FROM v_word_repr""",
+                                 ["v_word_repr"]),
+    "parse_articles": with_views(f"""
+SELECT CAST(doc_id AS VARCHAR) AS pmid, {STRIP('title')} AS title,
+  CASE WHEN abstract = 'N/A' OR len(parts) = 0 THEN 'N/A' ELSE array_to_string(parts, ' ') END AS abstract
+FROM (SELECT doc_id, title, abstract,
+        list_filter(list_transform(string_split(abstract, {NL}),
+          lambda p, i: CASE WHEN {STRIP('p')} = '' THEN '' WHEN i = 1 AND len(string_split(abstract, {NL})) > 1
+                            THEN 'BACKGROUND: ' || {STRIP('p')} ELSE {STRIP('p')} END), lambda x: x <> '') AS parts
+      FROM v_articles)""", ["v_articles"]),
+    "parse_pages": """
+SELECT page_id, replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&amp;', '&') AS title FROM pages""",
+    "write_results": with_views(f"""
+SELECT CAST(q.id AS VARCHAR) AS id, q.seq, q.body, {", ".join("s." + c.strip() for c in RESULT_COLS.split(","))}
+FROM v_questions q LEFT JOIN ({SNIPPET_SQL}) s ON s.id = q.id""", BM25_BODY + ["v_articles", "v_questions"]),
+    "strip_rerank_fields": with_views(f"""
+SELECT CAST(q.id AS VARCHAR) AS id, 2 * count(s.document) OVER (PARTITION BY q.id) AS removed,
+  s.document, s.text, s."beginSection", s."endSection", s."offsetInBeginSection", s."offsetInEndSection"
+FROM v_questions q LEFT JOIN ({SNIPPET_SQL}) s ON s.id = q.id""", BM25_BODY + ["v_articles", "v_questions"]),
+    "write_metrics": with_views(f"SELECT id, seq, {_r(METRIC_SQL)} FROM v_ev_bm25_body", ["v_ev_bm25_body"]),
+    "scan_metrics": with_views(f"""
+SELECT 'TRAIN_metrics_' || regexp_replace(ranker, '[^A-Za-z0-9]+', '', 'g') || '_'
+         || regexp_replace(mode, '[^A-Za-z0-9]+', '_', 'g') || '_1970-01-01_00-00-00.json' AS file_name,
+       'TRAIN' AS eval_type, ranker AS reranker, mode AS query_type, {_r(METRIC_SQL)}
+FROM v_runs""", ["v_runs"]),
+})
+
+# ------------------------------------------------------- stored responses
+def _sqlq(pattern: str) -> str:
+    """A regex as a SQL string literal (quotes doubled, backslashes kept)."""
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+_PIECES = (f"list_filter(list_transform(string_split_regex(raw, {_sqlq(PIECE_SPLIT_RE)}), "
+           f"lambda p: trim({STRIP('p')}, {_sqlq(chr(39) + chr(34) + '[] ')})), lambda p: length(p) > 1)")
+_UNQ = f"regexp_replace(substr(t, 2, length(t) - 2), {_sqlq(chr(92) * 2 + '(.)')}, {_sqlq(chr(92) + '1')}, 'g')"
+_ITEMS = f"list_filter(list_transform(regexp_extract_all(lst, {_sqlq(ITEM_RE)}), lambda t: {STRIP(_UNQ)}), lambda t: t <> '')"
+
+ORACLES["parse_keyword_responses"] = f"""
+SELECT conv_id, turn, pos, keyword, parsed_list FROM (
+  SELECT conv_id, turn, parsed_list, unnest(arr) AS keyword, generate_subscripts(arr, 1) AS pos FROM (
+    SELECT conv_id, turn, parsed_list, CASE WHEN parsed_list THEN {_ITEMS} ELSE {_PIECES} END AS arr FROM (
+      SELECT conv_id, turn, raw, lst, lst <> '' AND regexp_matches(lst, {_sqlq(STRING_LIST_RE)}) AS parsed_list FROM (
+        SELECT conv_id, turn, text AS raw, regexp_extract(text, {_sqlq(LIST_RE)}, 1) AS lst
+        FROM conversations WHERE role = 'assistant'))))"""
+
+
+def _strip_prefix(x: str, prefix: str) -> str:
+    return (f"(CASE WHEN starts_with(lower({x}), {_sqlq(prefix.lower())}) "
+            f"THEN {STRIP(f'substr({x}, {len(prefix) + 1})')} ELSE {x} END)")
+
+
+_q = STRIP("coalesce(text, '')")
+for _p in C.QUERY_PREFIXES:
+    _q = _strip_prefix(_q, _p)
+_q = f"trim({_q}, {_sqlq(chr(34) + chr(39))})"
+ORACLES["clean_query_responses"] = f"""
+SELECT conv_id, turn, query, length(query) > 3 AS valid FROM (
+  SELECT conv_id, turn, {_q} AS query FROM conversations WHERE role = 'user')"""
