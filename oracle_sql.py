@@ -525,3 +525,118 @@ _q = f"trim({_q}, {_sqlq(chr(34) + chr(39))})"
 ORACLES["clean_query_responses"] = f"""
 SELECT conv_id, turn, query, length(query) > 3 AS valid FROM (
   SELECT conv_id, turn, {_q} AS query FROM conversations WHERE role = 'user')"""
+
+# ------------------------------------------- expansion, clauses, retry, stats
+view("v_exp", ["v_keywords", "v_word_repr"], """
+SELECT k.id, w.word, sum(w.weight) AS weight FROM v_keywords k JOIN v_word_repr w ON w.key = k.term GROUP BY k.id, w.word""")
+view("v_exp_top", ["v_exp"], """
+SELECT id, pos, word AS term, 'expansion' AS source FROM (
+  SELECT id, word, row_number() OVER (PARTITION BY id ORDER BY weight DESC, word) AS pos FROM v_exp) WHERE pos <= 3""")
+ORACLES["expand_keywords"] = with_views("""
+SELECT id, pos, term, source FROM v_exp_top
+UNION ALL
+SELECT k.id, coalesce(n.n_exp, 0) + row_number() OVER (PARTITION BY k.id ORDER BY k.pos) AS pos, k.term, 'key' AS source
+FROM v_keywords k LEFT JOIN (SELECT id, count(*) AS n_exp FROM v_exp_top GROUP BY id) n ON n.id = k.id""",
+                                        ["v_exp_top", "v_keywords"])
+
+
+def search_views(n_core: int) -> str:
+    """Hybrid search with ``n_core`` core terms; returns the result view."""
+    sfx = f"_c{n_core}"
+    view("v_sterms" + sfx, ["v_terms"], f"SELECT id, k, term, k <= {n_core} AS core, {TOK1('term')} AS toks FROM v_terms")
+    view("v_need" + sfx, ["v_sterms" + sfx], f"""
+SELECT id, sum(CASE WHEN core THEN 1 ELSE 0 END) AS n_core, sum(CASE WHEN core THEN 0 ELSE 1 END) AS n_rest
+FROM v_sterms{sfx} GROUP BY id""")
+    view("v_hits" + sfx, ["v_sterms" + sfx, "v_postings", "v_doc_text"], f"""
+SELECT DISTINCT s.id, s.k, s.core, p.doc_id FROM v_sterms{sfx} s JOIN v_postings p ON len(s.toks) = 1 AND p.term = s.toks[1]
+UNION
+SELECT DISTINCT s.id, s.k, s.core, d.doc_id FROM v_sterms{sfx} s JOIN v_doc_text d
+  ON len(s.toks) > 1 AND contains(' ' || array_to_string({TOK1('d.text')}, ' ') || ' ', ' ' || array_to_string(s.toks, ' ') || ' ')""")
+    view("v_search" + sfx, ["v_hits" + sfx, "v_need" + sfx], f"""
+SELECT id, doc_id, retr_rank, total_count, matched FROM (
+  SELECT id, doc_id, matched, row_number() OVER (PARTITION BY id ORDER BY matched DESC, doc_id) AS retr_rank,
+         count(*) OVER (PARTITION BY id) AS total_count FROM (
+    SELECT h.id, h.doc_id, count(*) AS matched FROM v_hits{sfx} h JOIN v_need{sfx} n ON n.id = h.id
+    GROUP BY h.id, h.doc_id, n.n_core, n.n_rest
+    HAVING sum(CASE WHEN h.core THEN 1 ELSE 0 END) = n.n_core
+       AND (n.n_rest = 0 OR sum(CASE WHEN h.core THEN 0 ELSE 1 END) > 0)))
+WHERE retr_rank <= 500""")
+    return "v_search" + sfx
+
+
+def clause_views(name: str, clauses_sql: str, deps: list[str]) -> str:
+    view(name + "_t", deps, f"""
+SELECT id, clause_no, term, negated, {TOK1('term')} AS toks FROM ({clauses_sql})
+WHERE term IS NOT NULL AND {STRIP('term')} <> ''""")
+    view(name + "_h", [name + "_t", "v_postings", "v_doc_text"], f"""
+SELECT DISTINCT c.id, c.clause_no, c.term, c.negated, p.doc_id FROM {name}_t c JOIN v_postings p
+  ON len(c.toks) = 1 AND p.term = c.toks[1]
+UNION
+SELECT DISTINCT c.id, c.clause_no, c.term, c.negated, d.doc_id FROM {name}_t c JOIN v_doc_text d
+  ON len(c.toks) > 1 AND contains(' ' || array_to_string({TOK1('d.text')}, ' ') || ' ', ' ' || array_to_string(c.toks, ' ') || ' ')""")
+    view(name, [name + "_t", name + "_h"], f"""
+SELECT id, doc_id, retr_rank, total_count, matched FROM (
+  SELECT id, doc_id, matched, row_number() OVER (PARTITION BY id ORDER BY matched DESC, doc_id) AS retr_rank,
+         count(*) OVER (PARTITION BY id) AS total_count FROM (
+    SELECT p.id, p.doc_id, p.matched FROM (
+      SELECT id, doc_id, count(DISTINCT clause_no) AS ch, count(DISTINCT CAST(clause_no AS VARCHAR) || chr(1) || term) AS matched
+      FROM {name}_h WHERE NOT negated GROUP BY id, doc_id) p
+    JOIN (SELECT id, count(DISTINCT clause_no) AS n_pos FROM {name}_t WHERE NOT negated GROUP BY id) n ON n.id = p.id
+    WHERE p.ch = n.n_pos
+      AND NOT EXISTS (SELECT 1 FROM {name}_h x WHERE x.negated AND x.id = p.id AND x.doc_id = p.doc_id)))
+WHERE retr_rank <= 500""")
+    return name
+
+
+RETRY_CLAUSES = "SELECT id, 1 AS clause_no, term, false AS negated FROM v_keywords"
+clause_views("v_clause2", RETRY_CLAUSES + """
+UNION ALL
+SELECT k.id, 2 AS clause_no, k.term, true AS negated FROM v_keywords k
+JOIN (SELECT id, count(*) AS n, max(pos) AS mp FROM v_keywords GROUP BY id) x ON x.id = k.id
+WHERE x.n >= 3 AND k.pos = x.mp""", ["v_keywords"])
+clause_views("v_retryc", RETRY_CLAUSES, ["v_keywords"])
+
+
+def retry_view(n_core: int) -> str:
+    first = search_views(n_core)
+    name = f"v_retry_c{n_core}"
+    view(name, [first, "v_retryc", "v_questions"], f"""
+SELECT id, doc_id, retr_rank, total_count, 'hybrid' AS query_used FROM {first}
+UNION ALL
+SELECT id, doc_id, retr_rank, total_count, 'direct' AS query_used FROM v_retryc
+WHERE id IN (SELECT id FROM v_questions WHERE body IS NOT NULL AND body <> '')
+  AND id NOT IN (SELECT id FROM {first})""")
+    return name
+
+
+retry_view(3)
+retry_view(1)
+
+view("v_status_q", ["v_questions", "v_keywords", "v_search_c1", "v_retry_c1", "v_articles"], """
+SELECT q.id, q.body IS NOT NULL AND q.body <> '' AS has_body, coalesce(k.n, 0) AS n_keywords,
+       coalesce(s.n, 0) AS initial_hits, coalesce(s.n, 0) = 0 AS retried, coalesce(f.n, 0) AS final_hits,
+       coalesce(f.partial, false) AS partial_fetch
+FROM v_questions q
+LEFT JOIN (SELECT id, count(*) AS n FROM v_keywords GROUP BY id) k ON k.id = q.id
+LEFT JOIN (SELECT id, count(*) AS n FROM v_search_c1 GROUP BY id) s ON s.id = q.id
+LEFT JOIN (SELECT r.id, count(*) AS n, count(a.doc_id) < count(DISTINCT r.doc_id) AS partial
+           FROM v_retry_c1 r LEFT JOIN v_articles a ON a.doc_id = r.doc_id GROUP BY r.id) f ON f.id = q.id""")
+
+ORACLES.update({
+    "clause_search": with_views("SELECT * FROM v_clause2", ["v_clause2"]),
+    "search_with_retry": with_views("SELECT * FROM v_retry_c3", ["v_retry_c3"]),
+    "run_stats": with_views("""
+SELECT questions, zero_keywords, zero_hits, retries_started, retries_failed, partial_fetches,
+       round(zero_keywords / questions, 6) AS zero_keywords_share, round(zero_hits / questions, 6) AS zero_hits_share
+FROM (SELECT count(*) AS questions,
+        count(*) FILTER (WHERE has_body AND n_keywords = 0) AS zero_keywords,
+        count(*) FILTER (WHERE has_body AND final_hits = 0) AS zero_hits,
+        count(*) FILTER (WHERE has_body AND retried) AS retries_started,
+        count(*) FILTER (WHERE has_body AND retried AND final_hits = 0) AS retries_failed,
+        count(*) FILTER (WHERE has_body AND partial_fetch) AS partial_fetches
+      FROM v_status_q)""", ["v_status_q"]),
+    "empty_body": with_views("""
+SELECT q.id, q.body IS NOT NULL AND q.body <> '' AS has_body, count(r.doc_id) AS n_documents
+FROM v_questions q LEFT JOIN (SELECT * FROM v_bm25_body WHERE rank <= 10) r ON r.id = q.id GROUP BY q.id, q.body""",
+                             ["v_questions", "v_bm25_body"]),
+})
