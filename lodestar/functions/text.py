@@ -21,6 +21,9 @@ WS = (
 # Unicode word character (Python ``\w`` on str patterns).
 WORD = r"\p{L}\p{N}_"
 STRIP_RE = rf"^[{WS}]+|[{WS}]+$"
+# The same set as literal characters, for trim(): no regex needed to strip.
+WS_CHARS = ("\t\n\x0b\x0c\r \x1c\x1d\x1e\x1f\x85\xa0\u1680"
+            + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000")
 BM25_DROP_RE = rf"[^a-z0-9{WS}]"
 BM25_SPLIT_RE = rf"[{WS}]+"
 TFIDF_TOKEN_RE = rf"[{WORD}]{{2,}}"
@@ -35,7 +38,7 @@ def col(c: Column | str) -> Column:
 
 def py_strip(c: Column | str) -> Column:
     """``str.strip()``: remove leading/trailing Unicode whitespace."""
-    return F.regexp_replace(col(c), STRIP_RE, "")
+    return F.trim(col(c), F.lit(WS_CHARS))
 
 
 def tokens_bm25(c: Column | str) -> Column:

@@ -113,29 +113,34 @@ def hybrid_query_string(keywords: DataFrame, n_core: int = C.CORE_TERMS,
 
 def _term_hits(terms: DataFrame, index: TextIndex, field_col: str | None = None) -> DataFrame:
     """``terms(id, grp, k, term[, field])`` -> ``(id, grp, k, doc_id)`` for every
-    document holding the normalised term (phrases: all tokens, in order)."""
-    fields = [None]
-    if field_col is not None:
-        fields = [None, "title", "abstract"]
+    document holding the normalised term (phrases: all tokens, in order).
+
+    Field-restricted and phrase branches are planned only when the (small)
+    term table has such terms: an emptiness check on the term side keeps
+    the large document side from being tokenised again for nothing.
+    """
     t = terms.select("id", "grp", "k", tokens_bm25("term").alias("toks"),
                      (F.col(field_col) if field_col else F.lit(None).cast("string")).alias("field"))
     out = None
-    for fld in fields:
+    for fld in ([None] if field_col is None else [None, "title", "abstract"]):
         tf = t.filter(F.col("field").isNull() if fld is None else (F.col("field") == fld))
+        if fld is not None and tf.isEmpty():
+            continue
         post = index.field_postings(fld).select("doc_id", "term")
         single = tf.filter(F.size("toks") == 1).select("id", "grp", "k", F.col("toks")[0].alias("term"))
-        hits1 = maybe_broadcast(single).join(post, "term").select("id", "grp", "k", "doc_id")
-        multi = tf.filter(F.size("toks") > 1).select(
-            "id", "grp", "k", F.concat(F.lit(" "), F.array_join("toks", " "), F.lit(" ")).alias("phrase"),
-            F.explode(F.array_distinct("toks")).alias("term"), F.size(F.array_distinct("toks")).alias("nt"))
-        cand = (maybe_broadcast(multi).join(post, "term")
-                .groupBy("id", "grp", "k", "phrase", "nt", "doc_id").agg(F.count(F.lit(1)).alias("c"))
-                .filter(F.col("c") == F.col("nt")))
-        norm = index.field_docs(fld).select(
-            "doc_id", F.concat(F.lit(" "), F.array_join(tokens_bm25("text"), " "), F.lit(" ")).alias("norm"))
-        hits2 = (cand.join(norm, "doc_id").filter(F.instr("norm", F.col("phrase")) > 0)
-                 .select("id", "grp", "k", "doc_id"))
-        part = hits1.unionByName(hits2)
+        part = maybe_broadcast(single).join(post, "term").select("id", "grp", "k", "doc_id")
+        multi = tf.filter(F.size("toks") > 1)
+        if not multi.isEmpty():
+            multi = multi.select(
+                "id", "grp", "k", F.concat(F.lit(" "), F.array_join("toks", " "), F.lit(" ")).alias("phrase"),
+                F.explode(F.array_distinct("toks")).alias("term"), F.size(F.array_distinct("toks")).alias("nt"))
+            cand = (maybe_broadcast(multi).join(post, "term")
+                    .groupBy("id", "grp", "k", "phrase", "nt", "doc_id").agg(F.count(F.lit(1)).alias("c"))
+                    .filter(F.col("c") == F.col("nt")))
+            norm = index.field_docs(fld).select(
+                "doc_id", F.concat(F.lit(" "), F.array_join(tokens_bm25("text"), " "), F.lit(" ")).alias("norm"))
+            part = part.unionByName(cand.join(norm, "doc_id").filter(F.instr("norm", F.col("phrase")) > 0)
+                                    .select("id", "grp", "k", "doc_id"))
         out = part if out is None else out.unionByName(part)
     return out.distinct()
 

@@ -69,10 +69,10 @@ def assemble_results(questions: DataFrame, snippets: DataFrame, run_keys: list[s
 
 
 def explode_results(results: DataFrame) -> DataFrame:
-    """Flat form: one row per snippet (questions without documents keep one
-    row with NULL snippet fields)."""
+    """Flat form: one row per snippet. Questions without documents have no
+    row here; they stay in the nested results with empty arrays."""
     base = [c for c in results.columns if c not in ("documents", "snippets")]
-    e = results.select(*base, F.explode_outer("snippets").alias("s"))
+    e = results.select(*base, F.explode("snippets").alias("s"))
     return e.select(*base, *[F.col("s")[c].alias(c) for c in SNIPPET_FIELDS])
 
 

@@ -283,7 +283,7 @@ def q_write_results(spark, d):
 def q_strip_rerank_fields(spark, d):
     res = SR.scan_results(spark, _write_bm25_results(spark, d)).select("id", "documents", "snippets")
     st = S.strip_rerank_fields(res)
-    e = st.select("id", "removed", F.explode_outer("snippets").alias("s"))
+    e = st.select("id", "removed", F.explode("snippets").alias("s"))
     return e.select("id", "removed", *[F.col("s")[c].alias(c) for c in S.SNIPPET_FIELDS[:6]])
 
 

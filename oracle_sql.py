@@ -30,7 +30,7 @@ def TOK3(x: str) -> str:
 
 
 def STRIP(x: str) -> str:
-    return f"regexp_replace({x}, '{STRIP_RE}', '', 'g')"
+    return f"regexp_replace({x}, '{STRIP_RE}', '', 'g')"  # Python str.strip()
 
 
 def USABLE(x: str) -> str:
@@ -336,7 +336,7 @@ SELECT page_id, url, coalesce(nullif(regexp_extract(url, '([0-9]+)/?$', 1), ''),
 ORACLES["pipeline_results"] = with_views(f"""
 SELECT q.id, q.seq, q.body, s.document, s.text, s."beginSection", s."endSection", s."offsetInBeginSection",
        s."offsetInEndSection", s.rerank_score, s.rerank_position
-FROM v_questions q LEFT JOIN ({SNIPPET_SQL}) s ON s.id = q.id""", BM25_BODY + ["v_articles", "v_questions"])
+FROM v_questions q JOIN ({SNIPPET_SQL}) s ON s.id = q.id""", BM25_BODY + ["v_articles", "v_questions"])
 
 # ---------------------------------------------------------------- evaluation
 URL = "'http://www.ncbi.nlm.nih.gov/pubmed/'"
@@ -480,11 +480,11 @@ FROM (SELECT doc_id, title, abstract,
 SELECT page_id, replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&amp;', '&') AS title FROM pages""",
     "write_results": with_views(f"""
 SELECT CAST(q.id AS VARCHAR) AS id, q.seq, q.body, {", ".join("s." + c.strip() for c in RESULT_COLS.split(","))}
-FROM v_questions q LEFT JOIN ({SNIPPET_SQL}) s ON s.id = q.id""", BM25_BODY + ["v_articles", "v_questions"]),
+FROM v_questions q JOIN ({SNIPPET_SQL}) s ON s.id = q.id""", BM25_BODY + ["v_articles", "v_questions"]),
     "strip_rerank_fields": with_views(f"""
 SELECT CAST(q.id AS VARCHAR) AS id, 2 * count(s.document) OVER (PARTITION BY q.id) AS removed,
   s.document, s.text, s."beginSection", s."endSection", s."offsetInBeginSection", s."offsetInEndSection"
-FROM v_questions q LEFT JOIN ({SNIPPET_SQL}) s ON s.id = q.id""", BM25_BODY + ["v_articles", "v_questions"]),
+FROM v_questions q JOIN ({SNIPPET_SQL}) s ON s.id = q.id""", BM25_BODY + ["v_articles", "v_questions"]),
     "write_metrics": with_views(f"SELECT id, seq, {_r(METRIC_SQL)} FROM v_ev_bm25_body", ["v_ev_bm25_body"]),
     "scan_metrics": with_views(f"""
 SELECT 'TRAIN_metrics_' || regexp_replace(ranker, '[^A-Za-z0-9]+', '', 'g') || '_'
