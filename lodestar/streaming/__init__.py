@@ -1,0 +1,3 @@
+"""Intentionally empty: the reproduced system has no streaming operators
+(no watermarks, windows over event time, or state). Batch plans live in
+``lodestar.plans``."""
