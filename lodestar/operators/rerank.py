@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions.text import tokens_bm25, tokens_tfidf
-from ..session import maybe_broadcast
+from .joins import balanced_join
 from .retrieval import TextIndex
 
 SCORE_DIGITS = 6
@@ -68,7 +68,8 @@ def rerank_bm25(queries: DataFrame, cand: DataFrame, index: TextIndex,
     cl = c.join(index.doc_len, "doc_id", "left").withColumn("dl", F.coalesce("dl", F.lit(0)))
     stats = cl.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("sumdl"))
     stats = stats.withColumn("avgdl", F.col("sumdl") / F.col("n"))
-    ct = c.select("id", "doc_id").join(index.postings, "doc_id")
+    # a document can be a candidate of many questions: salt hot documents
+    ct = balanced_join(c.select("id", "doc_id"), index.postings, ["doc_id"], may_broadcast=False)
     df = ct.groupBy("id", "term").agg(F.count(F.lit(1)).alias("df")).join(stats.select("id", "n"), "id")
     df = df.withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     floor = df.groupBy("id").agg((F.avg("idf") * eps).alias("eps_idf"))
@@ -112,7 +113,7 @@ def rerank_tfidf(queries: DataFrame, cand: DataFrame, index: TextIndex,
     post = postings if postings is not None else tfidf_postings(index, stop_words)
     c = usable_candidates(cand, index)
     n_docs = c.groupBy("id").agg(F.count(F.lit(1)).alias("n_docs"))
-    ct = c.select("id", "doc_id").join(post, "doc_id")
+    ct = balanced_join(c.select("id", "doc_id"), post, ["doc_id"], may_broadcast=False)
     dstat = ct.groupBy("id", "term").agg(F.count(F.lit(1)).alias("df_d"), F.sum("tf").alias("tot_d"))
     q = queries.filter(F.col("query").isNotNull() & (F.col("query") != ""))
     qt = (q.select(*keys, F.explode(tokens_tfidf("query", stop_words)).alias("term"))

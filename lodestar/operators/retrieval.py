@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..functions.text import py_strip, tokens_bm25, usable_part
 from ..session import maybe_broadcast
+from .joins import balanced_join
 
 
 def split_articles(documents: DataFrame) -> DataFrame:
@@ -128,13 +129,14 @@ def _term_hits(terms: DataFrame, index: TextIndex, field_col: str | None = None)
             continue
         post = index.field_postings(fld).select("doc_id", "term")
         single = tf.filter(F.size("toks") == 1).select("id", "grp", "k", F.col("toks")[0].alias("term"))
-        part = maybe_broadcast(single).join(post, "term").select("id", "grp", "k", "doc_id")
+        # postings are skewed on frequent terms; the term side is small or salted
+        part = balanced_join(post, single, ["term"]).select("id", "grp", "k", "doc_id")
         multi = tf.filter(F.size("toks") > 1)
         if not multi.isEmpty():
             multi = multi.select(
                 "id", "grp", "k", F.concat(F.lit(" "), F.array_join("toks", " "), F.lit(" ")).alias("phrase"),
                 F.explode(F.array_distinct("toks")).alias("term"), F.size(F.array_distinct("toks")).alias("nt"))
-            cand = (maybe_broadcast(multi).join(post, "term")
+            cand = (balanced_join(post, multi, ["term"])
                     .groupBy("id", "grp", "k", "phrase", "nt", "doc_id").agg(F.count(F.lit(1)).alias("c"))
                     .filter(F.col("c") == F.col("nt")))
             norm = index.field_docs(fld).select(

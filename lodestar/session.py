@@ -9,8 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A side is broadcast only when the optimizer's size estimate is below this.
-BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
+# A side is broadcast only when its size estimate is below this (Spark's own
+# default threshold; estimates of exploded tables are low, so stay modest).
+BROADCAST_LIMIT_BYTES = 10 * 1024 * 1024
 
 
 def get_spark(cores: int | str = "*", shuffle_partitions: int | None = None,
@@ -61,7 +62,7 @@ def estimated_bytes(df: DataFrame) -> int | None:
     upwards without pruning, so the estimate errs on the large side and
     costs no optimizer pass."""
     try:
-        return int(df._jdf.queryExecution().analyzed().stats().sizeInBytes().toString())
+        return int(df._jdf.queryExecution().analyzed().stats().sizeInBytes())
     except Exception:  # pragma: no cover - non-classic sessions
         return None
 
