@@ -33,9 +33,13 @@ def balanced_join(skewed: DataFrame, other: DataFrame, keys: list[str], how: str
 
     ``may_broadcast=False`` for an ``other`` side that is large by design
     (postings): size estimates of exploded tables run low, so such a side
-    is never broadcast on an estimate."""
+    is never broadcast on an estimate; the skewed side itself may then be
+    broadcast (inner joins) when its size is bounded."""
     if may_broadcast and small_enough(other, limit):
         return skewed.join(F.broadcast(other), keys, how)
+    if how == "inner" and small_enough(skewed, limit):
+        return F.broadcast(skewed).join(other, keys, how).select(*skewed.columns, *[
+            c for c in other.columns if c not in keys])
     hk = (heavy if heavy is not None else heavy_keys(skewed, keys, heavy_rows)).select(*keys).distinct()
     hk = F.broadcast(hk.withColumn("_heavy", F.lit(True)))
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in skewed.columns]), F.lit(buckets))

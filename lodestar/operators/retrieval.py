@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions.text import py_strip, tokens_bm25, usable_part
-from ..session import maybe_broadcast
+from ..session import materialize, maybe_broadcast
 from .joins import balanced_join
 
 
@@ -64,7 +64,7 @@ class TextIndex:
         docs = doc_text(articles)
         postings = build_postings(docs)
         if persist:
-            postings = postings.checkpoint()
+            postings = materialize(postings, "postings")
         return cls(docs, postings, doc_lengths(postings))
 
     def field_docs(self, field: str | None) -> DataFrame:

@@ -18,6 +18,7 @@ from ..operators import keywords as K
 from ..operators import rerank as R
 from ..operators import retrieval as RT
 from ..operators import snippets as S
+from ..session import materialize
 from . import fixtures as FX
 
 
@@ -44,13 +45,14 @@ class Inputs:
     persist: bool = False
 
     def memo(self, name, fn):
-        """Builds a shared intermediate once. In pipeline mode it is written
-        with a reliable ``checkpoint()`` (the shared checkpoint dir), so later
-        plans start from it: shallow plans, no recomputation, and no lineage
-        to replay when an executor is lost."""
+        """Builds a shared intermediate once. In pipeline mode it is written as
+        a table under the shared checkpoint folder (``session.materialize``),
+        so later plans start from it: shallow plans, no recomputation, no
+        lineage to replay when an executor is lost, real size statistics."""
         if name not in self.cache:
             df = fn()
-            self.cache[name] = df.checkpoint() if self.persist else df
+            label = "_".join(map(str, name)) if isinstance(name, tuple) else str(name)
+            self.cache[name] = materialize(df, label) if self.persist else df
         return self.cache[name]
 
 

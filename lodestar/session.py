@@ -55,6 +55,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Writes ``df`` as a parquet table under the shared checkpoint folder and
+    reads it back: lineage is cut (nothing to replay after a lost executor),
+    later plans stay shallow, and the table's statistics are its real file
+    sizes, so size checks on it are grounded in data, not in estimates."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def estimated_bytes(df: DataFrame) -> int | None:
     """Conservative size estimate of a plan (no job is run).
 
