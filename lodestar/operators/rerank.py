@@ -110,7 +110,9 @@ def rerank_tfidf(queries: DataFrame, cand: DataFrame, index: TextIndex,
     -> ``(keys..., doc_id, score, rank)``.
     """
     keys = _keys(queries)
-    post = postings if postings is not None else tfidf_postings(index, stop_words)
+    post = postings if postings is not None else index.derived(
+        "tfidf_postings" if stop_words is C.TFIDF_STOP_WORDS else f"tfidf_postings_{len(stop_words)}",
+        lambda: tfidf_postings(index, stop_words))
     c = usable_candidates(cand, index)
     n_docs = c.groupBy("id").agg(F.count(F.lit(1)).alias("n_docs"))
     ct = balanced_join(c.select("id", "doc_id"), post, ["doc_id"], may_broadcast=False)

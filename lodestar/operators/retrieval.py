@@ -58,6 +58,8 @@ class TextIndex:
     docs: DataFrame       # (doc_id, title, abstract, text)
     postings: DataFrame   # (doc_id, term, tf) over text
     doc_len: DataFrame    # (doc_id, dl)
+    persist: bool = False
+    _extra: dict | None = None
 
     @classmethod
     def build(cls, articles: DataFrame, persist: bool = False) -> "TextIndex":
@@ -65,7 +67,17 @@ class TextIndex:
         postings = build_postings(docs)
         if persist:
             postings = materialize(postings, "postings")
-        return cls(docs, postings, doc_lengths(postings))
+        return cls(docs, postings, doc_lengths(postings), persist, {})
+
+    def derived(self, name: str, fn) -> DataFrame:
+        """A further per-document table (e.g. TF-IDF postings), built once;
+        materialized in pipeline mode."""
+        if self._extra is None:
+            self._extra = {}
+        if name not in self._extra:
+            df = fn()
+            self._extra[name] = materialize(df, name) if self.persist else df
+        return self._extra[name]
 
     def field_docs(self, field: str | None) -> DataFrame:
         """``(doc_id, text)`` of one field (``title``/``abstract``) or the combined text."""

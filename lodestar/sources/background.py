@@ -28,9 +28,16 @@ def scan_unigrams(spark: SparkSession, path: str) -> DataFrame:
             .filter(F.col("freq").isNotNull() & ~F.isnan("freq")))
 
 
-def write_word_repr_json(word_repr: DataFrame, path: str, n_files: int = 8) -> None:
+ROWS_PER_FILE = 200_000
+
+
+def write_word_repr_json(word_repr: DataFrame, path: str, n_files: int | None = None) -> None:
     """``word_repr(key, word, weight)`` as JSON objects ``{key: {word: weight}}``,
-    keys spread over ``n_files`` files by hash (each file one object)."""
+    keys spread over ``n_files`` files by hash (each file one object). By
+    default the file count grows with the table (about 200k pairs a file),
+    so no single task ever writes more than a bounded share of it."""
+    if n_files is None:
+        n_files = max(1, -(-word_repr.count() // ROWS_PER_FILE))
     inner = (word_repr.groupBy("key")
              .agg(F.map_from_entries(F.collect_list(F.struct("word", "weight"))).alias("m")))
     files = (inner.groupBy(F.pmod(F.xxhash64("key"), F.lit(n_files)).alias("grp"))
