@@ -18,6 +18,7 @@ from ..operators import keywords as K
 from ..operators import rerank as R
 from ..operators import retrieval as RT
 from ..operators import snippets as S
+from ..functions.text import doc_url
 from ..session import materialize
 from . import fixtures as FX
 
@@ -102,11 +103,30 @@ def ranked_docs(res: DataFrame) -> DataFrame:
 
 
 def evaluate(inp: Inputs, res: DataFrame) -> DataFrame:
-    """Per-question metrics incl. the carried-forward MRR."""
+    """Per-question metrics incl. the carried-forward MRR, from nested results."""
     m = E.eval_metrics(ranked_docs(res), inp.questions, inp.qrels, ["ranker", "mode"])
     return E.mrr_reported(m, ["ranker", "mode"])
 
 
+def top_documents(inp: Inputs, ranker: str, modes=("BODY",), k: int = C.TOP_N) -> DataFrame:
+    """Flat ``(ranker, mode, id, rank, document)`` straight from the ranking:
+    every question of every run, with a NULL document when it returned none
+    (no snippet building needed to evaluate)."""
+    top = R.top_k(ranked(inp, ranker, modes), k).select("mode", "id", "rank", doc_url("doc_id").alias("document"))
+    qs = with_runs(inp.questions.select("id"), [(ranker, m) for m in modes])
+    return qs.join(top, ["mode", "id"], "left").select("ranker", "mode", "id", "rank", "document")
+
+
+def evaluate_ranking(inp: Inputs, rankers=C.RANKERS, modes=C.QUERY_MODES) -> DataFrame:
+    """Per-question metrics of every (ranker, mode) run, incl. carried MRR."""
+    docs = None
+    for r in rankers:
+        part = top_documents(inp, r, modes)
+        docs = part if docs is None else docs.unionByName(part)
+    m = E.eval_metrics(docs, inp.questions, inp.qrels, ["ranker", "mode"])
+    return E.mrr_reported(m, ["ranker", "mode"])
+
+
 def grid_runs(rankers=C.RANKERS, modes=C.QUERY_MODES) -> list[tuple[str, str]]:
     return [(r, m) for r in rankers for m in modes]
 
@@ -123,7 +143,7 @@ def grid_results(inp: Inputs, rankers=C.RANKERS, modes=C.QUERY_MODES) -> DataFra
 def experiment_grid(inp: Inputs, rankers=C.RANKERS, modes=C.QUERY_MODES) -> DataFrame:
     """Macro metrics of every configuration: ``(run_no, ranker, mode, metrics...)``."""
     def build():
-        macro = E.macro_metrics(evaluate(inp, grid_results(inp, rankers, modes)), ["ranker", "mode"])
+        macro = E.macro_metrics(evaluate_ranking(inp, rankers, modes), ["ranker", "mode"])
         order = F.array(*[F.struct(F.lit(r).alias("ranker"), F.lit(m).alias("mode"))
                           for r, m in grid_runs(rankers, modes)])
         run_no = F.array_position(order, F.struct(F.col("ranker"), F.col("mode")))

@@ -151,7 +151,7 @@ def _round(df: DataFrame, cols, digits: int = 6) -> DataFrame:
 
 def _bm25_body_eval(spark, d):
     inp = inputs(spark, d)
-    return inp.memo("eval_bm25_body", lambda: P.evaluate(inp, P.results(inp, "BM25", ("BODY",))))
+    return inp.memo("eval_bm25_body", lambda: P.evaluate_ranking(inp, ("BM25",), ("BODY",)))
 
 
 def q_eval_metrics(spark, d):
