@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
-from ..functions.text import has_alnum, py_strip, tokens_words
+from ..functions.text import has_alnum, tokens_words
 from ..session import maybe_broadcast
 
 
@@ -117,6 +117,3 @@ def sort_word_repr(word_repr: DataFrame) -> DataFrame:
     w = Window.partitionBy("key").orderBy(F.col("weight").desc(), F.col("word").asc())
     return word_repr.select("key", F.row_number().over(w).alias("rank"), "word", "weight")
 
-
-def strip_terms(c):
-    return py_strip(c)

@@ -212,5 +212,3 @@ def rank_with_fallback(queries: DataFrame, cand: DataFrame, articles: DataFrame,
 def top_k(ranked: DataFrame, k: int = C.TOP_N) -> DataFrame:
     return ranked.filter(F.col("rank") <= k)
 
-
-RANKER_FUNCS = {"BM25": rerank_bm25, "TF-IDF": rerank_tfidf, "EMBEDDING": rerank_embedding}
