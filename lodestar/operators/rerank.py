@@ -52,7 +52,7 @@ def _rank(scored: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def usable_candidates(cand: DataFrame, index: TextIndex) -> DataFrame:
-    return cand.select("id", "doc_id", "retr_rank").join(index.docs.select("doc_id"), "doc_id", "left_semi")
+    return cand.select("id", "doc_id", "retr_rank").join(index.usable_ids, "doc_id", "left_semi")
 
 
 def rerank_bm25(queries: DataFrame, cand: DataFrame, index: TextIndex,
@@ -132,18 +132,17 @@ def rerank_tfidf(queries: DataFrame, cand: DataFrame, index: TextIndex,
              .filter(F.col("vr") <= max_features).join(n_docs, "id")
              .select(*keys, "term", "qtf",
                      (F.log((F.col("n_docs") + 2.0) / (F.col("df") + 1.0)) + 1.0).alias("idf")))
-    has_vocab = vocab.groupBy(*keys).agg(F.count(F.lit(1)).alias("v"))
-    qw = vocab.filter(F.col("qtf") > 0).select(*keys, "term", (F.col("qtf") * F.col("idf")).alias("wq"))
-    qnorm = qw.groupBy(*keys).agg(F.sqrt(F.sum(F.col("wq") * F.col("wq"))).alias("nq"))
-    dw = (ct.join(vocab.select(*keys, "term", "idf"), ["id", "term"])
-          .select(*keys, "doc_id", "term", (F.col("tf") * F.col("idf")).alias("wd")))
-    dnorm = dw.groupBy(*keys, "doc_id").agg(F.sqrt(F.sum(F.col("wd") * F.col("wd"))).alias("nd"))
-    dot = (dw.join(qw, [*keys, "term"]).groupBy(*keys, "doc_id")
-           .agg(F.sum(F.col("wd") * F.col("wq")).alias("dot")))
-    base = qk.join(c, "id").join(has_vocab, keys, "left")
-    scored = (base.join(dot, [*keys, "doc_id"], "left").join(dnorm, [*keys, "doc_id"], "left")
-              .join(qnorm, keys, "left")
-              .select(*keys, "doc_id", "retr_rank", F.col("v").isNull().alias("fallback"),
+    # one pass over the vocabulary: query norm and "has a vocabulary"
+    qstat = vocab.groupBy(*keys).agg(
+        F.sqrt(F.sum(F.col("qtf") * F.col("idf") * (F.col("qtf") * F.col("idf")))).alias("nq"))
+    # one pass over candidate terms: document norm and dot product together
+    dw = (ct.join(vocab.select(*keys, "term", "idf", (F.col("qtf") * F.col("idf")).alias("wq")), ["id", "term"])
+          .select(*keys, "doc_id", (F.col("tf") * F.col("idf")).alias("wd"), "wq"))
+    dstats = dw.groupBy(*keys, "doc_id").agg(F.sqrt(F.sum(F.col("wd") * F.col("wd"))).alias("nd"),
+                                             F.sum(F.col("wd") * F.col("wq")).alias("dot"))
+    base = qk.join(c, "id").join(qstat, keys, "left")
+    scored = (base.join(dstats, [*keys, "doc_id"], "left")
+              .select(*keys, "doc_id", "retr_rank", F.col("nq").isNull().alias("fallback"),
                       F.when((F.col("nq") > 0) & (F.col("nd") > 0),
                              F.col("dot") / (F.col("nq") * F.col("nd"))).otherwise(F.lit(0.0)).alias("score")))
     scored = scored.withColumn("score", F.coalesce("score", F.lit(0.0)))
@@ -189,7 +188,7 @@ def rank_with_fallback(queries: DataFrame, cand: DataFrame, articles: DataFrame,
     keys = _keys(queries)
     art = articles.select("doc_id", F.lit(True).alias("found"))
     status = (cand.select("id", "doc_id").join(art, "doc_id", "left")
-              .join(index.docs.select("doc_id", F.lit(True).alias("usable")), "doc_id", "left")
+              .join(index.usable_ids.select("doc_id", F.lit(True).alias("usable")), "doc_id", "left")
               .groupBy("id").agg(F.count("found").alias("n_found"), F.count("usable").alias("n_usable")))
     ok_ids = status.filter(F.col("n_usable") > 0).select("id")
     qok = queries.join(ok_ids, "id", "left_semi")

@@ -79,6 +79,11 @@ class TextIndex:
             self._extra[name] = materialize(df, name) if self.persist else df
         return self._extra[name]
 
+    @property
+    def usable_ids(self) -> DataFrame:
+        """``(doc_id)`` of usable documents (a small table, built once)."""
+        return self.derived("usable_ids", lambda: self.docs.select("doc_id"))
+
     def field_docs(self, field: str | None) -> DataFrame:
         """``(doc_id, text)`` of one field (``title``/``abstract``) or the combined text."""
         if field is None:
