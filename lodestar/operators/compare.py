@@ -3,7 +3,8 @@
 Input ``runs(run_no, ranker, mode, s10, p10, r10, f1_10, map10, mrr, ndcg10)``;
 ``run_no`` is the listing order (first row wins ties, as the report does).
 Run tables hold one row per configuration, so the global orderings below
-never see more rows than there are configurations.
+never see more rows than there are configurations. Values are compared
+rounded to 6 digits, so ties do not depend on summation order.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ def compare_configs(runs: DataFrame, digits: int = 4) -> DataFrame:
     cols = present_metrics(runs)
     if "ndcg10" not in cols:
         raise ValueError("sorting needs ndcg10")
-    w = Window.orderBy(F.col("ndcg10").desc(), F.col("run_no").asc())
+    w = Window.orderBy(F.round("ndcg10", 6).desc(), F.col("run_no").asc())
     return runs.select(F.row_number().over(w).alias("position"), config_label().alias("label"), "ranker", "mode",
                        *[F.round(c, digits).alias(c) for c in cols])
 
@@ -40,7 +41,7 @@ def best_config(runs: DataFrame, metrics=("ndcg10", "map10")) -> DataFrame:
     out = None
     for m in metrics:
         best = runs.agg(F.max_by(F.struct(config_label().alias("label"), F.col(m).alias("value")),
-                                 F.struct(F.col(m), -F.col("run_no"))).alias("b"))
+                                 F.struct(F.round(m, 6), -F.col("run_no"))).alias("b"))
         part = best.select(F.lit(METRIC_LABELS[m]).alias("metric"), "b.label", F.round("b.value", 4).alias("value"))
         out = part if out is None else out.unionByName(part)
     return out
@@ -53,5 +54,5 @@ def metric_series(runs: DataFrame, digits: int = 4) -> DataFrame:
                        F.explode(F.array(*[F.struct(F.lit(METRIC_LABELS[c]).alias("metric"),
                                                     F.col(c).cast("double").alias("value")) for c in cols])).alias("m"))
     long = long.select("run_no", "label", "m.metric", "m.value")
-    w = Window.partitionBy("metric").orderBy(F.col("value").desc(), F.col("run_no").asc())
+    w = Window.partitionBy("metric").orderBy(F.round("value", 6).desc(), F.col("run_no").asc())
     return long.select("metric", F.row_number().over(w).alias("position"), "label", F.round("value", digits).alias("value"))

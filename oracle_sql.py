@@ -423,17 +423,17 @@ SELECT {_r(METRIC_SQL)}, round(mrr_true, 6) AS mrr_true, n_questions FROM (
     "experiment_grid": with_views(f"SELECT run_no, ranker, mode, {_r(METRIC_SQL)}, round(mrr_true, 6) AS mrr_true, "
                                   "n_questions FROM v_runs", ["v_runs"]),
     "compare_configs": with_views(f"""
-SELECT row_number() OVER (ORDER BY ndcg10 DESC, run_no) AS position, ranker || ' (' || mode || ')' AS label,
+SELECT row_number() OVER (ORDER BY round(ndcg10, 6) DESC, run_no) AS position, ranker || ' (' || mode || ')' AS label,
        ranker, mode, {_r(METRIC_SQL, 4)} FROM v_runs""", ["v_runs"]),
     "best_config": with_views("""
 SELECT 'NDCG@10' AS metric, label, round(value, 4) AS value FROM (
-  SELECT ranker || ' (' || mode || ')' AS label, ndcg10 AS value FROM v_runs ORDER BY ndcg10 DESC, run_no LIMIT 1)
+  SELECT ranker || ' (' || mode || ')' AS label, ndcg10 AS value FROM v_runs ORDER BY round(ndcg10, 6) DESC, run_no LIMIT 1)
 UNION ALL
 SELECT 'MAP@10' AS metric, label, round(value, 4) AS value FROM (
-  SELECT ranker || ' (' || mode || ')' AS label, map10 AS value FROM v_runs ORDER BY map10 DESC, run_no LIMIT 1)""",
+  SELECT ranker || ' (' || mode || ')' AS label, map10 AS value FROM v_runs ORDER BY round(map10, 6) DESC, run_no LIMIT 1)""",
                               ["v_runs"]),
     "metric_series": with_views("""
-SELECT metric, row_number() OVER (PARTITION BY metric ORDER BY value DESC, run_no) AS position, label,
+SELECT metric, row_number() OVER (PARTITION BY metric ORDER BY round(value, 6) DESC, run_no) AS position, label,
        round(value, 4) AS value
 FROM (SELECT run_no, ranker || ' (' || mode || ')' AS label, unnest(['S@10', 'P@10', 'R@10', 'F1@10', 'MAP@10', 'MRR', 'NDCG@10']) AS metric,
              unnest([s10, p10, r10, f1_10, map10, mrr, ndcg10]) AS value FROM v_runs)""", ["v_runs"]),
