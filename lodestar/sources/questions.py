@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import maybe_broadcast
 from .files import empty, path_exists
 
 QUESTION_SCHEMA = ("questions array<struct<id: string, type: string, body: string, "
@@ -55,9 +56,9 @@ def scan_questions(spark: SparkSession, path: str) -> DataFrame:
                       F.posexplode("questions").alias("pos", "q"))
     rows = rows.filter(F.col("q").isNotNull())
     files = rows.select("file_name").distinct()
-    # one row per file: numbering the files is a tiny global ordering
+    # one row per file: numbering the files is a small global ordering
     files = files.select("file_name", F.row_number().over(Window.orderBy("file_name")).alias("file_no"))
-    rows = rows.join(F.broadcast(files), "file_name")
+    rows = rows.join(maybe_broadcast(files), "file_name")
     seq = F.col("file_no").cast("bigint") * POS_BITS + F.col("pos")
     return rows.select("file_name", F.col("pos").cast("int").alias("pos"), seq.alias("seq"),
                        F.coalesce(F.col("q.id"), F.concat(F.lit("unknown_"), (seq + 1).cast("string"))).alias("id"),
