@@ -52,7 +52,10 @@ def _rank(scored: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def usable_candidates(cand: DataFrame, index: TextIndex) -> DataFrame:
-    return cand.select("id", "doc_id", "retr_rank").join(index.usable_ids, "doc_id", "left_semi")
+    """Candidates whose document has usable text. An inner join on distinct
+    ids (= semi join) so the small candidate side is the broadcast one."""
+    c = cand.select("id", "doc_id", "retr_rank")
+    return balanced_join(c, index.usable_ids, ["doc_id"], may_broadcast=False).select("id", "doc_id", "retr_rank")
 
 
 def rerank_bm25(queries: DataFrame, cand: DataFrame, index: TextIndex,
@@ -186,10 +189,15 @@ def rank_with_fallback(queries: DataFrame, cand: DataFrame, articles: DataFrame,
     -> ``(keys..., doc_id, score, rank)``.
     """
     keys = _keys(queries)
-    art = articles.select("doc_id", F.lit(True).alias("found"))
-    status = (cand.select("id", "doc_id").join(art, "doc_id", "left")
-              .join(index.usable_ids.select("doc_id", F.lit(True).alias("usable")), "doc_id", "left")
-              .groupBy("id").agg(F.count("found").alias("n_found"), F.count("usable").alias("n_usable")))
+    pairs = cand.select("id", "doc_id")
+    art = articles.select("doc_id")
+    found_pairs = balanced_join(pairs, art, ["doc_id"], may_broadcast=False).select(
+        "id", "doc_id", F.lit(True).alias("found"))
+    n_found = found_pairs.groupBy("id").agg(F.count(F.lit(1)).alias("n_found"))
+    n_usable = usable_candidates(cand, index).groupBy("id").agg(F.count(F.lit(1)).alias("n_usable"))
+    status = (pairs.select("id").distinct().join(n_found, "id", "left").join(n_usable, "id", "left")
+              .select("id", F.coalesce("n_found", F.lit(0)).alias("n_found"),
+                      F.coalesce("n_usable", F.lit(0)).alias("n_usable")))
     ok_ids = status.filter(F.col("n_usable") > 0).select("id")
     qok = queries.join(ok_ids, "id", "left_semi")
     if ranker == "BM25":
@@ -201,7 +209,7 @@ def rank_with_fallback(queries: DataFrame, cand: DataFrame, articles: DataFrame,
     else:
         raise ValueError(f"unknown ranker {ranker!r}")
     fb = queries.select(*keys).join(status.filter(F.col("n_usable") == 0), "id")
-    fb_docs = (fb.join(cand.select("id", "doc_id", "retr_rank"), "id").join(art, "doc_id", "left")
+    fb_docs = (fb.join(cand.select("id", "doc_id", "retr_rank"), "id").join(found_pairs, ["id", "doc_id"], "left")
                .filter((F.col("n_found") == 0) | F.col("found").isNotNull()))
     w = Window.partitionBy(*keys).orderBy("retr_rank")
     fallback = fb_docs.select(*keys, "doc_id", F.lit(0.0).alias("score"), F.row_number().over(w).alias("rank"))

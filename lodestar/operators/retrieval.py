@@ -235,11 +235,19 @@ def search_with_retry(questions: DataFrame, keywords: DataFrame, clauses: DataFr
 
 def fetch_details(candidates: DataFrame, articles: DataFrame) -> DataFrame:
     """``(id, doc_id, retr_rank, title, abstract, found)``: candidates joined
-    to their article; missing articles stay with ``found = false``."""
-    art = articles.select("doc_id", "title", "abstract", F.lit(True).alias("found"))
-    return (candidates.select("id", "doc_id", "retr_rank").join(art, "doc_id", "left")
-            .select("id", "doc_id", "retr_rank", "title", "abstract",
-                    F.coalesce("found", F.lit(False)).alias("found")))
+    to their article; missing articles stay with ``found = false``.
+
+    The corpus is never the shuffled or broadcast side: found rows come from
+    an inner join that broadcasts the (size-checked) candidates or salts hot
+    documents; the missing ones from an anti-join on the small side."""
+    cand = candidates.select("id", "doc_id", "retr_rank")
+    art = articles.select("doc_id", "title", "abstract")
+    hit = balanced_join(cand, art, ["doc_id"], may_broadcast=False)
+    found = hit.select("id", "doc_id", "retr_rank", "title", "abstract", F.lit(True).alias("found"))
+    missing = (cand.join(hit.select("id", "doc_id"), ["id", "doc_id"], "left_anti")
+               .select("id", "doc_id", "retr_rank", F.lit(None).cast("string").alias("title"),
+                       F.lit(None).cast("string").alias("abstract"), F.lit(False).alias("found")))
+    return found.unionByName(missing)
 
 
 def fetch_status(details: DataFrame) -> DataFrame:
