@@ -68,11 +68,13 @@ def rerank_bm25(queries: DataFrame, cand: DataFrame, index: TextIndex,
     """
     keys = _keys(queries)
     c = usable_candidates(cand, index)
-    cl = c.join(index.doc_len, "doc_id", "left").withColumn("dl", F.coalesce("dl", F.lit(0)))
-    stats = cl.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("sumdl"))
-    stats = stats.withColumn("avgdl", F.col("sumdl") / F.col("n"))
     # a document can be a candidate of many questions: salt hot documents
     ct = balanced_join(c.select("id", "doc_id"), index.postings, ["doc_id"], may_broadcast=False)
+    # document length from its own postings (no join with the corpus-wide length table)
+    dls = ct.groupBy("id", "doc_id").agg(F.sum("tf").alias("dl"))
+    cl = c.join(dls, ["id", "doc_id"], "left").withColumn("dl", F.coalesce("dl", F.lit(0)))
+    stats = cl.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("sumdl"))
+    stats = stats.withColumn("avgdl", F.col("sumdl") / F.col("n"))
     df = ct.groupBy("id", "term").agg(F.count(F.lit(1)).alias("df")).join(stats.select("id", "n"), "id")
     df = df.withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     floor = df.groupBy("id").agg((F.avg("idf") * eps).alias("eps_idf"))
@@ -172,8 +174,14 @@ def rerank_embedding(queries: DataFrame, cand: DataFrame, index: TextIndex,
     qv = vector_norms(q_emb, "id").withColumnsRenamed({"vec": "qv", "norm": "qn"})
     dv = vector_norms(d_emb, "doc_id").withColumnsRenamed({"vec": "dv", "norm": "dn"})
     dot = F.aggregate(F.zip_with("qv", "dv", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    # stored vectors cover the corpus: inner join broadcasting the candidates,
+    # candidates without a vector are added back (score 0) by an anti-join
+    with_vec = balanced_join(c, dv, ["doc_id"], may_broadcast=False)
+    no_vec = (c.join(with_vec.select("id", "doc_id"), ["id", "doc_id"], "left_anti")
+              .select(*c.columns, F.lit(None).cast("array<double>").alias("dv"), F.lit(None).cast("double").alias("dn")))
+    cv = with_vec.select(*c.columns, "dv", "dn").unionByName(no_vec)
     base = (queries.filter(F.col("query").isNotNull() & (F.col("query") != "")).select(*keys)
-            .join(c, "id").join(dv, "doc_id", "left").join(qv, "id", "left"))
+            .join(cv, "id").join(qv, "id", "left"))
     score = F.when((F.col("qn") > 0) & (F.col("dn") > 0), dot / (F.col("qn") * F.col("dn"))).otherwise(F.lit(0.0))
     scored = base.select(*keys, "doc_id", "retr_rank", F.lit(False).alias("fallback"),
                          F.coalesce(score, F.lit(0.0)).alias("score"))
