@@ -1,12 +1,14 @@
 """Equi-joins that stay balanced when one key holds a large share of rows.
 
-``balanced_join`` broadcasts the other side when its estimated size is
-bounded. Otherwise it finds the heavy keys of the skewed side (keys with
-more than ``heavy_rows`` rows, so there are at most ``rows / heavy_rows``
-of them: a bounded, broadcastable table), spreads each heavy key's rows over
-``buckets`` salt values, and replicates only the heavy keys' rows of the
-other side once per salt. Light keys join unsalted. AQE's skew-join
-splitting stays on as a second line of defence.
+``balanced_join`` broadcasts a side whose size is bounded. Otherwise, where
+the caller knows a side is skewed (``salt=True``: postings on frequent
+terms, candidates on documents shared by many questions), it finds that
+side's heavy keys (more than ``heavy_rows`` rows each, so at most
+``rows / heavy_rows`` of them: a bounded, broadcastable table), spreads each
+heavy key's rows over ``buckets`` salt values and replicates only the heavy
+keys' rows of the other side once per salt; light keys join unsalted.
+Without ``salt`` the join is left to AQE (runtime broadcast from real
+sizes, skew-join splitting of oversized partitions).
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ def heavy_keys(df: DataFrame, keys: list[str], heavy_rows: int = HEAVY_ROWS) ->
 def balanced_join(skewed: DataFrame, other: DataFrame, keys: list[str], how: str = "inner",
                   heavy: DataFrame | None = None, buckets: int = BUCKETS,
                   heavy_rows: int = HEAVY_ROWS, limit: int = BROADCAST_LIMIT_BYTES,
-                  may_broadcast: bool = True) -> DataFrame:
+                  may_broadcast: bool = True, salt: bool = False) -> DataFrame:
     """``skewed ⋈ other`` on ``keys`` (inner or left, ``skewed`` on the left).
 
     ``may_broadcast=False`` for an ``other`` side that is large by design
@@ -40,6 +42,8 @@ def balanced_join(skewed: DataFrame, other: DataFrame, keys: list[str], how: str
     if how == "inner" and small_enough(skewed, limit):
         return F.broadcast(skewed).join(other, keys, how).select(*skewed.columns, *[
             c for c in other.columns if c not in keys])
+    if not salt and heavy is None:
+        return skewed.join(other, keys, how)
     hk = (heavy if heavy is not None else heavy_keys(skewed, keys, heavy_rows)).select(*keys).distinct()
     hk = F.broadcast(hk.withColumn("_heavy", F.lit(True)))
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in skewed.columns]), F.lit(buckets))

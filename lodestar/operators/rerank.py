@@ -69,7 +69,7 @@ def rerank_bm25(queries: DataFrame, cand: DataFrame, index: TextIndex,
     keys = _keys(queries)
     c = usable_candidates(cand, index)
     # a document can be a candidate of many questions: salt hot documents
-    ct = balanced_join(c.select("id", "doc_id"), index.postings, ["doc_id"], may_broadcast=False)
+    ct = balanced_join(c.select("id", "doc_id"), index.postings, ["doc_id"], may_broadcast=False, salt=True)
     # document length from its own postings (no join with the corpus-wide length table)
     dls = ct.groupBy("id", "doc_id").agg(F.sum("tf").alias("dl"))
     cl = c.join(dls, ["id", "doc_id"], "left").withColumn("dl", F.coalesce("dl", F.lit(0)))
@@ -120,7 +120,7 @@ def rerank_tfidf(queries: DataFrame, cand: DataFrame, index: TextIndex,
         lambda: tfidf_postings(index, stop_words))
     c = usable_candidates(cand, index)
     n_docs = c.groupBy("id").agg(F.count(F.lit(1)).alias("n_docs"))
-    ct = balanced_join(c.select("id", "doc_id"), post, ["doc_id"], may_broadcast=False)
+    ct = balanced_join(c.select("id", "doc_id"), post, ["doc_id"], may_broadcast=False, salt=True)
     dstat = ct.groupBy("id", "term").agg(F.count(F.lit(1)).alias("df_d"), F.sum("tf").alias("tot_d"))
     q = queries.filter(F.col("query").isNotNull() & (F.col("query") != ""))
     qt = (q.select(*keys, F.explode(tokens_tfidf("query", stop_words)).alias("term"))

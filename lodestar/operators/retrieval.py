@@ -147,18 +147,19 @@ def _term_hits(terms: DataFrame, index: TextIndex, field_col: str | None = None)
         post = index.field_postings(fld).select("doc_id", "term")
         single = tf.filter(F.size("toks") == 1).select("id", "grp", "k", F.col("toks")[0].alias("term"))
         # postings are skewed on frequent terms; the term side is small or salted
-        part = balanced_join(post, single, ["term"]).select("id", "grp", "k", "doc_id")
+        part = balanced_join(post, single, ["term"], salt=True).select("id", "grp", "k", "doc_id")
         multi = tf.filter(F.size("toks") > 1)
         if not multi.isEmpty():
             multi = multi.select(
                 "id", "grp", "k", F.concat(F.lit(" "), F.array_join("toks", " "), F.lit(" ")).alias("phrase"),
                 F.explode(F.array_distinct("toks")).alias("term"), F.size(F.array_distinct("toks")).alias("nt"))
-            cand = (balanced_join(post, multi, ["term"])
+            cand = (balanced_join(post, multi, ["term"], salt=True)
                     .groupBy("id", "grp", "k", "phrase", "nt", "doc_id").agg(F.count(F.lit(1)).alias("c"))
                     .filter(F.col("c") == F.col("nt")))
             norm = index.field_docs(fld).select(
                 "doc_id", F.concat(F.lit(" "), F.array_join(tokens_bm25("text"), " "), F.lit(" ")).alias("norm"))
-            part = part.unionByName(cand.join(norm, "doc_id").filter(F.instr("norm", F.col("phrase")) > 0)
+            checked = balanced_join(cand, norm, ["doc_id"], may_broadcast=False)
+            part = part.unionByName(checked.filter(F.instr("norm", F.col("phrase")) > 0)
                                     .select("id", "grp", "k", "doc_id"))
         out = part if out is None else out.unionByName(part)
     return out.distinct()

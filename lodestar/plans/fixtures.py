@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import WORD, tokens_words
+from ..operators.joins import balanced_join
 from ..operators.retrieval import split_articles
 from ..session import maybe_broadcast
 
@@ -83,7 +84,9 @@ def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc_words = docs.select("doc_id", F.explode(F.array_distinct(
         F.regexp_extract_all("text", F.lit(rf"[{WORD}]+"), 0))).alias("anchor"))
     cand = doc_words.join(maybe_broadcast(anchored), "anchor").select("id", "prefix", "doc_id")
-    found = cand.join(docs, "doc_id").filter(F.instr("text", F.col("prefix")) > 0).select("id", "doc_id")
+    # verify candidates only; the corpus side is streamed, never shuffled
+    found = (balanced_join(cand, docs, ["doc_id"], may_broadcast=False)
+             .filter(F.instr("text", F.col("prefix")) > 0).select("id", "doc_id"))
     loose = qa.filter(F.col("anchor").isNull()).select("id", "prefix")
     if not loose.isEmpty():
         k = QREL_WINDOW
@@ -93,7 +96,8 @@ def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
             lambda i: F.substring("text", i, k))).alias("w")).distinct()
         c2 = wins.join(maybe_broadcast(head), "w").select("id", "prefix", "doc_id")
         found = found.unionByName(
-            c2.join(docs, "doc_id").filter(F.instr("text", F.col("prefix")) > 0).select("id", "doc_id"))
+            balanced_join(c2, docs, ["doc_id"], may_broadcast=False)
+            .filter(F.instr("text", F.col("prefix")) > 0).select("id", "doc_id"))
     return found.distinct()
 
 

@@ -7,7 +7,7 @@ def test_salted_join_equals_plain_join(spark):
     big = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(300)], "v long, key string")
     small = spark.createDataFrame([("hot", 1), ("hot", 2), ("k3", 3), ("k6", 4), ("zz", 5)], "key string, w long")
     plain = sorted(map(tuple, big.join(small, "key").select("key", "v", "w").collect()))
-    salted = balanced_join(big, small, ["key"], heavy_rows=10, buckets=4, may_broadcast=False)
+    salted = balanced_join(big, small, ["key"], heavy_rows=10, buckets=4, may_broadcast=False, salt=True)
     assert sorted(map(tuple, salted.select("key", "v", "w").collect())) == plain
-    left = balanced_join(big, small, ["key"], how="left", heavy_rows=10, buckets=4, may_broadcast=False)
+    left = balanced_join(big, small, ["key"], how="left", heavy_rows=10, buckets=4, may_broadcast=False, salt=True)
     assert left.count() == big.join(small, "key", "left").count()
