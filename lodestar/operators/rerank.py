@@ -70,8 +70,9 @@ def rerank_bm25(queries: DataFrame, cand: DataFrame, index: TextIndex,
     c = usable_candidates(cand, index)
     # a document can be a candidate of many questions: salt hot documents
     ct = balanced_join(c.select("id", "doc_id"), index.postings, ["doc_id"], may_broadcast=False, salt=True)
-    # document length from its own postings (no join with the corpus-wide length table)
-    dls = ct.groupBy("id", "doc_id").agg(F.sum("tf").alias("dl"))
+    # document lengths: inner lookup broadcasting the candidates, then a left
+    # join on the small side (documents without tokens have length 0)
+    dls = balanced_join(c.select("id", "doc_id"), index.doc_len, ["doc_id"], may_broadcast=False)
     cl = c.join(dls, ["id", "doc_id"], "left").withColumn("dl", F.coalesce("dl", F.lit(0)))
     stats = cl.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("sumdl"))
     stats = stats.withColumn("avgdl", F.col("sumdl") / F.col("n"))

@@ -67,7 +67,10 @@ class TextIndex:
         postings = build_postings(docs)
         if persist:
             postings = materialize(postings, "postings")
-        return cls(docs, postings, doc_lengths(postings), persist, {})
+        doc_len = doc_lengths(postings)
+        if persist:
+            doc_len = materialize(doc_len, "doc_len")
+        return cls(docs, postings, doc_len, persist, {})
 
     def derived(self, name: str, fn) -> DataFrame:
         """A further per-document table (e.g. TF-IDF postings), built once;
