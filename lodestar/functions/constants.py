@@ -64,6 +64,8 @@ QUERY_PREFIXES = (
 
 # FIXED VALUES: output formats and defaults of the pipeline.
 DOC_URL_PREFIX = "http://www.ncbi.nlm.nih.gov/pubmed/"
+# the extractor label every metric file carries, whatever extractor ran
+METRIC_FILE_EXTRACTOR = "LLM Gemini"
 NOT_AVAILABLE = "N/A"
 DETAILS_UNAVAILABLE = "[Details unavailable]"
 TITLE_ABSTRACT_NA = "[Title/Abstract N/A]"

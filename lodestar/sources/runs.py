@@ -17,6 +17,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import constants as C
 from ..operators.evaluation import METRIC_LABELS, METRICS
 from .files import empty, path_exists
 
@@ -55,7 +56,7 @@ def write_metrics(per_question: DataFrame | None, macro: DataFrame, path: str, e
     ``macro(ranker, mode, metrics...)`` of each run."""
     name = F.concat(F.lit(f"{eval_type}_metrics_"), F.regexp_replace("ranker", "[^A-Za-z0-9]+", ""),
                     F.lit("_"), F.regexp_replace("mode", "[^A-Za-z0-9]+", "_"), F.lit(f"_{run_ts}.json"))
-    summary = macro.select(name.alias("file_name"), F.lit("LLM Gemini").alias("keywords_stract"),
+    summary = macro.select(name.alias("file_name"), F.lit(C.METRIC_FILE_EXTRACTOR).alias("keywords_stract"),
                            F.col("ranker").alias("Ranked"), F.col("mode").alias("Query_ranked"),
                            metric_struct().alias("metrics"))
     summary.write.mode("overwrite").partitionBy("file_name").json(path)
