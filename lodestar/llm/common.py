@@ -3,8 +3,10 @@ Python columns, written intermediates."""
 
 from __future__ import annotations
 
+import os
 import tempfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -199,11 +201,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_once(spark: SparkSession, value):
-    """A plain Python value of a bounded size for every task."""
-    return spark.sparkContext.broadcast(value)
-
-
 def word_count(text: Column) -> Column:
     """Number of ``[^\\x20\\x09-\\x0D]+`` words (null: 0), JVM-side."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE))
@@ -211,9 +208,16 @@ def word_count(text: Column) -> Column:
             .otherwise(F.size(F.split(trimmed, r"[\x20\x09-\x0D]+")))).cast("long")
 
 
-def lower_ascii_column(text: Column) -> Column:
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers import this package when the session was started
+    elsewhere (a cluster gets it with ``--py-files`` or by installation)."""
+    root = str(Path(__file__).resolve().parents[2])
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

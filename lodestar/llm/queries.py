@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fertility, line_align, mixing, simhash
+from . import decontamination, fertility, language, license_scan, line_align, mixing, quality_classifier, simhash
 from .common import documents
 
 
@@ -41,6 +41,11 @@ def op5_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+def op6_language_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    return language.identify(documents(spark, sf_dir))
+
+
 def op7_patience_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the line blocks that an earlier one has."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
@@ -48,12 +53,25 @@ def op7_patience_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "a.n_lines", "a.n_removed", hex_sha256(F.col("a.text")).alias("kept_sha256"))
 
 
+def op8_random_indexing_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    return quality_classifier.score_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op10_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence places, labels and confidence of every document."""
+    return license_scan.scan(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_fertility_rules": op1_fertility_rules,
     "op2_simhash_multi_index": op2_simhash_multi_index,
     "op4_prefix_set_join": op4_prefix_set_join,
     "op5_systematic_mix": op5_systematic_mix,
+    "op6_language_hierarchy": op6_language_hierarchy,
     "op7_patience_lines": op7_patience_lines,
+    "op8_random_indexing_quality": op8_random_indexing_quality,
+    "op10_license_rules": op10_license_rules,
 }
 
 ORACLES = {
