@@ -127,7 +127,7 @@ def word_vectors(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.nd
     return vectors.astype(np.float32), (1e-3 / (1e-3 + share)).astype(np.float32)
 
 
-N_FEATURES = 2 * DIMENSIONS + 4
+N_FEATURES = 2 * DIMENSIONS + 5
 
 
 def pooled(words: HashedWords, vectors: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -142,7 +142,8 @@ def pooled(words: HashedWords, vectors: np.ndarray, weights: np.ndarray) -> np.n
         out[:DIMENSIONS] = mean
         out[DIMENSIONS:2 * DIMENSIONS] = np.sqrt(np.maximum(w @ (v * v) - mean * mean, 0))
         lengths = words.ends - words.starts
-        out[-4:] = np.log1p(n) / 10, lengths.mean() / 20, len(b) / n, float(np.linalg.norm(mean))
+        again = float((words.hashes[1:] == words.hashes[:-1]).mean()) if n > 1 else 0.0
+        out[-5:] = np.log1p(n) / 10, lengths.mean() / 20, len(b) / n, float(np.linalg.norm(mean)), again
     return out
 
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fertility, language, license_scan, line_align, mixing, quality_classifier, simhash
+from . import decontamination, fertility, language, license_scan, line_align, mixing, personal_data, quality_classifier, simhash, substring_dedup
 from .common import documents
 
 
@@ -25,6 +25,21 @@ def op2_simhash_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
 
 
+def op3_skip_chain_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document."""
+    found = personal_data.personal_data(documents(spark, sf_dir).select("doc_id", "text"), name="p")
+    base = F.filter("p.spans", lambda s: s["base"])
+
+    def joined(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long")
+
+    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in personal_data.BASE_KINDS],
+                        hex_sha256(joined(base)).alias("base_sha256"), joined(F.col("p.spans")).alias("spans"))
+
+
 def op4_prefix_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark words found in every document."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
@@ -58,6 +73,12 @@ def op8_random_indexing_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op9_fm_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of repeated 35-word windows."""
+    done = substring_dedup.drop_repeated(documents(spark, sf_dir).select("doc_id", "text"))
+    return done.select("doc_id", "n_words", "n_removed", hex_sha256(F.col("kept")).alias("kept_sha256"))
+
+
 def op10_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence places, labels and confidence of every document."""
     return license_scan.scan(documents(spark, sf_dir))
@@ -66,11 +87,13 @@ def op10_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_fertility_rules": op1_fertility_rules,
     "op2_simhash_multi_index": op2_simhash_multi_index,
+    "op3_skip_chain_crf": op3_skip_chain_crf,
     "op4_prefix_set_join": op4_prefix_set_join,
     "op5_systematic_mix": op5_systematic_mix,
     "op6_language_hierarchy": op6_language_hierarchy,
     "op7_patience_lines": op7_patience_lines,
     "op8_random_indexing_quality": op8_random_indexing_quality,
+    "op9_fm_index_dedup": op9_fm_index_dedup,
     "op10_license_rules": op10_license_rules,
 }
 
