@@ -179,14 +179,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     for m in marked[1:]:
         every = every.unionByName(m)
     merge = F.pandas_udf(_merge_spans, "array<int>")
+    key, spans, found = "__decontamination_key", "__decontamination_spans", "__decontamination_items"
     merged = (every.groupBy("key").agg(F.collect_list("h.spans").alias("s"), F.collect_list("h.items").alias("i"))
-              .select("key", merge("s").alias("s"), F.array_sort(F.array_distinct(F.flatten("i"))).alias("i")))
-    key, count = "__decontamination_key", text_column(lambda: lambda t: (len(alnum_words(t)),), "n long")
-    none = F.array().cast("array<int>")
-    return (docs.withColumn(key, F.md5(F.col(text))).join(merged.withColumnRenamed("key", key), key, "left")
-            .withColumn(name, F.struct(count(F.col(text))["n"].alias("n_words"), F.coalesce("s", none).alias("spans"),
-                                       F.coalesce("i", F.array().cast("array<string>")).alias("items")))
-            .drop(key, "s", "i"))
+              .select(F.col("key").alias(key), merge("s").alias(spans), F.array_sort(F.array_distinct(F.flatten("i"))).alias(found)))
+    count = text_column(lambda: lambda t: (len(alnum_words(t)),), "n long")
+    return (docs.withColumn(key, F.md5(F.col(text))).join(merged, key, "left")
+            .withColumn(name, F.struct(count(F.col(text))["n"].alias("n_words"),
+                                       F.coalesce(spans, F.array().cast("array<int>")).alias("spans"),
+                                       F.coalesce(found, F.array().cast("array<string>")).alias("items")))
+            .drop(key, spans, found))
 
 
 def covered_words(spans: str) -> Column:

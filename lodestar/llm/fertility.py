@@ -87,7 +87,7 @@ SCHEMA = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_re
 class Vocabulary:
     """Distinct words seen by this worker, with their tokens in both vocabularies."""
 
-    def __init__(self, folder: str, limit: int = 500_000):
+    def __init__(self, folder: str, limit: int = 250_000):
         import sentencepiece
         import tiktoken
         with open(f"{folder}/{BYTE_BPE}", "rb") as lines:
@@ -108,7 +108,7 @@ class Vocabulary:
         self.tokens = np.zeros(8192, np.int32)
 
     def ids(self, words: list[bytes]) -> np.ndarray:
-        if len(self.index) > self.limit or self.chars > 50_000_000:
+        if len(self.index) > self.limit or self.chars > 20_000_000:
             self.reset()
         found = list(map(self.index.get, words))
         if None in found:
