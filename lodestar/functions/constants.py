@@ -87,3 +87,13 @@ TFIDF_MAX_FEATURES = 5000
 RANKERS = ("TF-IDF", "BM25", "EMBEDDING")
 QUERY_MODES = ("BODY", "KEYWORDS", "BODY + KEYWORDS")
 METRIC_COLUMNS = ("S@10", "P@10", "R@10", "F1@10", "MAP@10", "MRR", "NDCG@10")
+
+# FIXED VALUES: patterns and characters of the stored-response formats and of
+# document addresses.
+STRING_LITERAL_RE = r"""(?:'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")"""
+LIST_RE = r"(?s)(\[.*?\])"
+PIECE_SPLIT_RE = r"[,\n]"
+PIECE_TRIM = "'\"[] "
+URL_ID_RE = r"([0-9]+)/?$"
+# Escapes of a string literal with a meaning of their own.
+LITERAL_ESCAPES = {"\\n": "\n", "\\t": "\t", "\\r": "\r"}

@@ -29,7 +29,7 @@ BM25_SPLIT_RE = rf"[{WS}]+"
 TFIDF_TOKEN_RE = rf"[{WORD}]{{2,}}"
 WORD_TOKEN_RE = rf"[{WORD}]+"
 ALNUM_RE = r"[\p{L}\p{N}]"
-URL_ID_RE = r"([0-9]+)/?$"
+URL_ID_RE = C.URL_ID_RE
 
 
 def col(c: Column | str) -> Column:

@@ -114,29 +114,33 @@ def macro_metrics(metrics: DataFrame, run_keys: list[str] | None = None) -> Data
     ``mrr`` is the mean of the reported (carried) values as published,
     ``mrr_true`` the mean of the true reciprocal ranks."""
     run_keys = list(run_keys or [])
-    aggs = [F.avg(c).alias(c) for c in METRICS if c != "mrr"]
-    aggs += [F.coalesce(F.avg("mrr_reported"), F.lit(0.0)).alias("mrr"), F.avg("mrr").alias("mrr_true"),
-             F.count(F.lit(1)).alias("n_questions")]
+    mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0))  # noqa: E731  no question evaluated: zeros
+    aggs = [mean(c).alias(c) for c in METRICS if c != "mrr"]
+    aggs += [mean("mrr_reported").alias("mrr"), mean("mrr").alias("mrr_true"), F.count(F.lit(1)).alias("n_questions")]
     g = metrics.groupBy(*run_keys).agg(*aggs)
     return g.select(*run_keys, *METRICS, "mrr_true", "n_questions")
 
 
 def run_stats(status: DataFrame, run_keys: list[str] | None = None) -> DataFrame:
     """Counters of a run from a per-question status table with columns
-    ``has_body, n_keywords, initial_hits, retried, final_hits, partial_fetch``.
+    ``has_body, n_extracted, n_keywords, initial_hits, retried, final_hits,
+    partial_fetch``.
 
+    A question from which no keyword was extracted leaves the run before the
+    filter, the search and the retry: it counts as an extraction failure only.
     ``zero_hits`` = questions ending without a candidate (initial zero without
     retry plus failed retries)."""
     run_keys = list(run_keys or [])
-    b = F.col("has_body")
+    b = F.col("has_body") & (F.col("n_extracted") > 0)
     return status.groupBy(*run_keys).agg(
         F.count(F.lit(1)).alias("questions"),
+        F.sum(F.when(F.col("has_body") & (F.col("n_extracted") == 0), 1).otherwise(0)).alias("extraction_failures"),
         F.sum(F.when(b & (F.col("n_keywords") == 0), 1).otherwise(0)).alias("zero_keywords"),
         F.sum(F.when(b & (F.col("final_hits") == 0), 1).otherwise(0)).alias("zero_hits"),
         F.sum(F.when(b & F.col("retried"), 1).otherwise(0)).alias("retries_started"),
         F.sum(F.when(b & F.col("retried") & (F.col("final_hits") == 0), 1).otherwise(0)).alias("retries_failed"),
         F.sum(F.when(b & F.col("partial_fetch"), 1).otherwise(0)).alias("partial_fetches"),
-    ).select(*run_keys, "questions", "zero_keywords", "zero_hits", "retries_started", "retries_failed",
-             "partial_fetches",
+    ).select(*run_keys, "questions", "extraction_failures", "zero_keywords", "zero_hits", "retries_started",
+             "retries_failed", "partial_fetches",
              (F.col("zero_keywords") / F.col("questions")).alias("zero_keywords_share"),
              (F.col("zero_hits") / F.col("questions")).alias("zero_hits_share"))

@@ -1,14 +1,13 @@
 """Equi-joins that stay balanced when one key holds a large share of rows.
 
-``balanced_join`` broadcasts a side whose size is bounded. Otherwise, where
-the caller knows a side is skewed (``salt=True``: postings on frequent
-terms, candidates on documents shared by many questions), it finds that
-side's heavy keys (more than ``heavy_rows`` rows each, so at most
-``rows / heavy_rows`` of them: a bounded, broadcastable table), spreads each
-heavy key's rows over ``buckets`` salt values and replicates only the heavy
-keys' rows of the other side once per salt; light keys join unsalted.
-Without ``salt`` the join is left to AQE (runtime broadcast from real
-sizes, skew-join splitting of oversized partitions).
+No join here carries a broadcast hint: sizes estimated while planning run low
+on exploded tables, so the choice is left to adaptive execution, which sees
+real sizes, and which splits oversized partitions of a sort-merge join.
+
+``salted_join`` does not wait for that: where the query side is small by
+nature (the terms of the questions) and the other side is known to be
+skewed (postings of frequent terms), the skewed side's rows are spread over
+``buckets`` salt values and the small side is repeated once per value.
 """
 
 from __future__ import annotations
@@ -16,39 +15,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import BROADCAST_LIMIT_BYTES, small_enough
+BUCKETS = 16
 
-HEAVY_ROWS = 2_000_000
-BUCKETS = 64
 
-
-def heavy_keys(df: DataFrame, keys: list[str], heavy_rows: int = HEAVY_ROWS) -> DataFrame:
-    """Keys with more than ``heavy_rows`` rows (a partial aggregate)."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > heavy_rows).select(*keys)
-
-
-def balanced_join(skewed: DataFrame, other: DataFrame, keys: list[str], how: str = "inner",
-                  heavy: DataFrame | None = None, buckets: int = BUCKETS,
-                  heavy_rows: int = HEAVY_ROWS, limit: int = BROADCAST_LIMIT_BYTES,
-                  may_broadcast: bool = True, salt: bool = False) -> DataFrame:
-    """``skewed ⋈ other`` on ``keys`` (inner or left, ``skewed`` on the left).
-
-    ``may_broadcast=False`` for an ``other`` side that is large by design
-    (postings): size estimates of exploded tables run low, so such a side
-    is never broadcast on an estimate; the skewed side itself may then be
-    broadcast (inner joins) when its size is bounded."""
-    if may_broadcast and small_enough(other, limit):
-        return skewed.join(F.broadcast(other), keys, how)
-    if how == "inner" and small_enough(skewed, limit):
-        return F.broadcast(skewed).join(other, keys, how).select(*skewed.columns, *[
-            c for c in other.columns if c not in keys])
-    if not salt and heavy is None:
-        return skewed.join(other, keys, how)
-    hk = (heavy if heavy is not None else heavy_keys(skewed, keys, heavy_rows)).select(*keys).distinct()
-    hk = F.broadcast(hk.withColumn("_heavy", F.lit(True)))
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in skewed.columns]), F.lit(buckets))
-    left = (skewed.join(hk, keys, "left")
-            .withColumn("_salt", F.when(F.col("_heavy"), spread).otherwise(F.lit(0))).drop("_heavy"))
-    salts = F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(buckets - 1))).otherwise(F.array(F.lit(0)))
-    right = (other.join(hk, keys, "left").withColumn("_salt", F.explode(salts)).drop("_heavy"))
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+def salted_join(skewed: DataFrame, small: DataFrame, keys: list[str], buckets: int = BUCKETS) -> DataFrame:
+    """``skewed ⋈ small`` (inner) on ``keys``: each key's rows of ``skewed`` meet
+    in ``buckets`` tasks instead of one."""
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in skewed.columns]), F.lit(buckets)).cast("int")
+    left = skewed.withColumn("_salt", salt)
+    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+    return left.join(right, [*keys, "_salt"]).drop("_salt")

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions.text import has_alnum, tokens_words
-from ..session import maybe_broadcast
 
 
 def word_freq(questions: DataFrame, lemmas: DataFrame | None = None,
@@ -27,7 +26,7 @@ def word_freq(questions: DataFrame, lemmas: DataFrame | None = None,
     if lemmas is not None:
         lem = lemmas.select(F.lower("form").alias("word"), F.col("lemma"))
         lem = lem.groupBy("word").agg(F.min("lemma").alias("lemma"))
-        toks = (toks.join(maybe_broadcast(lem), "word", "left")
+        toks = (toks.join(lem, "word", "left")
                 .select("id", F.explode(tokens_words(F.coalesce("lemma", "word"))).alias("word")))
     return toks.groupBy("id", "word").agg(F.count(F.lit(1)).alias("count"))
 
@@ -97,7 +96,7 @@ def expand_keywords(keys: DataFrame, word_repr: DataFrame, n_top: int = C.EXPANS
     """
     wr = word_repr
     if exclude is not None:
-        wr = wr.join(maybe_broadcast(exclude.select("word").distinct()), "word", "left_anti")
+        wr = wr.join(exclude.select("word").distinct(), "word", "left_anti")
     k = keys.select("id", F.col("term").alias("key"))
     summed = (k.join(wr, "key").groupBy("id", "word").agg(F.sum("weight").alias("weight")))
     w = Window.partitionBy("id").orderBy(F.col("weight").desc(), F.col("word").asc())

@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions.text import tokens_bm25, tokens_tfidf
-from .joins import balanced_join
 from .retrieval import TextIndex
 
 SCORE_DIGITS = 6
@@ -26,12 +25,12 @@ SCORE_DIGITS = 6
 
 def rerank_query(questions: DataFrame, keywords: DataFrame,
                  modes: Sequence[str] = C.QUERY_MODES) -> DataFrame:
-    """``(mode, id, query)``: BODY, KEYWORDS (space-joined filtered keywords)
-    or BODY + KEYWORDS, for questions that have keywords."""
+    """``(mode, id, query)``: BODY, KEYWORDS (space-joined filtered keywords,
+    empty when none is left) or BODY + KEYWORDS."""
     kw = (keywords.groupBy("id")
           .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "term"))),
                                         lambda s: s["term"]), " ").alias("kw")))
-    q = questions.select("id", "body").join(kw, "id")
+    q = questions.select("id", "body").join(kw, "id", "left").withColumn("kw", F.coalesce("kw", F.lit("")))
     q = q.select("id", "body", "kw", F.explode(F.array(*[F.lit(m) for m in modes])).alias("mode"))
     text = (F.when(F.col("mode") == "BODY", F.col("body"))
             .when(F.col("mode") == "KEYWORDS", F.col("kw"))
@@ -52,10 +51,9 @@ def _rank(scored: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def usable_candidates(cand: DataFrame, index: TextIndex) -> DataFrame:
-    """Candidates whose document has usable text. An inner join on distinct
-    ids (= semi join) so the small candidate side is the broadcast one."""
-    c = cand.select("id", "doc_id", "retr_rank")
-    return balanced_join(c, index.usable_ids, ["doc_id"], may_broadcast=False).select("id", "doc_id", "retr_rank")
+    """Candidates whose document has usable text."""
+    return cand.select("id", "doc_id", "retr_rank").join(index.usable_ids, "doc_id", "left_semi").select(
+        "id", "doc_id", "retr_rank")
 
 
 def rerank_bm25(queries: DataFrame, cand: DataFrame, index: TextIndex,
@@ -63,36 +61,38 @@ def rerank_bm25(queries: DataFrame, cand: DataFrame, index: TextIndex,
     """Okapi BM25 with the epsilon floor: a negative idf is replaced by
     ``eps * mean(idf)`` over all distinct terms of the question's candidates.
 
+    Only postings of query terms are fetched. An idf is negative only for a
+    term in more than half of the candidates, so the mean over all candidate
+    terms is built just for questions with such a query term.
     -> ``(keys..., doc_id, score, rank)``. All candidates without tokens
     (avgdl 0) make the ranking fall back to retrieval order, scores 0.
     """
     keys = _keys(queries)
     c = usable_candidates(cand, index)
-    # a document can be a candidate of many questions: salt hot documents
-    ct = balanced_join(c.select("id", "doc_id"), index.postings, ["doc_id"], may_broadcast=False, salt=True)
-    # document lengths: inner lookup broadcasting the candidates, then a left
-    # join on the small side (documents without tokens have length 0)
-    dls = balanced_join(c.select("id", "doc_id"), index.doc_len, ["doc_id"], may_broadcast=False)
-    cl = c.join(dls, ["id", "doc_id"], "left").withColumn("dl", F.coalesce("dl", F.lit(0)))
+    asked = queries.filter(F.col("query").isNotNull() & (F.col("query") != ""))
+    cl = c.join(index.doc_len, "doc_id", "left").withColumn("dl", F.coalesce("dl", F.lit(0)))
     stats = cl.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("sumdl"))
     stats = stats.withColumn("avgdl", F.col("sumdl") / F.col("n"))
-    df = ct.groupBy("id", "term").agg(F.count(F.lit(1)).alias("df")).join(stats.select("id", "n"), "id")
-    df = df.withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    floor = df.groupBy("id").agg((F.avg("idf") * eps).alias("eps_idf"))
-    qt = (queries.filter(F.col("query").isNotNull() & (F.col("query") != ""))
-          .select(*keys, F.explode(tokens_bm25("query")).alias("term"))
+    qt = (asked.select(*keys, F.explode(tokens_bm25("query")).alias("term"))
           .groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("qtf")))
-    qidf = (qt.join(df.select("id", "term", "idf"), ["id", "term"]).join(floor, "id")
-            .select(*keys, "term", "qtf",
-                    F.when(F.col("idf") < 0, F.col("eps_idf")).otherwise(F.col("idf")).alias("idf")))
+    # (id, term, doc_id, tf, dl) of query terms only
+    hits = (cl.select("id", "doc_id", "dl").join(qt.select("id", "term").distinct(), "id")
+            .join(index.postings, ["doc_id", "term"]))
+    idf = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    df = (hits.groupBy("id", "term").agg(F.count(F.lit(1)).alias("df"))
+          .join(stats.select("id", "n", "avgdl"), "id").withColumn("idf", idf))
+    floored = df.filter("idf < 0").select("id").distinct()
+    floor = (c.select("id", "doc_id").join(floored, "id", "left_semi").join(index.postings, "doc_id")
+             .groupBy("id", "term").agg(F.count(F.lit(1)).alias("df")).join(stats.select("id", "n"), "id")
+             .groupBy("id").agg((F.avg(idf) * eps).alias("eps_idf")))
+    df = df.join(floor, "id", "left").select(
+        "id", "term", "avgdl", F.when(F.col("idf") < 0, F.col("eps_idf")).otherwise(F.col("idf")).alias("idf"))
     tf = F.col("tf")
     norm = k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
-    contrib = (qidf.join(ct, ["id", "term"]).join(cl.select("id", "doc_id", "dl"), ["id", "doc_id"])
-               .join(stats.select("id", "avgdl"), "id")
-               .select(*keys, "doc_id", (F.col("qtf") * F.col("idf") * tf * (k1 + 1) / (tf + norm)).alias("s")))
-    scores = contrib.groupBy(*keys, "doc_id").agg(F.sum("s").alias("score"))
-    base = (queries.filter(F.col("query").isNotNull() & (F.col("query") != "")).select(*keys)
-            .join(c, "id").join(stats.select("id", "sumdl"), "id"))
+    scores = (hits.join(df, ["id", "term"]).join(qt, ["id", "term"])
+              .select(*keys, "doc_id", (F.col("qtf") * F.col("idf") * tf * (k1 + 1) / (tf + norm)).alias("s"))
+              .groupBy(*keys, "doc_id").agg(F.sum("s").alias("score")))
+    base = asked.select(*keys).join(c, "id").join(stats.select("id", "sumdl"), "id")
     scored = (base.join(scores, [*keys, "doc_id"], "left")
               .select(*keys, "doc_id", "retr_rank", (F.col("sumdl") == 0).alias("fallback"),
                       F.when(F.col("sumdl") == 0, F.lit(0.0)).otherwise(F.coalesce("score", F.lit(0.0))).alias("score")))
@@ -121,7 +121,7 @@ def rerank_tfidf(queries: DataFrame, cand: DataFrame, index: TextIndex,
         lambda: tfidf_postings(index, stop_words))
     c = usable_candidates(cand, index)
     n_docs = c.groupBy("id").agg(F.count(F.lit(1)).alias("n_docs"))
-    ct = balanced_join(c.select("id", "doc_id"), post, ["doc_id"], may_broadcast=False, salt=True)
+    ct = c.select("id", "doc_id").join(post, "doc_id")
     dstat = ct.groupBy("id", "term").agg(F.count(F.lit(1)).alias("df_d"), F.sum("tf").alias("tot_d"))
     q = queries.filter(F.col("query").isNotNull() & (F.col("query") != ""))
     qt = (q.select(*keys, F.explode(tokens_tfidf("query", stop_words)).alias("term"))
@@ -155,53 +155,47 @@ def rerank_tfidf(queries: DataFrame, cand: DataFrame, index: TextIndex,
     return _rank(scored, keys)
 
 
-def vector_norms(vectors: DataFrame, key: str) -> DataFrame:
-    """``(key, vec, norm)`` with ``vec`` as ``array<double>``."""
-    v = F.transform("vec", lambda x: x.cast("double"))
-    return vectors.select(key, v.alias("vec")).select(
-        key, "vec", F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)).alias("norm"))
-
-
 def rerank_embedding(queries: DataFrame, cand: DataFrame, index: TextIndex,
                      q_emb: DataFrame, d_emb: DataFrame) -> DataFrame:
-    """Cosine between the stored question vector and each candidate's stored
-    vector; a missing or zero vector scores 0. ``q_emb(id, vec)``,
-    ``d_emb(doc_id, vec)``.
+    """Cosine between the stored vector of the query and each candidate's
+    stored vector; a missing or zero vector scores 0. ``q_emb(id[, mode], vec)``
+    (one vector per query text), ``d_emb(doc_id, vec)``.
 
     -> ``(keys..., doc_id, score, rank)``.
     """
     keys = _keys(queries)
+    on = [k for k in keys if k in q_emb.columns]
     c = usable_candidates(cand, index)
-    qv = vector_norms(q_emb, "id").withColumnsRenamed({"vec": "qv", "norm": "qn"})
-    dv = vector_norms(d_emb, "doc_id").withColumnsRenamed({"vec": "dv", "norm": "dn"})
+    qv = q_emb.select(*on, "vec").withColumnRenamed("vec", "qv").withColumn("qv", F.transform("qv", lambda x: x.cast("double")))
+    qv = qv.withColumn("qn", _norm("qv"))
+    # stored vectors cover the corpus: cut to the candidates before they move
+    dv = (d_emb.join(c.select("doc_id").distinct(), "doc_id", "left_semi")
+          .select("doc_id", F.transform("vec", lambda x: x.cast("double")).alias("dv")).withColumn("dn", _norm("dv")))
     dot = F.aggregate(F.zip_with("qv", "dv", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    # stored vectors cover the corpus: inner join broadcasting the candidates,
-    # candidates without a vector are added back (score 0) by an anti-join
-    with_vec = balanced_join(c, dv, ["doc_id"], may_broadcast=False)
-    no_vec = (c.join(with_vec.select("id", "doc_id"), ["id", "doc_id"], "left_anti")
-              .select(*c.columns, F.lit(None).cast("array<double>").alias("dv"), F.lit(None).cast("double").alias("dn")))
-    cv = with_vec.select(*c.columns, "dv", "dn").unionByName(no_vec)
     base = (queries.filter(F.col("query").isNotNull() & (F.col("query") != "")).select(*keys)
-            .join(cv, "id").join(qv, "id", "left"))
+            .join(c.join(dv, "doc_id", "left"), "id").join(qv, on, "left"))
     score = F.when((F.col("qn") > 0) & (F.col("dn") > 0), dot / (F.col("qn") * F.col("dn"))).otherwise(F.lit(0.0))
     scored = base.select(*keys, "doc_id", "retr_rank", F.lit(False).alias("fallback"),
                          F.coalesce(score, F.lit(0.0)).alias("score"))
     return _rank(scored, keys)
 
 
+def _norm(vector: str):
+    return F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x * x))
+
+
 def rank_with_fallback(queries: DataFrame, cand: DataFrame, articles: DataFrame,
                        index: TextIndex, ranker: str = "BM25", **kw) -> DataFrame:
     """Dispatch on the ranker name, with the pipeline's fallbacks:
     no article found -> retrieval order, score 0; articles but no usable
-    text -> found articles in retrieval order, score 0.
+    text -> found articles in retrieval order, score 0, unless the query is
+    empty: an empty query ranks nothing.
 
     -> ``(keys..., doc_id, score, rank)``.
     """
     keys = _keys(queries)
     pairs = cand.select("id", "doc_id")
-    art = articles.select("doc_id")
-    found_pairs = balanced_join(pairs, art, ["doc_id"], may_broadcast=False).select(
-        "id", "doc_id", F.lit(True).alias("found"))
+    found_pairs = pairs.join(articles.select("doc_id"), "doc_id", "left_semi").withColumn("found", F.lit(True))
     n_found = found_pairs.groupBy("id").agg(F.count(F.lit(1)).alias("n_found"))
     n_usable = usable_candidates(cand, index).groupBy("id").agg(F.count(F.lit(1)).alias("n_usable"))
     status = (pairs.select("id").distinct().join(n_found, "id", "left").join(n_usable, "id", "left")
@@ -217,9 +211,10 @@ def rank_with_fallback(queries: DataFrame, cand: DataFrame, articles: DataFrame,
         ranked = rerank_embedding(qok, cand, index, kw["q_emb"], kw["d_emb"])
     else:
         raise ValueError(f"unknown ranker {ranker!r}")
-    fb = queries.select(*keys).join(status.filter(F.col("n_usable") == 0), "id")
+    fb = queries.join(status.filter(F.col("n_usable") == 0), "id")
+    asked = F.col("query").isNotNull() & (F.col("query") != "")
     fb_docs = (fb.join(cand.select("id", "doc_id", "retr_rank"), "id").join(found_pairs, ["id", "doc_id"], "left")
-               .filter((F.col("n_found") == 0) | F.col("found").isNotNull()))
+               .filter((F.col("n_found") == 0) | (F.col("found").isNotNull() & asked)))
     w = Window.partitionBy(*keys).orderBy("retr_rank")
     fallback = fb_docs.select(*keys, "doc_id", F.lit(0.0).alias("score"), F.row_number().over(w).alias("rank"))
     return ranked.unionByName(fallback)

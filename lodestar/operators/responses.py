@@ -19,19 +19,22 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..functions.text import WS, py_strip
 
-_SQ = r"'(?:[^'\\]|\\.)*'"
-_DQ = r'"(?:[^"\\]|\\.)*"'
-_STR = rf"(?:{_SQ}|{_DQ})"
-LIST_RE = r"(?s)(\[.*?\])"
+_STR = C.STRING_LITERAL_RE
+LIST_RE = C.LIST_RE
 STRING_LIST_RE = rf"^\[[{WS}]*(?:{_STR}(?:[{WS}]*,[{WS}]*{_STR})*[{WS}]*,?)?[{WS}]*\]$"
 ITEM_RE = _STR
-PIECE_SPLIT_RE = r"[,\n]"
-PIECE_TRIM = "'\"[] "
+PIECE_SPLIT_RE = C.PIECE_SPLIT_RE
+PIECE_TRIM = C.PIECE_TRIM
 
 
 def _unquote(item):
+    """The text of a string literal: quotes off, the named escapes resolved,
+    any other escaped character (quotes, the backslash) kept as itself."""
     body = F.substring(item, F.lit(2), F.char_length(item) - 2)
-    return F.regexp_replace(body, r"\\(.)", "$1")
+    body = F.replace(body, F.lit("\\\\"), F.lit("\x01"))
+    for escape, meaning in C.LITERAL_ESCAPES.items():
+        body = F.replace(body, F.lit(escape), F.lit(meaning))
+    return F.replace(F.regexp_replace(body, r"\\(['\"])", "$1"), F.lit("\x01"), F.lit("\\"))
 
 
 def parse_keyword_responses(responses: DataFrame, key_cols=("id",)) -> DataFrame:
@@ -59,6 +62,6 @@ def clean_query_responses(responses: DataFrame, key_cols=("id",)) -> DataFrame:
     return responses.select(*keys, x.alias("query"), (F.char_length(x) > 3).alias("valid"))
 
 
-def conversation_responses(conversations: DataFrame, role: str = "assistant") -> DataFrame:
-    """Stored responses from the conversation table: ``(conv_id, turn, raw)``."""
-    return conversations.filter(F.col("role") == role).select("conv_id", "turn", F.col("text").alias("raw"))
+def conversation_responses(conversations: DataFrame) -> DataFrame:
+    """Every turn of the conversation table as a stored response: ``(conv_id, turn, raw)``."""
+    return conversations.select("conv_id", "turn", F.col("text").alias("raw"))

@@ -9,15 +9,15 @@ relevance order; ``total_count`` is counted before the cap.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions.text import py_strip, tokens_bm25, usable_part
-from ..session import materialize, maybe_broadcast
-from .joins import balanced_join
+from ..session import materialize
+from .joins import salted_join
 
 
 def split_articles(documents: DataFrame) -> DataFrame:
@@ -53,49 +53,49 @@ def doc_lengths(postings: DataFrame) -> DataFrame:
 
 @dataclass
 class TextIndex:
-    """Usable document texts plus the postings every search and ranker reads."""
+    """Usable document texts plus the tables every search and ranker reads.
+
+    With ``persist`` each table is written once, when it is first asked for."""
 
     docs: DataFrame       # (doc_id, title, abstract, text)
-    postings: DataFrame   # (doc_id, term, tf) over text
-    doc_len: DataFrame    # (doc_id, dl)
     persist: bool = False
-    _extra: dict | None = None
+    tables: dict = field(default_factory=dict)
 
     @classmethod
     def build(cls, articles: DataFrame, persist: bool = False) -> "TextIndex":
-        docs = doc_text(articles)
-        postings = build_postings(docs)
-        if persist:
-            postings = materialize(postings, "postings")
-        doc_len = doc_lengths(postings)
-        if persist:
-            doc_len = materialize(doc_len, "doc_len")
-        return cls(docs, postings, doc_len, persist, {})
+        return cls(doc_text(articles), persist)
 
     def derived(self, name: str, fn) -> DataFrame:
-        """A further per-document table (e.g. TF-IDF postings), built once;
-        materialized in pipeline mode."""
-        if self._extra is None:
-            self._extra = {}
-        if name not in self._extra:
+        if name not in self.tables:
             df = fn()
-            self._extra[name] = materialize(df, name) if self.persist else df
-        return self._extra[name]
+            self.tables[name] = materialize(df, name) if self.persist else df
+        return self.tables[name]
+
+    @property
+    def postings(self) -> DataFrame:
+        """``(doc_id, term, tf)`` over the combined text."""
+        return self.derived("postings", lambda: build_postings(self.docs))
+
+    @property
+    def doc_len(self) -> DataFrame:
+        """``(doc_id, dl)``."""
+        return self.derived("doc_len", lambda: doc_lengths(self.postings))
 
     @property
     def usable_ids(self) -> DataFrame:
         """``(doc_id)`` of usable documents (a small table, built once)."""
         return self.derived("usable_ids", lambda: self.docs.select("doc_id"))
 
-    def field_docs(self, field: str | None) -> DataFrame:
-        """``(doc_id, text)`` of one field (``title``/``abstract``) or the combined text."""
-        if field is None:
-            return self.docs.select("doc_id", "text")
-        part = py_strip(usable_part(field))
-        return self.docs.select("doc_id", part.alias("text")).filter(F.col("text").isNotNull() & (F.col("text") != ""))
+    def fields(self) -> DataFrame:
+        """``(doc_id, field, text)``: the combined text (field ``text``), title and abstract."""
+        parts = F.array(*[F.struct(F.lit(f).alias("field"), t.alias("text")) for f, t in (
+            ("text", F.col("text")), ("title", py_strip(usable_part("title"))), ("abstract", py_strip(usable_part("abstract"))))])
+        return (self.docs.select("doc_id", F.explode(parts).alias("p")).select("doc_id", "p.*")
+                .filter(F.col("text").isNotNull() & (F.col("text") != "")))
 
-    def field_postings(self, field: str | None) -> DataFrame:
-        return self.postings if field is None else build_postings(self.field_docs(field))
+    def field_postings(self) -> DataFrame:
+        """``(doc_id, field, term)``, distinct."""
+        return (self.fields().select("doc_id", "field", F.explode(F.array_distinct(tokens_bm25("text"))).alias("term")))
 
 
 def clean_terms(keywords: DataFrame) -> DataFrame:
@@ -132,40 +132,75 @@ def hybrid_query_string(keywords: DataFrame, n_core: int = C.CORE_TERMS,
     return g.select("id", q.alias("query"))
 
 
-def _term_hits(terms: DataFrame, index: TextIndex, field_col: str | None = None) -> DataFrame:
-    """``terms(id, grp, k, term[, field])`` -> ``(id, grp, k, doc_id)`` for every
-    document holding the normalised term (phrases: all tokens, in order).
+# Names a field restriction may use -> the fields searched.
+SEARCH_FIELDS = {"text": ["text"], "title": ["title"], "abstract": ["abstract"], "title/abstract": ["title", "abstract"]}
 
-    Field-restricted and phrase branches are planned only when the (small)
-    term table has such terms: an emptiness check on the term side keeps
-    the large document side from being tokenised again for nothing.
-    """
-    t = terms.select("id", "grp", "k", tokens_bm25("term").alias("toks"),
-                     (F.col(field_col) if field_col else F.lit(None).cast("string")).alias("field"))
-    out = None
-    for fld in ([None] if field_col is None else [None, "title", "abstract"]):
-        tf = t.filter(F.col("field").isNull() if fld is None else (F.col("field") == fld))
-        if fld is not None and tf.isEmpty():
-            continue
-        post = index.field_postings(fld).select("doc_id", "term")
-        single = tf.filter(F.size("toks") == 1).select("id", "grp", "k", F.col("toks")[0].alias("term"))
-        # postings are skewed on frequent terms; the term side is small or salted
-        part = balanced_join(post, single, ["term"], salt=True).select("id", "grp", "k", "doc_id")
-        multi = tf.filter(F.size("toks") > 1)
-        if not multi.isEmpty():
-            multi = multi.select(
-                "id", "grp", "k", F.concat(F.lit(" "), F.array_join("toks", " "), F.lit(" ")).alias("phrase"),
-                F.explode(F.array_distinct("toks")).alias("term"), F.size(F.array_distinct("toks")).alias("nt"))
-            cand = (balanced_join(post, multi, ["term"], salt=True)
-                    .groupBy("id", "grp", "k", "phrase", "nt", "doc_id").agg(F.count(F.lit(1)).alias("c"))
-                    .filter(F.col("c") == F.col("nt")))
-            norm = index.field_docs(fld).select(
-                "doc_id", F.concat(F.lit(" "), F.array_join(tokens_bm25("text"), " "), F.lit(" ")).alias("norm"))
-            checked = balanced_join(cand, norm, ["doc_id"], may_broadcast=False)
-            part = part.unionByName(checked.filter(F.instr("norm", F.col("phrase")) > 0)
-                                    .select("id", "grp", "k", "doc_id"))
-        out = part if out is None else out.unionByName(part)
-    return out.distinct()
+
+def check_field(field: str | None) -> None:
+    if field is not None and field.lower() not in SEARCH_FIELDS:
+        raise ValueError(f"unknown search field {field!r}; known: {', '.join(SEARCH_FIELDS)}")
+
+
+def searched_fields(field) -> Column:
+    """The fields a restriction names (NULL: the combined text); an unknown
+    name is an error when the row is read."""
+    known = F.when(field.isNull(), F.array(F.lit("text")))
+    for name, fields in SEARCH_FIELDS.items():
+        known = known.when(F.lower(field) == name, F.array(*[F.lit(f) for f in fields]))
+    return known.otherwise(F.raise_error(F.concat(F.lit("unknown search field "), field)).cast("array<string>"))
+
+
+def _prepared(terms: DataFrame, fielded: bool) -> DataFrame:
+    """``terms(id, k, term, field, extra...)`` -> one row per field and distinct
+    token, with the number of tokens and, for several, the padded phrase."""
+    extra = [c for c in terms.columns if c not in ("id", "k", "term", "field")]
+    t = terms.select("id", "k", *extra, tokens_bm25("term").alias("toks"),
+                     (F.explode(searched_fields(F.col("field"))) if fielded else F.lit("text")).alias("field"))
+    distinct = F.array_distinct("toks")
+    return t.select("id", "k", *extra, "field", F.size(distinct).alias("nt"),
+                    F.when(F.size("toks") > 1, F.concat(F.lit(" "), F.array_join("toks", " "), F.lit(" "))).alias("phrase"),
+                    F.explode(distinct).alias("term"))
+
+
+def _complete(found: DataFrame, keys: list[str], index: TextIndex, phrases: bool, fielded: bool) -> DataFrame:
+    """Token matches -> term matches: every token present and, for a term of
+    several tokens, the phrase in the document's normalised text."""
+    if not phrases:
+        return found.select(*keys, "doc_id")
+    whole = (found.groupBy(*keys, "field", "phrase", "nt", "doc_id").agg(F.count(F.lit(1)).alias("c"))
+             .filter(F.col("c") == F.col("nt")))
+    multi = whole.filter(F.col("phrase").isNotNull())
+    # only documents that hold all tokens of a phrase are read and normalised again
+    texts = index.fields() if fielded else index.docs.select("doc_id", F.lit("text").alias("field"), "text")
+    wanted = texts.join(multi.select("doc_id", "field").distinct(), ["doc_id", "field"], "left_semi")
+    norm = wanted.select("doc_id", "field",
+                         F.concat(F.lit(" "), F.array_join(tokens_bm25("text"), " "), F.lit(" ")).alias("norm"))
+    checked = multi.join(norm, ["doc_id", "field"]).filter(F.instr("norm", F.col("phrase")) > 0)
+    out = whole.filter(F.col("phrase").isNull()).select(*keys, "doc_id").unionByName(checked.select(*keys, "doc_id"))
+    return out.distinct() if fielded else out  # a term may match in the title and in the abstract
+
+
+def _postings(index: TextIndex, fielded: bool) -> DataFrame:
+    return index.field_postings() if fielded else index.postings.select("doc_id", F.lit("text").alias("field"), "term")
+
+
+def _term_hits(terms: DataFrame, index: TextIndex, phrases: bool, fielded: bool) -> DataFrame:
+    """``terms(id, k, term, field, extra...)`` -> ``(id, k, extra..., doc_id)`` for
+    every document that holds the term. Postings of frequent terms are a hot
+    key: the join is salted on the side of the (few) terms."""
+    t = _prepared(terms, fielded)
+    keys = [c for c in terms.columns if c not in ("term", "field")]
+    found = salted_join(_postings(index, fielded), t, ["term", "field"])
+    return _complete(found, keys, index, phrases, fielded)
+
+
+def _term_hits_among(pairs: DataFrame, terms: DataFrame, index: TextIndex, phrases: bool, fielded: bool) -> DataFrame:
+    """The same for given ``pairs(id, doc_id)`` only: each pair asks for its
+    question's terms, so a frequent term costs no more than the pairs."""
+    t = _prepared(terms, fielded)
+    keys = [c for c in terms.columns if c not in ("term", "field")]
+    found = pairs.join(t, "id").join(_postings(index, fielded), ["doc_id", "field", "term"])
+    return _complete(found, keys, index, phrases, fielded)
 
 
 def _cap(matches: DataFrame, max_results: int) -> DataFrame:
@@ -180,78 +215,88 @@ def _cap(matches: DataFrame, max_results: int) -> DataFrame:
 
 
 def boolean_search(keywords: DataFrame, index: TextIndex, n_core: int = C.CORE_TERMS,
-                   max_results: int = C.MAX_SEARCH_RESULTS, field: str | None = None) -> DataFrame:
+                   max_results: int = C.MAX_SEARCH_RESULTS, field: str | None = None, phrases: bool = True) -> DataFrame:
     """Hybrid search: documents holding every core term (the first ``n_core``)
     and, when there are other terms, at least one of them.
 
+    Core terms are matched first; the other terms are looked up only in the
+    documents that survive. ``phrases=False`` promises one-token terms.
     ``keywords(id, pos, term)`` -> ``(id, doc_id, retr_rank, total_count, matched)``.
     """
-    t = clean_terms(keywords).select("id", "k", "term", (F.col("k") <= n_core).alias("grp"),
+    check_field(field)
+    fielded = field is not None
+    t = clean_terms(keywords).select("id", "k", "term", (F.col("k") <= n_core).alias("core"),
                                      F.lit(field).cast("string").alias("field"))
-    need = t.groupBy("id").agg(F.sum(F.col("grp").cast("int")).alias("n_core"),
-                               F.sum((~F.col("grp")).cast("int")).alias("n_rest"))
-    hits = _term_hits(t, index, "field" if field else None)
-    per_doc = hits.groupBy("id", "doc_id").agg(
-        F.sum(F.col("grp").cast("int")).alias("core_hits"),
-        F.sum((~F.col("grp")).cast("int")).alias("rest_hits"))
-    ok = (per_doc.join(maybe_broadcast(need), "id")
-          .filter((F.col("core_hits") == F.col("n_core")) & ((F.col("n_rest") == 0) | (F.col("rest_hits") > 0)))
-          .select("id", "doc_id", (F.col("core_hits") + F.col("rest_hits")).alias("matched")))
-    return _cap(ok, max_results)
-
-
-def clause_search(clauses: DataFrame, index: TextIndex,
-                  max_results: int = C.MAX_SEARCH_RESULTS) -> DataFrame:
+    need = t.groupBy("id").agg(F.count_if("core").alias("n_core"), F.count_if(~F.col("core")).alias("n_rest"))
+    core = t.filter("core").drop("core")
+    rest = t.filter(~F.col("core")).drop("core")
+    core_docs = (_term_hits(core, index, phrases, fielded).groupBy("id", "doc_id").agg(F.count(F.lit(1)).alias("core_hits"))
+                 .join(need, "id").filter(F.col("core_hits") == F.col("n_core"))
+                 .select("id", "doc_id", "core_hits", "n_rest"))
+    rest_docs = (_term_hits_among(core_docs.filter("n_rest > 0").select("id", "doc_id"), rest, index, phrases, fielded)
+                 .groupBy("id", "doc_id").agg(F.count(F.lit(1)).alias("rest_hits")))
+    ok = (core_docs.join(rest_docs, ["id", "doc_id"], "left")
+          .filter((F.col("n_rest") == 0) | F.col("rest_hits").isNotNull())
+          .select("id", "doc_id", (F.col("core_hits") + F.coalesce("rest_hits", F.lit(0))).alias("matched")))
+    # questions whose core terms were all dropped as empty: the other terms alone
+    coreless = rest.join(need.filter("n_core = 0").select("id"), "id", "left_semi")
+    alone = (_term_hits(coreless, index, phrases, fielded).groupBy("id", "doc_id").agg(F.count(F.lit(1)).alias("matched")))
+    return _cap(ok.unionByName(alone), max_results)
+
+
+def clause_search(clauses: DataFrame, index: TextIndex, max_results: int = C.MAX_SEARCH_RESULTS,
+                  phrases: bool = True, fielded: bool = True) -> DataFrame:
     """Structured query: AND across clauses, OR inside a clause, ``negated``
     clauses exclude. ``clauses(id, clause_no, term, field, negated)``.
-    A question needs at least one positive clause."""
+    A question needs at least one positive clause. ``fielded=False`` promises
+    that no clause names a field."""
     c = clauses.select("id", F.col("clause_no").alias("grp"), "term", "field",
                        F.coalesce("negated", F.lit(False)).alias("negated"),
                        F.row_number().over(Window.partitionBy("id").orderBy("clause_no", "term")).alias("k"))
     c = c.filter(F.col("term").isNotNull() & (py_strip("term") != ""))
-    need = (c.filter(~F.col("negated")).groupBy("id")
-            .agg(F.count_distinct("grp").alias("n_pos")))
-    hits = _term_hits(c, index, "field").join(c.select("id", "k", "negated"), ["id", "k"])
-    pos = (hits.filter(~F.col("negated")).groupBy("id", "doc_id")
-           .agg(F.count_distinct("grp").alias("clauses_hit"), F.count_distinct("k").alias("matched")))
-    neg = hits.filter(F.col("negated")).select("id", "doc_id").distinct()
-    ok = (pos.join(maybe_broadcast(need), "id").filter(F.col("clauses_hit") == F.col("n_pos"))
-          .join(neg, ["id", "doc_id"], "left_anti").select("id", "doc_id", "matched"))
+    need = (c.filter(~F.col("negated")).groupBy("id").agg(F.count_distinct("grp").alias("n_pos")))
+    hits = _term_hits(c, index, phrases, fielded)
+    per_clause = hits.groupBy("id", "doc_id", "grp", "negated").agg(F.count(F.lit(1)).alias("terms"))
+    per_doc = per_clause.groupBy("id", "doc_id").agg(
+        F.count_if(~F.col("negated")).alias("clauses_hit"), F.count_if("negated").alias("excluded"),
+        F.sum(F.when(~F.col("negated"), F.col("terms")).otherwise(0)).alias("matched"))
+    ok = (per_doc.filter("excluded = 0").join(need, "id").filter(F.col("clauses_hit") == F.col("n_pos"))
+          .select("id", "doc_id", "matched"))
     return _cap(ok, max_results)
 
 
 def search_with_retry(questions: DataFrame, keywords: DataFrame, clauses: DataFrame,
-                      index: TextIndex, n_core: int = C.CORE_TERMS,
-                      max_results: int = C.MAX_SEARCH_RESULTS) -> DataFrame:
+                      index: TextIndex, n_core: int = C.CORE_TERMS, max_results: int = C.MAX_SEARCH_RESULTS,
+                      phrases: bool = True, fielded: bool = True, first: DataFrame | None = None) -> DataFrame:
     """Initial hybrid search; questions left without a hit (or without any
     keyword) retry with their structured clauses, whose result replaces it.
 
+    ``first``: the initial result, when it is at hand.
     -> ``(id, doc_id, retr_rank, total_count, query_used)``.
     """
-    first = boolean_search(keywords, index, n_core, max_results)
+    if first is None:
+        first = boolean_search(keywords, index, n_core, max_results, phrases=phrases)
     ids = questions.select("id")
     missing = ids.join(first.select("id").distinct(), "id", "left_anti")
-    retry = clause_search(clauses.join(missing, "id", "left_semi"), index, max_results)
+    retry = clause_search(clauses.join(missing, "id", "left_semi"), index, max_results, phrases, fielded)
     cols = ["id", "doc_id", "retr_rank", "total_count"]
     return (first.select(*cols, F.lit("hybrid").alias("query_used"))
             .unionByName(retry.select(*cols, F.lit("direct").alias("query_used"))))
 
 
 def fetch_details(candidates: DataFrame, articles: DataFrame) -> DataFrame:
-    """``(id, doc_id, retr_rank, title, abstract, found)``: candidates joined
-    to their article; missing articles stay with ``found = false``.
-
-    The corpus is never the shuffled or broadcast side: found rows come from
-    an inner join that broadcasts the (size-checked) candidates or salts hot
-    documents; the missing ones from an anti-join on the small side."""
-    cand = candidates.select("id", "doc_id", "retr_rank")
-    art = articles.select("doc_id", "title", "abstract")
-    hit = balanced_join(cand, art, ["doc_id"], may_broadcast=False)
-    found = hit.select("id", "doc_id", "retr_rank", "title", "abstract", F.lit(True).alias("found"))
-    missing = (cand.join(hit.select("id", "doc_id"), ["id", "doc_id"], "left_anti")
-               .select("id", "doc_id", "retr_rank", F.lit(None).cast("string").alias("title"),
-                       F.lit(None).cast("string").alias("abstract"), F.lit(False).alias("found")))
-    return found.unionByName(missing)
+    """``(id, doc_id, retr_rank, title, abstract, found)``: distinct candidates
+    with their article; missing articles stay with ``found = false``.
+
+    The corpus is read once and cut to the wanted ids by a semi-join before
+    its text moves; the few articles left are then looked up. A document that
+    many questions want is one article row; its many candidate rows are an
+    oversized partition that adaptive execution splits."""
+    cand = candidates.groupBy("id", "doc_id").agg(F.min("retr_rank").alias("retr_rank"))
+    wanted = (articles.select("doc_id", "title", "abstract")
+              .join(cand.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("found", F.lit(True)))
+    return (cand.join(wanted, "doc_id", "left")
+            .select("id", "doc_id", "retr_rank", "title", "abstract", F.coalesce("found", F.lit(False)).alias("found")))
 
 
 def fetch_status(details: DataFrame) -> DataFrame:

@@ -78,8 +78,9 @@ def explode_results(results: DataFrame) -> DataFrame:
 
 def strip_rerank_fields(results: DataFrame) -> DataFrame:
     """Drops ``rerank_score``/``rerank_position`` from every snippet; adds
-    ``removed``: how many fields were removed for the row."""
-    removed = F.size("snippets") * 2
+    ``removed``: how many such fields the row's snippets held."""
+    present = lambda s: s["rerank_score"].isNotNull().cast("int") + s["rerank_position"].isNotNull().cast("int")
+    removed = F.aggregate(F.transform("snippets", present), F.lit(0), lambda a, n: a + n)
     return results.select(
         *[c for c in results.columns if c != "snippets"],
         F.transform("snippets", lambda s: s.dropFields("rerank_score", "rerank_position")).alias("snippets"),

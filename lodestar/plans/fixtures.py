@@ -8,23 +8,25 @@
   stands next to a key word (both directions), keys limited to words of
   the questions. Adjacent pairs only, so the table grows linearly with
   the text, never with all pairs of a turn.
-- qrels      <- documents containing the first 40 characters of a question
-- q_emb / d_emb <- ``embeddings`` rows whose vec_id is a question id /
-  a document id (one stored-vector table serves both sides).
+- qrels      <- documents that hold all words of a question in a row (the
+  whole question, letter case and punctuation aside)
+- q_emb / d_emb <- ``embeddings``: every 25th row (``vec_id % 25 = 0``) is a
+  query vector, dealt to the (question, mode) pairs in turn; the others are
+  document vectors (``doc_id = vec_id``)
+- lemmas     <- background words that are another background word plus ``s``
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import WORD, tokens_words
-from ..operators.joins import balanced_join
+from ..functions import constants as C
+from ..functions.text import tokens_words
+from ..operators.joins import salted_join
 from ..operators.retrieval import split_articles
-from ..session import maybe_broadcast
 
-QREL_PREFIX_LEN = 40
-QREL_WINDOW = 8
+QUERY_VECTOR_STEP = 25
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,51 +60,45 @@ def word_repr(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = (c.filter(F.size("t") > 1).select(F.explode(F.concat(fwd, bwd)).alias("p"))
              .select("p.key", "p.word").filter(F.col("key") != F.col("word")))
     vocab = question_vocabulary(spark, sf_dir).withColumnRenamed("word", "key")
-    return (pairs.join(maybe_broadcast(vocab), "key", "left_semi")
+    return (pairs.join(vocab, "key", "left_semi")
             .groupBy("key", "word").agg(F.count(F.lit(1)).alias("weight")))
 
 
+def gold_pairs(questions: DataFrame, documents: DataFrame, n_anchors: int = 2) -> DataFrame:
+    """``questions(id, body)``, ``documents(doc_id, text)`` -> distinct
+    ``(id, doc_id)`` where the document's words hold the question's words in a row.
+
+    No all-pairs comparison: a question is looked up by its ``n_anchors`` rarest
+    words (by document counts), documents that hold them all are candidates, and
+    only their texts are compared in full. A question without words has no pair."""
+    q = questions.select("id", tokens_words("body").alias("w")).filter(F.size("w") > 0)
+    words = q.select("id", F.explode(F.array_distinct("w")).alias("word"))
+    held = (documents.select("doc_id", F.explode(F.array_distinct(tokens_words("text"))).alias("word"))
+            .join(words.select("word").distinct(), "word", "left_semi"))
+    counts = held.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    rarest = Window.partitionBy("id").orderBy("n", "word")
+    anchors = (words.join(counts, "word").withColumn("r", F.row_number().over(rarest))
+               .filter(F.col("r") <= n_anchors).select("id", "word"))
+    asked = anchors.groupBy("id").agg(F.count(F.lit(1)).alias("asked"))
+    cand = (salted_join(held, anchors, ["word"]).groupBy("id", "doc_id").agg(F.count(F.lit(1)).alias("c"))
+            .join(asked, "id").filter(F.col("c") == F.col("asked")).select("id", "doc_id"))
+    padded = lambda words: F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+    texts = (documents.select("doc_id", "text").join(cand.select("doc_id").distinct(), "doc_id", "left_semi")
+             .select("doc_id", padded(tokens_words("text")).alias("norm")))
+    return (cand.join(texts, "doc_id").join(q.select("id", padded(F.col("w")).alias("phrase")), "id")
+            .filter(F.contains("norm", "phrase")).select("id", "doc_id").distinct())
+
+
 def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(id, doc_id)``: distinct pairs where the document text contains the
-    question's first 40 characters (exact, case-sensitive).
-
-    No all-pairs comparison: each question is anchored on its longest whole
-    word strictly inside the prefix (such a word is a whole word of every
-    containing document too), documents are equi-joined on that word, and
-    only those candidates are verified with ``instr``. Prefixes without an
-    inner word use fixed-length character windows instead.
-    """
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    pre = F.substring("text", 1, QREL_PREFIX_LEN)
-    q = (table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), pre.alias("prefix"))
-         .filter(F.col("prefix").isNotNull() & (F.col("prefix") != "")))
-    inner = F.regexp_replace("prefix", rf"^[{WORD}]+|[{WORD}]+$", " ")
-    toks = F.regexp_extract_all(inner, F.lit(rf"[{WORD}]+"), 0)
-    best = F.array_sort(F.transform(toks, lambda t: F.struct((-F.char_length(t)).alias("l"), t.alias("t"))))
-    qa = q.select("id", "prefix", F.when(F.size(toks) > 0, best[0]["t"]).alias("anchor"))
-    anchored = qa.filter(F.col("anchor").isNotNull())
-    doc_words = docs.select("doc_id", F.explode(F.array_distinct(
-        F.regexp_extract_all("text", F.lit(rf"[{WORD}]+"), 0))).alias("anchor"))
-    cand = doc_words.join(maybe_broadcast(anchored), "anchor").select("id", "prefix", "doc_id")
-    # verify candidates only; the corpus side is streamed, never shuffled
-    found = (balanced_join(cand, docs, ["doc_id"], may_broadcast=False)
-             .filter(F.instr("text", F.col("prefix")) > 0).select("id", "doc_id"))
-    loose = qa.filter(F.col("anchor").isNull()).select("id", "prefix")
-    if not loose.isEmpty():
-        k = QREL_WINDOW
-        head = loose.select("id", "prefix", F.substring("prefix", 1, k).alias("w"))
-        wins = docs.select("doc_id", F.explode(F.transform(
-            F.sequence(F.lit(1), F.greatest(F.char_length("text") - k + 1, F.lit(1))),
-            lambda i: F.substring("text", i, k))).alias("w")).distinct()
-        c2 = wins.join(maybe_broadcast(head), "w").select("id", "prefix", "doc_id")
-        found = found.unionByName(
-            balanced_join(c2, docs, ["doc_id"], may_broadcast=False)
-            .filter(F.instr("text", F.col("prefix")) > 0).select("id", "doc_id"))
-    return found.distinct()
-
-
-def lemmas(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], "form string, lemma string")
+    return gold_pairs(questions(spark, sf_dir), table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(form, lemma)``."""
+    words = unigrams(spark, sf_dir).select("word")
+    forms = words.filter(F.col("word").endswith("s") & (F.char_length("word") > 1)).select(
+        F.col("word").alias("form"), F.expr("substring(word, 1, char_length(word) - 1)").alias("lemma"))
+    return forms.join(words.withColumnRenamed("word", "lemma"), "lemma", "left_semi").select("form", "lemma")
 
 
 def retry_clauses(keywords: DataFrame) -> DataFrame:
@@ -112,13 +108,17 @@ def retry_clauses(keywords: DataFrame) -> DataFrame:
 
 
 def q_emb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings")
-    ids = questions(spark, sf_dir).select(F.col("id").alias("vec_id"))
-    return e.join(ids, "vec_id", "left_semi").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    """``(id, mode, vec)``: one stored vector per question and query mode."""
+    e = table(spark, sf_dir, "embeddings").filter(F.col("vec_id") % QUERY_VECTOR_STEP == 0)
+    n = e.select(F.count(F.lit(1))).scalar()
+    asked = questions(spark, sf_dir).select("id", F.posexplode(F.array(*[F.lit(m) for m in C.QUERY_MODES])).alias("m", "mode"))
+    nth = (F.col("id") * len(C.QUERY_MODES) + F.col("m")) % n
+    return (asked.select("id", "mode", (nth * QUERY_VECTOR_STEP).alias("vec_id")).join(e, "vec_id")
+            .select("id", "mode", F.col("embedding").alias("vec")))
 
 
 def d_emb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings")
+    e = table(spark, sf_dir, "embeddings").filter(F.col("vec_id") % QUERY_VECTOR_STEP != 0)
     return e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"))
 
 

@@ -23,27 +23,35 @@ from ..session import materialize
 from . import fixtures as FX
 
 
+PIPELINE_CORE_TERMS = 3  # terms AND-ed by the pipeline's first search
+
+
 @dataclass
 class Inputs:
     questions: DataFrame      # (id, seq, body)
     articles: DataFrame       # (doc_id, title, abstract)
     unigrams: DataFrame       # (word, freq)
-    qrels: DataFrame          # (id, doc_id)
+    gold: DataFrame           # (id, doc_id)
     index: RT.TextIndex
     q_emb: DataFrame | None = None
     d_emb: DataFrame | None = None
     lemmas: DataFrame | None = None
+    n_core: int = PIPELINE_CORE_TERMS
+    persist: bool = False
     cache: dict = field(default_factory=dict)
 
     @classmethod
     def load(cls, spark: SparkSession, sf_dir: str, persist: bool = False) -> "Inputs":
         arts = FX.articles(spark, sf_dir)
         return cls(questions=FX.questions(spark, sf_dir), articles=arts,
-                   unigrams=FX.unigrams(spark, sf_dir), qrels=FX.qrels(spark, sf_dir),
+                   unigrams=FX.unigrams(spark, sf_dir), gold=FX.qrels(spark, sf_dir),
                    index=RT.TextIndex.build(arts, persist=persist),
                    q_emb=FX.q_emb(spark, sf_dir), d_emb=FX.d_emb(spark, sf_dir), persist=persist)
 
-    persist: bool = False
+    @property
+    def qrels(self) -> DataFrame:
+        """The gold pairs, searched for once."""
+        return self.memo("qrels", lambda: self.gold)
 
     def memo(self, name, fn):
         """Builds a shared intermediate once. In pipeline mode it is written as
@@ -67,10 +75,25 @@ def keywords(inp: Inputs, threshold: float = C.WEIRDNESS_THRESHOLD) -> DataFrame
         with_body(inp.questions), inp.unigrams, inp.lemmas, threshold))
 
 
-def candidates(inp: Inputs, n_core: int = C.CORE_TERMS,
-               max_results: int = C.MAX_SEARCH_RESULTS) -> DataFrame:
-    return inp.memo(("cand", n_core, max_results),
-                    lambda: RT.boolean_search(keywords(inp), inp.index, n_core, max_results))
+def extracted(inp: Inputs, threshold: float = C.WEIRDNESS_THRESHOLD) -> DataFrame:
+    """``(id, n_extracted)``: domain words per question before the filter."""
+    words = K.domain_words(K.weirdness(K.word_freq(with_body(inp.questions), inp.lemmas), inp.unigrams), threshold)
+    return words.groupBy("id").agg(F.count(F.lit(1)).alias("n_extracted"))
+
+
+def first_search(inp: Inputs, max_results: int = C.MAX_SEARCH_RESULTS) -> DataFrame:
+    """The hybrid search; extracted keywords are single tokens."""
+    return inp.memo(("first", inp.n_core, max_results), lambda: RT.boolean_search(
+        keywords(inp), inp.index, inp.n_core, max_results, phrases=False))
+
+
+def candidates(inp: Inputs, max_results: int = C.MAX_SEARCH_RESULTS) -> DataFrame:
+    """``(id, doc_id, retr_rank, total_count, query_used)``: the first search,
+    replaced by the retry for questions it left empty."""
+    kw = keywords(inp)
+    return inp.memo(("cand", inp.n_core, max_results), lambda: RT.search_with_retry(
+        with_body(inp.questions), kw, FX.retry_clauses(kw), inp.index, inp.n_core, max_results,
+        phrases=False, fielded=False, first=first_search(inp, max_results)))
 
 
 def ranked(inp: Inputs, ranker: str = "BM25", modes=("BODY",)) -> DataFrame:
@@ -151,25 +174,16 @@ def experiment_grid(inp: Inputs, rankers=C.RANKERS, modes=C.QUERY_MODES) -> Data
     return inp.memo(("grid", tuple(rankers), tuple(modes)), build)
 
 
-def question_status(inp: Inputs, clauses: DataFrame | None = None) -> DataFrame:
+def question_status(inp: Inputs) -> DataFrame:
     """Per-question status used by ``run_stats``."""
-    kw = keywords(inp)
-    nk = kw.groupBy("id").agg(F.count(F.lit(1)).alias("n_keywords"))
-    first = candidates(inp).groupBy("id").agg(F.count(F.lit(1)).alias("initial_hits"))
-    q = (inp.questions.select("id", (F.col("body").isNotNull() & (F.col("body") != "")).alias("has_body"))
-         .join(nk, "id", "left").join(first, "id", "left")
-         .select("id", "has_body", F.coalesce("n_keywords", F.lit(0)).alias("n_keywords"),
-                 F.coalesce("initial_hits", F.lit(0)).alias("initial_hits")))
-    if clauses is None:
-        q = q.select("*", F.lit(False).alias("retried"), F.col("initial_hits").alias("final_hits"))
-        cand = candidates(inp)
-    else:
-        cand = RT.search_with_retry(with_body(inp.questions), kw, clauses, inp.index)
-        fin = cand.groupBy("id").agg(F.count(F.lit(1)).alias("final_hits"),
-                                     F.max(F.col("query_used") == "direct").alias("retried_hit"))
-        q = (q.join(fin, "id", "left")
-             .select("id", "has_body", "n_keywords", "initial_hits", (F.col("initial_hits") == 0).alias("retried"),
-                     F.coalesce("final_hits", F.lit(0)).alias("final_hits")))
-    part = RT.fetch_status(RT.fetch_details(cand, inp.articles)).select("id", "partial")
-    return (q.join(part, "id", "left")
-            .select("*", F.coalesce("partial", F.lit(False)).alias("partial_fetch")).drop("partial"))
+    nk = keywords(inp).groupBy("id").agg(F.count(F.lit(1)).alias("n_keywords"))
+    first = first_search(inp).groupBy("id").agg(F.count(F.lit(1)).alias("initial_hits"))
+    final = candidates(inp).groupBy("id").agg(F.count(F.lit(1)).alias("final_hits"))
+    part = RT.fetch_status(RT.fetch_details(candidates(inp), inp.articles)).select("id", "partial")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return (inp.questions.select("id", (F.col("body").isNotNull() & (F.col("body") != "")).alias("has_body"))
+            .join(extracted(inp), "id", "left").join(nk, "id", "left").join(first, "id", "left")
+            .join(final, "id", "left").join(part, "id", "left")
+            .select("id", "has_body", zero("n_extracted"), zero("n_keywords"), zero("initial_hits"),
+                    F.col("initial_hits").isNull().alias("retried"), zero("final_hits"),
+                    F.coalesce("partial", F.lit(False)).alias("partial_fetch")))

@@ -17,16 +17,18 @@ from ..operators import snippets as S
 from . import fixtures as FX
 from . import pipeline as P
 
-_INPUTS: dict = {}
+def inputs(spark: SparkSession, sf_dir: str) -> P.Inputs:
+    """Pipeline inputs per session and folder, kept on the session itself:
+    shared intermediates are written once and reused by its later queries."""
+    known = spark.__dict__.setdefault("_lodestar_inputs", {})
+    if sf_dir not in known:
+        known[sf_dir] = P.Inputs.load(spark, sf_dir, persist=True)
+    return known[sf_dir]
 
 
-def inputs(spark: SparkSession, sf_dir: str) -> P.Inputs:
-    """Pipeline inputs per (session, folder); shared intermediates are
-    checkpointed once and reused by every query of the same session."""
-    key = (id(spark), sf_dir)
-    if key not in _INPUTS:
-        _INPUTS[key] = P.Inputs.load(spark, sf_dir, persist=True)
-    return _INPUTS[key]
+def lazy(spark: SparkSession, sf_dir: str) -> P.Inputs:
+    """Inputs whose queries are one plan from the tables on."""
+    return P.Inputs.load(spark, sf_dir)
 
 
 def _posexplode(df: DataFrame, key: str, arr) -> DataFrame:
@@ -76,15 +78,16 @@ def q_keyword_dedup(spark, d):
 
 
 def q_clean_terms(spark, d):
-    return RT.clean_terms(P.keywords(inputs(spark, d))).select("id", "k", "term")
+    return RT.clean_terms(P.keywords(lazy(spark, d))).select("id", "k", "term")
 
 
 def q_hybrid_query_string(spark, d):
-    return RT.hybrid_query_string(P.keywords(inputs(spark, d)), n_core=2)
+    return RT.hybrid_query_string(P.keywords(lazy(spark, d)), n_core=2)
 
 
 def q_boolean_search(spark, d):
-    return P.candidates(inputs(spark, d)).select("id", "doc_id", "retr_rank", "total_count", "matched")
+    inp = lazy(spark, d)
+    return RT.boolean_search(P.keywords(inp), inp.index, phrases=False)
 
 
 def q_fetch_details(spark, d):
@@ -95,13 +98,15 @@ def q_fetch_details(spark, d):
 
 def _ranked(spark, d, ranker, mode="BODY"):
     inp = inputs(spark, d)
-    q = R.rerank_query(P.with_body(inp.questions), P.keywords(inp), (mode,)).drop("mode")
+    q = R.rerank_query(P.with_body(inp.questions), P.keywords(inp), (mode,))
+    if ranker != "EMBEDDING":
+        q = q.drop("mode")
     cand = P.candidates(inp)
     if ranker == "BM25":
         return R.rerank_bm25(q, cand, inp.index)
     if ranker == "TF-IDF":
         return R.rerank_tfidf(q, cand, inp.index)
-    return R.rerank_embedding(q, cand, inp.index, inp.q_emb, inp.d_emb)
+    return R.rerank_embedding(q, cand, inp.index, inp.q_emb, inp.d_emb).drop("mode")
 
 
 def q_rerank_bm25(spark, d):
@@ -117,7 +122,7 @@ def q_rerank_embedding(spark, d):
 
 
 def q_rerank_query(spark, d):
-    inp = inputs(spark, d)
+    inp = lazy(spark, d)
     return R.rerank_query(P.with_body(inp.questions), P.keywords(inp))
 
 
@@ -310,13 +315,13 @@ def q_parse_keyword_responses(spark, d):
 
 
 def q_clean_query_responses(spark, d):
-    return RS.clean_query_responses(RS.conversation_responses(FX.table(spark, d, "conversations"), "user"),
+    return RS.clean_query_responses(RS.conversation_responses(FX.table(spark, d, "conversations")),
                                     ("conv_id", "turn"))
 
 
 # ---------------------------------------------------- keywords and retrieval
 def q_expand_keywords(spark, d):
-    return K.expand_keywords(P.keywords(inputs(spark, d)), FX.word_repr(spark, d))
+    return K.expand_keywords(P.keywords(lazy(spark, d)), FX.word_repr(spark, d))
 
 
 def q_sort_word_repr(spark, d):
@@ -335,20 +340,24 @@ def retry_clauses(kw: DataFrame) -> DataFrame:
 
 
 def q_clause_search(spark, d):
-    inp = inputs(spark, d)
-    return RT.clause_search(retry_clauses(P.keywords(inp)), inp.index)
+    inp = lazy(spark, d)
+    return RT.clause_search(retry_clauses(P.keywords(inp)), inp.index, phrases=False, fielded=False)
 
 
 def q_search_with_retry(spark, d):
-    inp = inputs(spark, d)
-    kw = P.keywords(inp)
-    return RT.search_with_retry(P.with_body(inp.questions), kw, FX.retry_clauses(kw), inp.index, n_core=3)
+    return P.candidates(lazy(spark, d))
 
 
 def q_run_stats(spark, d):
-    inp = inputs(spark, d)
-    st = P.question_status(inp, FX.retry_clauses(P.keywords(inp)))
-    return _round(E.run_stats(st), ["zero_keywords_share", "zero_hits_share"])
+    return _round(E.run_stats(P.question_status(inputs(spark, d))), ["zero_keywords_share", "zero_hits_share"])
+
+
+def q_word_freq_lemmas(spark, d):
+    return K.word_freq(FX.questions(spark, d), FX.lemmas(spark, d))
+
+
+def q_gold_pairs(spark, d):
+    return FX.qrels(spark, d)
 
 
 def q_empty_body(spark, d):
@@ -376,4 +385,6 @@ QUERIES.update({
     "search_with_retry": q_search_with_retry,
     "run_stats": q_run_stats,
     "empty_body": q_empty_body,
+    "word_freq_lemmas": q_word_freq_lemmas,
+    "gold_pairs": q_gold_pairs,
 })

@@ -3,53 +3,38 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-# A side is broadcast only when its size estimate is below this (Spark's own
-# default threshold; estimates of exploded tables are low, so stay modest).
-BROADCAST_LIMIT_BYTES = 10 * 1024 * 1024
 
+def get_spark(cores: int | str = "*", app: str = "lodestar", checkpoint_dir: str | None = None) -> SparkSession:
+    """Local session with AQE (coalescing + skew join) on and the UI off.
 
-def get_spark(cores: int | str = "*", shuffle_partitions: int | None = None,
-              app: str = "lodestar") -> SparkSession:
-    """Local session with AQE (coalescing + skew join) on and the UI off."""
-    sp = shuffle_partitions or (8 if cores == "*" else int(cores))
+    ``checkpoint_dir``: the shared folder for written intermediates."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]").appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.shuffle.partitions", str(sp))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("LODESTAR_DRIVER_MEM", "16g"))
     )
+    if checkpoint_dir:
+        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    scratch_root(spark)
     return spark
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Shared folder for written intermediates: the cluster's checkpoint dir.
-
-    Only when the session names none (local tests) is a private one created.
-    """
-    sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not path:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-        path = tempfile.mkdtemp(prefix="lodestar-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(path)
-    return path.rstrip("/")
+    """Where intermediates of a run are written: the shared folder that the
+    session names in ``spark.checkpoint.dir``, else the warehouse, which every
+    executor reaches as well. Never a machine-local temporary folder."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (path or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch").rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -61,35 +46,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as a parquet table under the shared checkpoint folder and
     reads it back: lineage is cut (nothing to replay after a lost executor),
     later plans stay shallow, and the table's statistics are its real file
-    sizes, so size checks on it are grounded in data, not in estimates."""
+    sizes."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Conservative size estimate of a plan (no job is run).
-
-    Uses the analyzed plan's statistics: file sizes at the leaves, propagated
-    upwards without pruning, so the estimate errs on the large side and
-    costs no optimizer pass."""
-    try:
-        return int(df._jdf.queryExecution().analyzed().stats().sizeInBytes())
-    except Exception:  # pragma: no cover - non-classic sessions
-        return None
-
-
-def small_enough(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> bool:
-    est = estimated_bytes(df)
-    return est is not None and est <= limit
-
-
-def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
-    """Hint a broadcast only for a side whose estimated size is bounded.
-
-    Larger sides are left to a shuffle join; AQE may still switch to a
-    broadcast at run time once real sizes are known, and splits skewed
-    partitions (``spark.sql.adaptive.skewJoin.enabled``).
-    """
-    return F.broadcast(df) if small_enough(df, limit) else df
+    return spark.read.schema(df.schema).parquet(path)

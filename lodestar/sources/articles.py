@@ -4,8 +4,9 @@ Parsed per file with built-in XPath functions: the pmid is the first
 ``PMID``, the title all text of the first ``ArticleTitle`` (``N/A`` when
 absent), the abstract the ``AbstractText`` parts of the first ``Abstract``,
 each trimmed, labelled ``LABEL: text`` when it has a ``Label``, joined by a
-space (``N/A`` when none is left). A batch that is not well-formed XML is
-dropped whole; a later duplicate pmid replaces an earlier one.
+space (``N/A`` when none is left). Any root element will do. A batch that is
+not well-formed XML is dropped whole; a later duplicate pmid replaces an
+earlier one.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ def xml_escape(c):
                      F.lit(">"), F.lit("&gt;"))
 
 
-def write_article_xml(articles: DataFrame, path: str, batch_size: int = 100) -> None:
+def write_article_xml(articles: DataFrame, path: str, batch_size: int = 2000) -> None:
     """``articles(doc_id, title, abstract)`` as XML batches of ``batch_size``
     consecutive ids. Abstract paragraphs (lines) become ``AbstractText``
     elements; when there are several, the first is labelled ``background``."""
@@ -59,9 +60,9 @@ def parse_articles(spark: SparkSession, path: str) -> DataFrame:
         return empty(spark, "pmid string, title string, abstract string")
     raw = (spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
            .select(F.col("_metadata.file_path").alias("file"), "value"))
-    # well-formedness check first: from_xml yields NULL for a malformed batch
-    ok = raw.filter(F.from_xml("value", "PubmedArticle array<string>", {"mode": "PERMISSIVE"}).isNotNull()
-                    & F.col("value").contains("<PubmedArticleSet"))
+    # a batch that does not parse to its end is kept by the parser as a corrupt record
+    parsed = F.from_xml("value", "_corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    ok = raw.filter(F.trim("value") != "").filter(parsed["_corrupt_record"].isNull())
     arts = ok.select("file", F.posexplode(F.regexp_extract_all("value", F.lit(ARTICLE_RE), 0)).alias("pos", "a"))
     first_abs = F.regexp_extract("a", ABSTRACT_RE, 0)
     parts = F.transform(F.regexp_extract_all(first_abs, F.lit(ABSTRACT_TEXT_RE), 0),

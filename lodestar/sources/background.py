@@ -28,29 +28,29 @@ def scan_unigrams(spark: SparkSession, path: str) -> DataFrame:
             .filter(F.col("freq").isNotNull() & ~F.isnan("freq")))
 
 
-ROWS_PER_FILE = 200_000
+PARTS = 256
 
 
-def write_word_repr_json(word_repr: DataFrame, path: str, n_files: int | None = None) -> None:
+def write_word_repr_json(word_repr: DataFrame, path: str, parts: int = PARTS) -> None:
     """``word_repr(key, word, weight)`` as JSON objects ``{key: {word: weight}}``,
-    keys spread over ``n_files`` files by hash (each file one object). By
-    default the file count grows with the table (about 200k pairs a file),
-    so no single task ever writes more than a bounded share of it."""
-    if n_files is None:
-        n_files = max(1, -(-word_repr.count() // ROWS_PER_FILE))
-    inner = (word_repr.groupBy("key")
+    one per line and (key, part): a key's words are dealt to ``parts`` parts by
+    a fixed hash of the word, so a key with any number of words is
+    written by many tasks and no row holds more than a part of it."""
+    part = F.pmod(F.xxhash64("word"), F.lit(parts))
+    inner = (word_repr.groupBy("key", part.alias("part"))
              .agg(F.map_from_entries(F.collect_list(F.struct("word", "weight"))).alias("m")))
-    files = (inner.groupBy(F.pmod(F.xxhash64("key"), F.lit(n_files)).alias("grp"))
-             .agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("key", "m")))).alias("value")))
-    files.write.mode("overwrite").partitionBy("grp").text(path)
+    inner.select(F.to_json(F.map_from_arrays(F.array("key"), F.array("m"))).alias("value")).write.mode("overwrite").text(path)
 
 
 def scan_word_repr(spark: SparkSession, path: str) -> DataFrame:
-    """``(key, word, weight)`` from every JSON object file under ``path``;
-    a missing file gives an empty table (expansion returns the keys)."""
+    """``(key, word, weight)`` from the JSON objects under ``path``, one per
+    line or one per file (a ``*.json`` file holds one object over any number
+    of lines); a missing file gives an empty table (expansion returns the keys)."""
     if not path_exists(spark, path):
         return empty(spark, "key string, word string, weight bigint")
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
-    m = raw.select(F.from_json("value", WORD_REPR_TYPE).alias("m"))
+    files = spark.read.option("recursiveFileLookup", True)
+    lines = files.text(path).filter(~F.col("_metadata.file_name").endswith(".json"))
+    whole = files.option("wholetext", True).option("pathGlobFilter", "*.json").text(path)
+    m = lines.unionByName(whole).select(F.from_json("value", WORD_REPR_TYPE).alias("m"))
     outer = m.select(F.explode("m").alias("key", "inner"))
     return outer.select("key", F.explode("inner").alias("word", "weight"))

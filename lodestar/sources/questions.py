@@ -11,12 +11,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import maybe_broadcast
 from .files import empty, path_exists
 
-QUESTION_SCHEMA = ("questions array<struct<id: string, type: string, body: string, "
-                   "documents: array<string>>>")
-POS_BITS = 2 ** 31
+# Each question is read as its JSON text, so that no field is lost; the known
+# ones are then taken from it.
+FILE_SCHEMA = "questions array<string>"
+QUESTION_SCHEMA = "id string, type string, body string, documents array<string>"
+SCAN_SCHEMA = ("file_name string, pos int, seq bigint, id string, type string, body string, documents array<string>, "
+               "raw string")
 
 
 def question_type(body):
@@ -44,25 +46,33 @@ def write_question_files(questions: DataFrame, path: str, per_file: int = 1000)
 
 
 def scan_questions(spark: SparkSession, path: str) -> DataFrame:
-    """``(file_name, pos, seq, id, type, body, documents)``.
+    """``(file_name, pos, seq, id, type, body, documents, raw)``.
 
-    A missing id becomes ``unknown_<n>`` (n = 1-based position in the run)."""
+    ``seq`` counts all questions from 0, by file name, then place in the file;
+    a missing id becomes ``unknown_<n>`` (n = 1-based count). ``raw`` is the
+    question's JSON object with every field it came with."""
     if not path_exists(spark, path):
-        return empty(spark, "file_name string, pos int, seq bigint, id string, type string, body string, "
-                            "documents array<string>")
-    raw = (spark.read.schema(QUESTION_SCHEMA).option("multiLine", True).option("mode", "PERMISSIVE")
+        return empty(spark, SCAN_SCHEMA)
+    raw = (spark.read.schema(FILE_SCHEMA).option("multiLine", True).option("mode", "PERMISSIVE")
            .option("pathGlobFilter", "*.json").option("recursiveFileLookup", True).json(path))
     rows = raw.select(F.col("_metadata.file_path").alias("file_name"),
-                      F.posexplode("questions").alias("pos", "q"))
-    rows = rows.filter(F.col("q").isNotNull())
-    files = rows.select("file_name").distinct()
-    # one row per file: numbering the files is a small global ordering
-    files = files.select("file_name", F.row_number().over(Window.orderBy("file_name")).alias("file_no"))
-    rows = rows.join(maybe_broadcast(files), "file_name")
-    seq = F.col("file_no").cast("bigint") * POS_BITS + F.col("pos")
+                      F.posexplode("questions").alias("pos", "raw"))
+    rows = rows.filter(F.col("raw").startswith("{")).withColumn("q", F.from_json("raw", QUESTION_SCHEMA))
+    counts = rows.groupBy("file_name").agg((F.max("pos") + 1).alias("n"))
+    # questions before each file: files are numbered in ranges of names, then
+    # one row per range is summed up (two levels, no task sees all files)
+    counts = counts.repartitionByRange("file_name").withColumn("part", F.spark_partition_id())
+    inside = Window.partitionBy("part").orderBy("file_name").rowsBetween(Window.unboundedPreceding, -1)
+    parts = counts.groupBy("part").agg(F.sum("n").alias("total"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("part", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("base"))
+    offsets = (counts.withColumn("low", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(parts, "part")
+               .select("file_name", (F.col("low") + F.col("base")).alias("before")))
+    rows = rows.join(offsets, "file_name")
+    seq = F.col("before") + F.col("pos")
     return rows.select("file_name", F.col("pos").cast("int").alias("pos"), seq.alias("seq"),
                        F.coalesce(F.col("q.id"), F.concat(F.lit("unknown_"), (seq + 1).cast("string"))).alias("id"),
-                       "q.type", "q.body", "q.documents")
+                       "q.type", "q.body", "q.documents", "raw")
 
 
 def question_limit(questions: DataFrame, n: int) -> DataFrame:

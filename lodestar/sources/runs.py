@@ -51,6 +51,18 @@ def scan_results(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RESULT_SCHEMA + ", seq bigint").json(path)
 
 
+def scan_result_files(spark: SparkSession, path: str) -> DataFrame:
+    """Result documents ``{"questions": [...]}`` (one per file, over any number
+    of lines): ``(file_name, id, type, body, documents, snippets)``."""
+    if not path_exists(spark, path):
+        return empty(spark, "file_name string, " + RESULT_SCHEMA)
+    question = "struct<" + RESULT_SCHEMA.replace("id string, type string, body string, documents array<string>, snippets ",
+                                                 "id: string, type: string, body: string, documents: array<string>, snippets: ") + ">"
+    raw = (spark.read.schema(f"questions array<{question}>").option("multiLine", True).option("recursiveFileLookup", True)
+           .option("pathGlobFilter", "*.json").json(path))
+    return raw.select(F.col("_metadata.file_path").alias("file_name"), F.explode("questions").alias("q")).select("file_name", "q.*")
+
+
 def write_metrics(per_question: DataFrame | None, macro: DataFrame, path: str, eval_type: str, run_ts: str) -> None:
     """``per_question(ranker, mode, id, seq, metrics...)`` and
     ``macro(ranker, mode, metrics...)`` of each run."""
@@ -71,17 +83,18 @@ def scan_metrics(spark: SparkSession, path: str) -> DataFrame:
     """One row per metric file: ``(file_name, eval_type, reranker, query_type,
     s10 ... ndcg10)``. Names must start ``TRAIN_metrics``/``TEST_metrics`` and
     end ``.json``; ``Ranked``/``Query_ranked`` default to ``N/A``; files
-    without a metrics object are skipped; the evaluation type is the prefix
+    without a metrics object, or with an empty one, are skipped; the evaluation type is the prefix
     of the first file name."""
     cols = "file_name string, eval_type string, reranker string, query_type string, " + \
         ", ".join(f"{m} double" for m in METRICS)
     if not path_exists(spark, path):
         return empty(spark, cols)
-    raw = (spark.read.schema(METRIC_FILE_SCHEMA).option("recursiveFileLookup", True)
+    raw = (spark.read.schema(METRIC_FILE_SCHEMA).option("recursiveFileLookup", True).option("multiLine", True)
            .option("pathGlobFilter", "*.json").json(path))
     rows = raw.select(F.regexp_extract(F.col("_metadata.file_path"), METRIC_NAME_RE, 1).alias("file_name"),
                       "Ranked", "Query_ranked", "metrics")
-    rows = rows.filter((F.col("file_name") != "") & F.col("metrics").isNotNull())
+    some = F.coalesce(*[F.col("metrics")[METRIC_LABELS[m]] for m in METRICS]).isNotNull()
+    rows = rows.filter((F.col("file_name") != "") & some)
     # evaluation type from the first file name (a scalar subquery, no collect)
     first_name = rows.select(F.min("file_name")).scalar()
     return rows.select("file_name",

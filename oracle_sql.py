@@ -8,7 +8,17 @@ views, the same regex classes (no \\w / \\s), the same tie-breaks and
 from __future__ import annotations
 
 from lodestar.functions import constants as C
-from lodestar.functions.text import BM25_DROP_RE, BM25_SPLIT_RE, STRIP_RE, TFIDF_TOKEN_RE, WORD_TOKEN_RE
+
+# Patterns written out for this engine's regular expressions (RE2).
+SPACE = (r"\t\n\x0B\f\r \x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}")
+NOT_BM25 = rf"[^a-z0-9{SPACE}]"
+SPACES = rf"[{SPACE}]+"
+TWO_OR_MORE = r"[\p{L}\p{N}_]{2,}"
+ONE_OR_MORE = r"[\p{L}\p{N}_]+"
+ENDS = rf"^[{SPACE}]+|[{SPACE}]+$"
+STRING_LITERAL = r"""(?:'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")"""
+FIRST_LIST = r"(?s)(\[.*?\])"
+STRING_LIST = rf"^\[[{SPACE}]*(?:{STRING_LITERAL}(?:[{SPACE}]*,[{SPACE}]*{STRING_LITERAL})*[{SPACE}]*,?)?[{SPACE}]*\]$"
 
 
 def _lit_list(words) -> str:
@@ -16,21 +26,21 @@ def _lit_list(words) -> str:
 
 
 def TOK1(x: str) -> str:
-    return (f"list_filter(string_split_regex(regexp_replace(lower({x}), '{BM25_DROP_RE}', '', 'g'), "
-            f"'{BM25_SPLIT_RE}'), lambda t: t <> '')")
+    return (f"list_filter(string_split_regex(regexp_replace(lower({x}), '{NOT_BM25}', '', 'g'), "
+            f"'{SPACES}'), lambda t: t <> '')")
 
 
 def TOK2(x: str) -> str:
-    return (f"list_filter(regexp_extract_all(lower({x}), '{TFIDF_TOKEN_RE}'), "
+    return (f"list_filter(regexp_extract_all(lower({x}), '{TWO_OR_MORE}'), "
             f"lambda t: NOT list_contains({_lit_list(C.TFIDF_STOP_WORDS)}, t))")
 
 
 def TOK3(x: str) -> str:
-    return f"regexp_extract_all(lower({x}), '{WORD_TOKEN_RE}')"
+    return f"regexp_extract_all(lower({x}), '{ONE_OR_MORE}')"
 
 
 def STRIP(x: str) -> str:
-    return f"regexp_replace({x}, '{STRIP_RE}', '', 'g')"  # Python str.strip()
+    return f"regexp_replace({x}, '{ENDS}', '', 'g')"  # Python str.strip()
 
 
 def USABLE(x: str) -> str:
@@ -105,13 +115,88 @@ view("v_search", ["v_ok"], """
 SELECT id, doc_id, retr_rank, total_count, matched FROM (
   SELECT id, doc_id, matched, row_number() OVER (PARTITION BY id ORDER BY matched DESC, doc_id) AS retr_rank,
          count(*) OVER (PARTITION BY id) AS total_count FROM v_ok) WHERE retr_rank <= 500""")
-view("v_cand", ["v_search", "v_doc_text"], """
-SELECT id, doc_id, retr_rank FROM v_search WHERE doc_id IN (SELECT doc_id FROM v_doc_text)""")
+def search_views(n_core: int) -> str:
+    """Hybrid search with ``n_core`` core terms; returns the result view."""
+    sfx = f"_c{n_core}"
+    view("v_sterms" + sfx, ["v_terms"], f"SELECT id, k, term, k <= {n_core} AS core, {TOK1('term')} AS toks FROM v_terms")
+    view("v_need" + sfx, ["v_sterms" + sfx], f"""
+SELECT id, sum(CASE WHEN core THEN 1 ELSE 0 END) AS n_core, sum(CASE WHEN core THEN 0 ELSE 1 END) AS n_rest
+FROM v_sterms{sfx} GROUP BY id""")
+    view("v_hits" + sfx, ["v_sterms" + sfx, "v_postings", "v_doc_text"], f"""
+SELECT DISTINCT s.id, s.k, s.core, p.doc_id FROM v_sterms{sfx} s JOIN v_postings p ON len(s.toks) = 1 AND p.term = s.toks[1]
+UNION
+SELECT DISTINCT s.id, s.k, s.core, d.doc_id FROM v_sterms{sfx} s JOIN v_doc_text d
+  ON len(s.toks) > 1 AND contains(' ' || array_to_string({TOK1('d.text')}, ' ') || ' ', ' ' || array_to_string(s.toks, ' ') || ' ')""")
+    view("v_search" + sfx, ["v_hits" + sfx, "v_need" + sfx], f"""
+SELECT id, doc_id, retr_rank, total_count, matched FROM (
+  SELECT id, doc_id, matched, row_number() OVER (PARTITION BY id ORDER BY matched DESC, doc_id) AS retr_rank,
+         count(*) OVER (PARTITION BY id) AS total_count FROM (
+    SELECT h.id, h.doc_id, count(*) AS matched FROM v_hits{sfx} h JOIN v_need{sfx} n ON n.id = h.id
+    GROUP BY h.id, h.doc_id, n.n_core, n.n_rest
+    HAVING sum(CASE WHEN h.core THEN 1 ELSE 0 END) = n.n_core
+       AND (n.n_rest = 0 OR sum(CASE WHEN h.core THEN 0 ELSE 1 END) > 0)))
+WHERE retr_rank <= 500""")
+    return "v_search" + sfx
+
+
+def clause_views(name: str, clauses_sql: str, deps: list[str]) -> str:
+    view(name + "_t", deps, f"""
+SELECT id, clause_no, term, negated, {TOK1('term')} AS toks FROM ({clauses_sql})
+WHERE term IS NOT NULL AND {STRIP('term')} <> ''""")
+    view(name + "_h", [name + "_t", "v_postings", "v_doc_text"], f"""
+SELECT DISTINCT c.id, c.clause_no, c.term, c.negated, p.doc_id FROM {name}_t c JOIN v_postings p
+  ON len(c.toks) = 1 AND p.term = c.toks[1]
+UNION
+SELECT DISTINCT c.id, c.clause_no, c.term, c.negated, d.doc_id FROM {name}_t c JOIN v_doc_text d
+  ON len(c.toks) > 1 AND contains(' ' || array_to_string({TOK1('d.text')}, ' ') || ' ', ' ' || array_to_string(c.toks, ' ') || ' ')""")
+    view(name, [name + "_t", name + "_h"], f"""
+SELECT id, doc_id, retr_rank, total_count, matched FROM (
+  SELECT id, doc_id, matched, row_number() OVER (PARTITION BY id ORDER BY matched DESC, doc_id) AS retr_rank,
+         count(*) OVER (PARTITION BY id) AS total_count FROM (
+    SELECT p.id, p.doc_id, p.matched FROM (
+      SELECT id, doc_id, count(DISTINCT clause_no) AS ch, count(DISTINCT CAST(clause_no AS VARCHAR) || chr(1) || term) AS matched
+      FROM {name}_h WHERE NOT negated GROUP BY id, doc_id) p
+    JOIN (SELECT id, count(DISTINCT clause_no) AS n_pos FROM {name}_t WHERE NOT negated GROUP BY id) n ON n.id = p.id
+    WHERE p.ch = n.n_pos
+      AND NOT EXISTS (SELECT 1 FROM {name}_h x WHERE x.negated AND x.id = p.id AND x.doc_id = p.doc_id)))
+WHERE retr_rank <= 500""")
+    return name
+
+
+RETRY_CLAUSES = "SELECT id, 1 AS clause_no, term, false AS negated FROM v_keywords"
+clause_views("v_clause2", RETRY_CLAUSES + """
+UNION ALL
+SELECT k.id, 2 AS clause_no, k.term, true AS negated FROM v_keywords k
+JOIN (SELECT id, count(*) AS n, max(pos) AS mp FROM v_keywords GROUP BY id) x ON x.id = k.id
+WHERE x.n >= 3 AND k.pos = x.mp""", ["v_keywords"])
+clause_views("v_retryc", RETRY_CLAUSES, ["v_keywords"])
+
+
+def retry_view(n_core: int) -> str:
+    first = search_views(n_core)
+    name = f"v_retry_c{n_core}"
+    view(name, [first, "v_retryc", "v_questions"], f"""
+SELECT id, doc_id, retr_rank, total_count, 'hybrid' AS query_used FROM {first}
+UNION ALL
+SELECT id, doc_id, retr_rank, total_count, 'direct' AS query_used FROM v_retryc
+WHERE id IN (SELECT id FROM v_questions WHERE body IS NOT NULL AND body <> '')
+  AND id NOT IN (SELECT id FROM {first})""")
+    return name
+
+
+retry_view(3)
+retry_view(1)
+
+# what the pipeline ranks: three core terms first, then the retry
+view("v_final", ["v_retry_c3"], "SELECT * FROM v_retry_c3")
+view("v_cand", ["v_final", "v_doc_text"], """
+SELECT id, doc_id, retr_rank FROM v_final WHERE doc_id IN (SELECT doc_id FROM v_doc_text)""")
 view("v_kwstr", ["v_keywords"], "SELECT id, string_agg(term, ' ' ORDER BY pos) AS kw FROM v_keywords GROUP BY id")
 view("v_rq", ["v_questions", "v_kwstr"], """
 SELECT m.mode, q.id, CASE WHEN m.mode = 'BODY' THEN q.body WHEN m.mode = 'KEYWORDS' THEN k.kw
                           ELSE q.body || ' ' || k.kw END AS query
-FROM v_questions q JOIN v_kwstr k ON k.id = q.id,
+FROM v_questions q
+JOIN (SELECT x.id, coalesce(s.kw, '') AS kw FROM v_questions x LEFT JOIN v_kwstr s ON s.id = x.id) k ON k.id = q.id,
      (SELECT unnest(['BODY', 'KEYWORDS', 'BODY + KEYWORDS']) AS mode) m
 WHERE q.body IS NOT NULL AND q.body <> ''""")
 # --- BM25 over each question's candidates ---
@@ -207,11 +292,13 @@ def _vsum(expr_i: str, arr: str) -> str:
 
 
 view("v_qemb", ["v_questions"], f"""
-SELECT vec_id AS id, v AS qv, sqrt({_vsum('v[i] * v[i]', 'v')}) AS qn
-FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IN (SELECT id FROM v_questions))""")
+SELECT id, mode, v AS qv, sqrt({_vsum('v[i] * v[i]', 'v')}) AS qn
+FROM (SELECT q.id, m.mode, CAST(e.embedding AS DOUBLE[]) AS v
+      FROM v_questions q, (VALUES (0, 'BODY'), (1, 'KEYWORDS'), (2, 'BODY + KEYWORDS')) m(n, mode), embeddings e
+      WHERE e.vec_id = 25 * ((q.id * 3 + m.n) % (SELECT count(*) FROM embeddings WHERE vec_id % 25 = 0)))""")
 view("v_demb", [], f"""
 SELECT vec_id AS doc_id, v AS dv, sqrt({_vsum('v[i] * v[i]', 'v')}) AS dn
-FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)""")
+FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 25 <> 0)""")
 
 
 def emb_view(mode: str) -> str:
@@ -221,7 +308,7 @@ SELECT id, doc_id, round(score, 6) AS score,
   row_number() OVER (PARTITION BY id ORDER BY round(score, 6) DESC, doc_id) AS rank
 FROM (SELECT c.id, c.doc_id,
         CASE WHEN q.qn > 0 AND d.dn > 0 THEN {_vsum('q.qv[i] * d.dv[i]', 'q.qv')} / (q.qn * d.dn) ELSE 0.0 END AS score
-      FROM v_cand c LEFT JOIN v_qemb q ON q.id = c.id LEFT JOIN v_demb d ON d.doc_id = c.doc_id
+      FROM v_cand c LEFT JOIN v_qemb q ON q.id = c.id AND q.mode = '{mode}' LEFT JOIN v_demb d ON d.doc_id = c.doc_id
       WHERE c.id IN (SELECT id FROM v_rq WHERE mode = '{mode}' AND query IS NOT NULL AND query <> ''))""")
     return f"v_emb_{m}"
 
@@ -231,9 +318,9 @@ for _m in C.QUERY_MODES:
     emb_view(_m)
 
 # ranking with the pipeline fallbacks (no article found / no usable text)
-view("v_status", ["v_search", "v_articles", "v_doc_text"], """
+view("v_status", ["v_final", "v_articles", "v_doc_text"], """
 SELECT s.id, count(a.doc_id) AS n_found, count(t.doc_id) AS n_usable
-FROM v_search s LEFT JOIN v_articles a ON a.doc_id = s.doc_id LEFT JOIN v_doc_text t ON t.doc_id = s.doc_id
+FROM v_final s LEFT JOIN v_articles a ON a.doc_id = s.doc_id LEFT JOIN v_doc_text t ON t.doc_id = s.doc_id
 GROUP BY s.id""")
 
 
@@ -241,13 +328,13 @@ def ranked_view(ranker: str, mode: str) -> str:
     m = _mk(mode)
     inner = {"BM25": f"v_bm25_{m}", "TF-IDF": f"v_tfidf_{m}", "EMBEDDING": f"v_emb_{m}"}[ranker]
     name = f"v_rank_{ranker.replace('-', '').lower()}_{m}"
-    view(name, [inner, "v_status", "v_search", "v_articles", "v_rq"], f"""
+    view(name, [inner, "v_status", "v_final", "v_articles", "v_rq"], f"""
 SELECT r.id, r.doc_id, r.score, r.rank FROM {inner} r JOIN v_status st ON st.id = r.id WHERE st.n_usable > 0
 UNION ALL
 SELECT s.id, s.doc_id, 0.0 AS score, row_number() OVER (PARTITION BY s.id ORDER BY s.retr_rank) AS rank
-FROM v_search s JOIN v_status st ON st.id = s.id LEFT JOIN v_articles a ON a.doc_id = s.doc_id
-WHERE st.n_usable = 0 AND (st.n_found = 0 OR a.doc_id IS NOT NULL)
-  AND s.id IN (SELECT id FROM v_rq WHERE mode = '{mode}' AND query IS NOT NULL AND query <> '')""")
+FROM v_final s JOIN v_status st ON st.id = s.id LEFT JOIN v_articles a ON a.doc_id = s.doc_id
+JOIN v_rq q ON q.id = s.id AND q.mode = '{mode}'
+WHERE st.n_usable = 0 AND (st.n_found = 0 OR (a.doc_id IS NOT NULL AND q.query IS NOT NULL AND q.query <> ''))""")
     return name
 
 
@@ -321,7 +408,7 @@ GROUP BY id""", ["v_terms"]),
     "fetch_details": with_views("""
 SELECT s.id, s.doc_id, s.retr_rank, a.title, a.abstract, a.doc_id IS NOT NULL AS found,
   count(a.doc_id) OVER (PARTITION BY s.id) < count(*) OVER (PARTITION BY s.id) AS partial
-FROM v_search s LEFT JOIN v_articles a ON a.doc_id = s.doc_id""", ["v_search", "v_articles"]),
+FROM v_final s LEFT JOIN v_articles a ON a.doc_id = s.doc_id""", ["v_final", "v_articles"]),
     "rerank_query": with_views("SELECT mode, id, query FROM v_rq", ["v_rq"]),
     "rerank_bm25": with_views("SELECT * FROM v_bm25_body", BM25_BODY),
     "topk_documents": with_views("SELECT * FROM v_bm25_body WHERE rank <= 10", BM25_BODY),
@@ -350,9 +437,10 @@ def DCG(m: str) -> str:
     return f"(CASE WHEN {m} >= 1 THEN list_sum(list_transform(range(1, {m} + 1), lambda i: 1.0 / log2(i + 1.0))) ELSE 0.0 END)"
 
 
-view("v_qrels", [], """
-SELECT DISTINCT b.item_id AS id, d.doc_id FROM benchmark b JOIN documents d
-  ON substr(b.text, 1, 40) <> '' AND contains(d.text, substr(b.text, 1, 40))""")
+view("v_qrels", ["v_questions"], f"""
+SELECT DISTINCT q.id, d.doc_id
+FROM (SELECT id, ' ' || array_to_string({TOK3('body')}, ' ') || ' ' AS phrase FROM v_questions WHERE len({TOK3('body')}) > 0) q
+JOIN (SELECT doc_id, ' ' || array_to_string({TOK3('text')}, ' ') || ' ' AS norm FROM documents) d ON contains(d.norm, q.phrase)""")
 view("v_gold", ["v_qrels", "v_questions"], f"""
 SELECT DISTINCT id, {EXTRACT_ID(f"{URL} || doc_id")} AS key FROM v_qrels
 UNION ALL
@@ -440,16 +528,14 @@ FROM (SELECT run_no, ranker || ' (' || mode || ')' AS label, unnest(['S@10', 'P@
 })
 
 # ---------------------------------------------------------- sources / sinks
-from lodestar.operators.responses import (ITEM_RE, LIST_RE, PIECE_SPLIT_RE, STRING_LIST_RE)  # noqa: E402
-from lodestar.functions.text import WORD  # noqa: E402
 
 view("v_word_repr", ["v_questions"], f"""
 SELECT key, word, count(*) AS weight FROM (
-  SELECT t[i] AS key, t[i + 1] AS word FROM (SELECT {TOK3('text')} AS t FROM conversations), range(1, 100000) r(i)
-  WHERE i < len(t)
+  SELECT t[i] AS key, t[i + 1] AS word
+  FROM (SELECT t, unnest(range(1, len(t))) AS i FROM (SELECT {TOK3('text')} AS t FROM conversations))
   UNION ALL
-  SELECT t[i + 1] AS key, t[i] AS word FROM (SELECT {TOK3('text')} AS t FROM conversations), range(1, 100000) r(i)
-  WHERE i < len(t))
+  SELECT t[i + 1] AS key, t[i] AS word
+  FROM (SELECT t, unnest(range(1, len(t))) AS i FROM (SELECT {TOK3('text')} AS t FROM conversations)))
 WHERE key <> word AND key IN (SELECT unnest({TOK3('body')}) FROM v_questions)
 GROUP BY key, word""")
 
@@ -499,18 +585,21 @@ def _sqlq(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
-_PIECES = (f"list_filter(list_transform(string_split_regex(raw, {_sqlq(PIECE_SPLIT_RE)}), "
+_PIECES = (f"list_filter(list_transform(string_split_regex(raw, {_sqlq('[,' + chr(10) + ']')}), "
            f"lambda p: trim({STRIP('p')}, {_sqlq(chr(39) + chr(34) + '[] ')})), lambda p: length(p) > 1)")
-_UNQ = f"regexp_replace(substr(t, 2, length(t) - 2), {_sqlq(chr(92) * 2 + '(.)')}, {_sqlq(chr(92) + '1')}, 'g')"
-_ITEMS = f"list_filter(list_transform(regexp_extract_all(lst, {_sqlq(ITEM_RE)}), lambda t: {STRIP(_UNQ)}), lambda t: t <> '')"
+_UNQ = f"replace(substr(t, 2, length(t) - 2), {_sqlq(chr(92) * 2)}, chr(1))"
+for _escape, _code in (("n", 10), ("t", 9), ("r", 13)):
+    _UNQ = f"replace({_UNQ}, {_sqlq(chr(92) + _escape)}, chr({_code}))"
+_UNQ = f"replace(regexp_replace({_UNQ}, {_sqlq(chr(92) * 2 + '([' + chr(39) + chr(34) + '])')}, {_sqlq(chr(92) + '1')}, 'g'), chr(1), {_sqlq(chr(92))})"
+_ITEMS = f"list_filter(list_transform(regexp_extract_all(lst, {_sqlq(STRING_LITERAL)}), lambda t: {STRIP(_UNQ)}), lambda t: t <> '')"
 
 ORACLES["parse_keyword_responses"] = f"""
 SELECT conv_id, turn, pos, keyword, parsed_list FROM (
   SELECT conv_id, turn, parsed_list, unnest(arr) AS keyword, generate_subscripts(arr, 1) AS pos FROM (
     SELECT conv_id, turn, parsed_list, CASE WHEN parsed_list THEN {_ITEMS} ELSE {_PIECES} END AS arr FROM (
-      SELECT conv_id, turn, raw, lst, lst <> '' AND regexp_matches(lst, {_sqlq(STRING_LIST_RE)}) AS parsed_list FROM (
-        SELECT conv_id, turn, text AS raw, regexp_extract(text, {_sqlq(LIST_RE)}, 1) AS lst
-        FROM conversations WHERE role = 'assistant'))))"""
+      SELECT conv_id, turn, raw, lst, lst <> '' AND regexp_matches(lst, {_sqlq(STRING_LIST)}) AS parsed_list FROM (
+        SELECT conv_id, turn, text AS raw, regexp_extract(text, {_sqlq(FIRST_LIST)}, 1) AS lst
+        FROM conversations))))"""
 
 
 def _strip_prefix(x: str, prefix: str) -> str:
@@ -524,7 +613,7 @@ for _p in C.QUERY_PREFIXES:
 _q = f"trim({_q}, {_sqlq(chr(34) + chr(39))})"
 ORACLES["clean_query_responses"] = f"""
 SELECT conv_id, turn, query, length(query) > 3 AS valid FROM (
-  SELECT conv_id, turn, {_q} AS query FROM conversations WHERE role = 'user')"""
+  SELECT conv_id, turn, {_q} AS query FROM conversations)"""
 
 # ------------------------------------------- expansion, clauses, retry, stats
 view("v_exp", ["v_keywords", "v_word_repr"], """
@@ -540,100 +629,40 @@ FROM v_keywords k LEFT JOIN (SELECT id, count(*) AS n_exp FROM v_exp_top GROUP B
                                         ["v_exp_top", "v_keywords"])
 
 
-def search_views(n_core: int) -> str:
-    """Hybrid search with ``n_core`` core terms; returns the result view."""
-    sfx = f"_c{n_core}"
-    view("v_sterms" + sfx, ["v_terms"], f"SELECT id, k, term, k <= {n_core} AS core, {TOK1('term')} AS toks FROM v_terms")
-    view("v_need" + sfx, ["v_sterms" + sfx], f"""
-SELECT id, sum(CASE WHEN core THEN 1 ELSE 0 END) AS n_core, sum(CASE WHEN core THEN 0 ELSE 1 END) AS n_rest
-FROM v_sterms{sfx} GROUP BY id""")
-    view("v_hits" + sfx, ["v_sterms" + sfx, "v_postings", "v_doc_text"], f"""
-SELECT DISTINCT s.id, s.k, s.core, p.doc_id FROM v_sterms{sfx} s JOIN v_postings p ON len(s.toks) = 1 AND p.term = s.toks[1]
-UNION
-SELECT DISTINCT s.id, s.k, s.core, d.doc_id FROM v_sterms{sfx} s JOIN v_doc_text d
-  ON len(s.toks) > 1 AND contains(' ' || array_to_string({TOK1('d.text')}, ' ') || ' ', ' ' || array_to_string(s.toks, ' ') || ' ')""")
-    view("v_search" + sfx, ["v_hits" + sfx, "v_need" + sfx], f"""
-SELECT id, doc_id, retr_rank, total_count, matched FROM (
-  SELECT id, doc_id, matched, row_number() OVER (PARTITION BY id ORDER BY matched DESC, doc_id) AS retr_rank,
-         count(*) OVER (PARTITION BY id) AS total_count FROM (
-    SELECT h.id, h.doc_id, count(*) AS matched FROM v_hits{sfx} h JOIN v_need{sfx} n ON n.id = h.id
-    GROUP BY h.id, h.doc_id, n.n_core, n.n_rest
-    HAVING sum(CASE WHEN h.core THEN 1 ELSE 0 END) = n.n_core
-       AND (n.n_rest = 0 OR sum(CASE WHEN h.core THEN 0 ELSE 1 END) > 0)))
-WHERE retr_rank <= 500""")
-    return "v_search" + sfx
-
-
-def clause_views(name: str, clauses_sql: str, deps: list[str]) -> str:
-    view(name + "_t", deps, f"""
-SELECT id, clause_no, term, negated, {TOK1('term')} AS toks FROM ({clauses_sql})
-WHERE term IS NOT NULL AND {STRIP('term')} <> ''""")
-    view(name + "_h", [name + "_t", "v_postings", "v_doc_text"], f"""
-SELECT DISTINCT c.id, c.clause_no, c.term, c.negated, p.doc_id FROM {name}_t c JOIN v_postings p
-  ON len(c.toks) = 1 AND p.term = c.toks[1]
-UNION
-SELECT DISTINCT c.id, c.clause_no, c.term, c.negated, d.doc_id FROM {name}_t c JOIN v_doc_text d
-  ON len(c.toks) > 1 AND contains(' ' || array_to_string({TOK1('d.text')}, ' ') || ' ', ' ' || array_to_string(c.toks, ' ') || ' ')""")
-    view(name, [name + "_t", name + "_h"], f"""
-SELECT id, doc_id, retr_rank, total_count, matched FROM (
-  SELECT id, doc_id, matched, row_number() OVER (PARTITION BY id ORDER BY matched DESC, doc_id) AS retr_rank,
-         count(*) OVER (PARTITION BY id) AS total_count FROM (
-    SELECT p.id, p.doc_id, p.matched FROM (
-      SELECT id, doc_id, count(DISTINCT clause_no) AS ch, count(DISTINCT CAST(clause_no AS VARCHAR) || chr(1) || term) AS matched
-      FROM {name}_h WHERE NOT negated GROUP BY id, doc_id) p
-    JOIN (SELECT id, count(DISTINCT clause_no) AS n_pos FROM {name}_t WHERE NOT negated GROUP BY id) n ON n.id = p.id
-    WHERE p.ch = n.n_pos
-      AND NOT EXISTS (SELECT 1 FROM {name}_h x WHERE x.negated AND x.id = p.id AND x.doc_id = p.doc_id)))
-WHERE retr_rank <= 500""")
-    return name
-
-
-RETRY_CLAUSES = "SELECT id, 1 AS clause_no, term, false AS negated FROM v_keywords"
-clause_views("v_clause2", RETRY_CLAUSES + """
-UNION ALL
-SELECT k.id, 2 AS clause_no, k.term, true AS negated FROM v_keywords k
-JOIN (SELECT id, count(*) AS n, max(pos) AS mp FROM v_keywords GROUP BY id) x ON x.id = k.id
-WHERE x.n >= 3 AND k.pos = x.mp""", ["v_keywords"])
-clause_views("v_retryc", RETRY_CLAUSES, ["v_keywords"])
-
-
-def retry_view(n_core: int) -> str:
-    first = search_views(n_core)
-    name = f"v_retry_c{n_core}"
-    view(name, [first, "v_retryc", "v_questions"], f"""
-SELECT id, doc_id, retr_rank, total_count, 'hybrid' AS query_used FROM {first}
-UNION ALL
-SELECT id, doc_id, retr_rank, total_count, 'direct' AS query_used FROM v_retryc
-WHERE id IN (SELECT id FROM v_questions WHERE body IS NOT NULL AND body <> '')
-  AND id NOT IN (SELECT id FROM {first})""")
-    return name
-
-
-retry_view(3)
-retry_view(1)
-
-view("v_status_q", ["v_questions", "v_keywords", "v_search_c1", "v_retry_c1", "v_articles"], """
-SELECT q.id, q.body IS NOT NULL AND q.body <> '' AS has_body, coalesce(k.n, 0) AS n_keywords,
+view("v_status_q", ["v_questions", "v_domain", "v_keywords", "v_search_c3", "v_final", "v_articles"], """
+SELECT q.id, q.body IS NOT NULL AND q.body <> '' AS has_body, coalesce(x.n, 0) AS n_extracted, coalesce(k.n, 0) AS n_keywords,
        coalesce(s.n, 0) AS initial_hits, coalesce(s.n, 0) = 0 AS retried, coalesce(f.n, 0) AS final_hits,
        coalesce(f.partial, false) AS partial_fetch
 FROM v_questions q
+LEFT JOIN (SELECT id, count(*) AS n FROM v_domain GROUP BY id) x ON x.id = q.id
 LEFT JOIN (SELECT id, count(*) AS n FROM v_keywords GROUP BY id) k ON k.id = q.id
-LEFT JOIN (SELECT id, count(*) AS n FROM v_search_c1 GROUP BY id) s ON s.id = q.id
+LEFT JOIN (SELECT id, count(*) AS n FROM v_search_c3 GROUP BY id) s ON s.id = q.id
 LEFT JOIN (SELECT r.id, count(*) AS n, count(a.doc_id) < count(DISTINCT r.doc_id) AS partial
-           FROM v_retry_c1 r LEFT JOIN v_articles a ON a.doc_id = r.doc_id GROUP BY r.id) f ON f.id = q.id""")
+           FROM v_final r LEFT JOIN v_articles a ON a.doc_id = r.doc_id GROUP BY r.id) f ON f.id = q.id""")
+view("v_lemmas", ["v_unigrams"], """
+SELECT word AS form, substr(word, 1, length(word) - 1) AS lemma FROM v_unigrams
+WHERE suffix(word, 's') AND length(word) > 1 AND substr(word, 1, length(word) - 1) IN (SELECT word FROM v_unigrams)""")
+ORACLES["gold_pairs"] = with_views("SELECT id, doc_id FROM v_qrels", ["v_qrels"])
+ORACLES["word_freq_lemmas"] = with_views(f"""
+SELECT id, word, count(*) AS count FROM (
+  SELECT id, unnest({TOK3('lemma')}) AS word FROM (
+    SELECT t.id, coalesce(l.lemma, t.word) AS lemma
+    FROM (SELECT id, unnest({TOK3('body')}) AS word FROM v_questions) t LEFT JOIN v_lemmas l ON l.form = t.word))
+GROUP BY id, word""", ["v_questions", "v_lemmas"])
 
 ORACLES.update({
     "clause_search": with_views("SELECT * FROM v_clause2", ["v_clause2"]),
     "search_with_retry": with_views("SELECT * FROM v_retry_c3", ["v_retry_c3"]),
     "run_stats": with_views("""
-SELECT questions, zero_keywords, zero_hits, retries_started, retries_failed, partial_fetches,
+SELECT questions, extraction_failures, zero_keywords, zero_hits, retries_started, retries_failed, partial_fetches,
        round(zero_keywords / questions, 6) AS zero_keywords_share, round(zero_hits / questions, 6) AS zero_hits_share
 FROM (SELECT count(*) AS questions,
-        count(*) FILTER (WHERE has_body AND n_keywords = 0) AS zero_keywords,
-        count(*) FILTER (WHERE has_body AND final_hits = 0) AS zero_hits,
-        count(*) FILTER (WHERE has_body AND retried) AS retries_started,
-        count(*) FILTER (WHERE has_body AND retried AND final_hits = 0) AS retries_failed,
-        count(*) FILTER (WHERE has_body AND partial_fetch) AS partial_fetches
+        count(*) FILTER (WHERE has_body AND n_extracted = 0) AS extraction_failures,
+        count(*) FILTER (WHERE has_body AND n_extracted > 0 AND n_keywords = 0) AS zero_keywords,
+        count(*) FILTER (WHERE has_body AND n_extracted > 0 AND final_hits = 0) AS zero_hits,
+        count(*) FILTER (WHERE has_body AND n_extracted > 0 AND retried) AS retries_started,
+        count(*) FILTER (WHERE has_body AND n_extracted > 0 AND retried AND final_hits = 0) AS retries_failed,
+        count(*) FILTER (WHERE has_body AND n_extracted > 0 AND partial_fetch) AS partial_fetches
       FROM v_status_q)""", ["v_status_q"]),
     "empty_body": with_views("""
 SELECT q.id, q.body IS NOT NULL AND q.body <> '' AS has_body, count(r.doc_id) AS n_documents

@@ -1,13 +1,15 @@
-"""The salted join returns exactly the plain join."""
+"""The salted join gives the rows of the plain join, hot keys included."""
 
-from lodestar.operators.joins import balanced_join
+from collections import Counter
+
+from lodestar.operators.joins import salted_join
 
 
 def test_salted_join_equals_plain_join(spark):
-    big = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(300)], "v long, key string")
-    small = spark.createDataFrame([("hot", 1), ("hot", 2), ("k3", 3), ("k6", 4), ("zz", 5)], "key string, w long")
-    plain = sorted(map(tuple, big.join(small, "key").select("key", "v", "w").collect()))
-    salted = balanced_join(big, small, ["key"], heavy_rows=10, buckets=4, may_broadcast=False, salt=True)
-    assert sorted(map(tuple, salted.select("key", "v", "w").collect())) == plain
-    left = balanced_join(big, small, ["key"], how="left", heavy_rows=10, buckets=4, may_broadcast=False, salt=True)
-    assert left.count() == big.join(small, "key", "left").count()
+    big = spark.createDataFrame([("hot", i) for i in range(500)] + [(f"k{i % 20}", i) for i in range(100)] + [(None, 1)],
+                                "k string, v int")
+    small = spark.createDataFrame([("hot", "a"), ("hot", "b"), ("k1", "c"), ("zz", "d"), (None, "e")], "k string, w string")
+    want = Counter(map(tuple, big.join(small, "k").select("k", "v", "w").collect()))
+    for buckets in (1, 7):
+        got = salted_join(big, small, ["k"], buckets).select("k", "v", "w").collect()
+        assert Counter(map(tuple, got)) == want

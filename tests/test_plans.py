@@ -9,8 +9,10 @@ SF = "/root/testdata/sf0.001"
 
 
 def _plan(df) -> str:
-    df.write.format("noop").mode("overwrite").save()  # final adaptive plan
-    return df._jdf.queryExecution().executedPlan().toString()
+    df.collect()  # an action on the same frame: its plan is then the final adaptive one
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan
+    return plan
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="driver test data not present")
@@ -19,7 +21,7 @@ def test_search_cap_is_a_partial_group_limit(spark):
     from lodestar.plans import fixtures as FX
     from lodestar.plans import pipeline as P
     inp = P.Inputs.load(spark, SF)
-    plan = _plan(RT.boolean_search(P.keywords(inp), inp.index))
+    plan = _plan(RT.boolean_search(P.keywords(inp), inp.index, phrases=False))
     assert plan.count("WindowGroupLimit") >= 2  # partial (before the exchange) + final
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert FX.table(spark, SF, "documents") is not None
@@ -38,3 +40,20 @@ def test_pipeline_has_no_cross_products(spark):
     import __spark_entry__ as E
     plan = _plan(E.queries()["pipeline_results"](spark, SF))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="driver test data not present")
+def test_search_query_is_one_plan_from_the_tables_on(spark):
+    import __spark_entry__ as E
+    plan = E.queries()["boolean_search"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "documents.parquet" in plan and "benchmark.parquet" in plan and "Generate" in plan
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="driver test data not present")
+def test_fetch_reads_the_corpus_once(spark):
+    from lodestar.operators import retrieval as RT
+    from lodestar.plans import fixtures as FX
+    cand = spark.createDataFrame([(1, 1, 1), (1, 10**9, 2)], "id long, doc_id long, retr_rank int")
+    plan = _plan(RT.fetch_details(cand, FX.articles(spark, SF)))
+    final = plan.split("Initial Plan")[0]
+    assert final.count("FileScan parquet") == 1
