@@ -58,7 +58,7 @@ def parse_articles(spark: SparkSession, path: str) -> DataFrame:
     """``(pmid, title, abstract)`` from every XML batch file under ``path``."""
     if not path_exists(spark, path):
         return empty(spark, "pmid string, title string, abstract string")
-    raw = (spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    raw = (spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
            .select(F.col("_metadata.file_path").alias("file"), "value"))
     # a batch that does not parse to its end is kept by the parser as a corrupt record
     parsed = F.from_xml("value", "_corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})

@@ -48,9 +48,10 @@ def scan_word_repr(spark: SparkSession, path: str) -> DataFrame:
     of lines); a missing file gives an empty table (expansion returns the keys)."""
     if not path_exists(spark, path):
         return empty(spark, "key string, word string, weight bigint")
-    files = spark.read.option("recursiveFileLookup", True)
-    lines = files.text(path).filter(~F.col("_metadata.file_name").endswith(".json"))
-    whole = files.option("wholetext", True).option("pathGlobFilter", "*.json").text(path)
+    lines = (spark.read.option("recursiveFileLookup", True).text(path)
+             .filter(~F.col("_metadata.file_name").endswith(".json")).select("value"))
+    whole = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json")
+             .text(path, wholetext=True).select("value"))
     m = lines.unionByName(whole).select(F.from_json("value", WORD_REPR_TYPE).alias("m"))
     outer = m.select(F.explode("m").alias("key", "inner"))
     return outer.select("key", F.explode("inner").alias("word", "weight"))
