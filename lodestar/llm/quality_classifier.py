@@ -111,8 +111,9 @@ def _sum_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _slices({k: v.astype(np.float32) for k, v in sums.items()})
 
 
-def word_vectors(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """(unit vectors, weights) by bucket, from the neighbours of every word of the corpus."""
+def word_vectors(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(unit vectors, weights) by bucket, from the neighbours of every word of
+    the corpus, and the corpus's own pooled mean of vectors and of their squares."""
     parts = docs.select(F.col(text)).mapInArrow(_context_slices, "slice int, part binary")
     rows = parts.repartition("slice").mapInArrow(_sum_slices, "slice int, part binary").collect()  # SLICES rows
     total = np.zeros((BUCKETS, DIMENSIONS + 1))
@@ -124,23 +125,32 @@ def word_vectors(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.nd
     vectors = vectors / np.maximum(counts, 1)[:, None]
     vectors -= share @ vectors
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-    return vectors.astype(np.float32), (1e-3 / (1e-3 + share)).astype(np.float32)
+    weights = 1e-3 / (1e-3 + share)
+    usual = share * weights / max((share * weights).sum(), 1e-12)
+    usual = np.concatenate([usual @ vectors, usual @ (vectors * vectors)])
+    return vectors.astype(np.float32), weights.astype(np.float32), usual.astype(np.float32)
 
 
 N_FEATURES = 2 * DIMENSIONS + 5
 
 
-def pooled(words: HashedWords, vectors: np.ndarray, weights: np.ndarray) -> np.ndarray:
+USUAL_WORDS = 16
+
+
+def pooled(words: HashedWords, vectors: np.ndarray, weights: np.ndarray, usual: np.ndarray) -> np.ndarray:
+    """A text's features. Its words are pooled with ``USUAL_WORDS`` average words
+    of the corpus, so that a text of a few words is not taken for an odd one."""
     out = np.zeros(N_FEATURES, np.float32)
     n = len(words)
     if n:
         b, times = np.unique(bucket(words), return_counts=True)
         w = weights[b] * times
-        w /= w.sum()
         v = vectors[b]
-        mean = w @ v
+        own = n / (n + USUAL_WORDS)
+        w *= own / w.sum()
+        mean = w @ v + (1 - own) * usual[:DIMENSIONS]
         out[:DIMENSIONS] = mean
-        out[DIMENSIONS:2 * DIMENSIONS] = np.sqrt(np.maximum(w @ (v * v) - mean * mean, 0))
+        out[DIMENSIONS:2 * DIMENSIONS] = np.sqrt(np.maximum(w @ (v * v) + (1 - own) * usual[DIMENSIONS:] - mean * mean, 0))
         lengths = words.ends - words.starts
         again = float((words.hashes[1:] == words.hashes[:-1]).mean()) if n > 1 else 0.0
         out[-5:] = np.log1p(n) / 10, lengths.mean() / 20, len(b) / n, float(np.linalg.norm(mean)), again
@@ -204,12 +214,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     learnable = labels.select(F.col(doc_id).alias("i"), F.col(label).alias("y")).filter(
         (remainder(F.col("i"), folds) != held_out) & F.col("y").isin(0, 1))
     sample = learnable.orderBy(F.xxhash64("i"), "i", "y").limit(sample_rows)  # bounded by the parameter
-    vectors, weights = word_vectors(docs, text)
-    shared = spark.sparkContext.broadcast((vectors, weights))
+    table = word_vectors(docs, text)
+    shared = spark.sparkContext.broadcast(table)
 
     def vector():
-        vectors, weights = shared.value
-        return lambda texts: [(pooled(w, vectors, weights).tobytes(),) for w in hashed_space_words(texts)]
+        table = shared.value
+        return lambda texts: [(pooled(w, *table).tobytes(),) for w in hashed_space_words(texts)]
 
     rows = (docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).join(F.broadcast(sample), "i")
             .select("i", "y", text_column(vector, "v binary", chunks=True)(F.col("t")).alias("v")).select("i", "y", "v.v").collect())
@@ -219,15 +229,15 @@ def score_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     constant = (y.sum() + 1) / (len(y) + 2) if len(y) else 0.5
     if len(set(y.tolist())) == 2:
         net = fit(np.array([np.frombuffer(r["v"], np.float32) for r in rows]), y)
-    model = spark.sparkContext.broadcast((vectors, weights, net))
+    model = spark.sparkContext.broadcast((table, net))
 
     def start():
-        vectors, weights, net = model.value
+        table, net = model.value
 
         def chunk(texts: list[str | None]) -> list[tuple]:
             if net is None:
                 return [(float(constant),)] * len(texts)
-            x = np.array([pooled(w, vectors, weights) for w in hashed_space_words(texts)])
+            x = np.array([pooled(w, *table) for w in hashed_space_words(texts)])
             return [(s,) for s in net.scores(x).tolist()]
 
         return chunk
