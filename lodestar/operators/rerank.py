@@ -68,32 +68,27 @@ def rerank_bm25(queries: DataFrame, cand: DataFrame, index: TextIndex,
     (avgdl 0) make the ranking fall back to retrieval order, scores 0.
     """
     keys = _keys(queries)
-    c = usable_candidates(cand, index)
     asked = queries.filter(F.col("query").isNotNull() & (F.col("query") != ""))
-    cl = c.join(index.doc_len, "doc_id", "left").withColumn("dl", F.coalesce("dl", F.lit(0)))
-    stats = cl.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("sumdl"))
-    stats = stats.withColumn("avgdl", F.col("sumdl") / F.col("n"))
+    # statistics over one question's candidates (at most the search cap): windows, not joins with themselves
+    per_question = Window.partitionBy("id")
+    cl = (usable_candidates(cand, index).join(index.doc_len, "doc_id", "left").withColumn("dl", F.coalesce("dl", F.lit(0)))
+          .withColumn("n", F.count(F.lit(1)).over(per_question)).withColumn("sumdl", F.sum("dl").over(per_question)))
     qt = (asked.select(*keys, F.explode(tokens_bm25("query")).alias("term"))
           .groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("qtf")))
-    # (id, term, doc_id, tf, dl) of query terms only
-    hits = (cl.select("id", "doc_id", "dl").join(qt.select("id", "term").distinct(), "id")
-            .join(index.postings, ["doc_id", "term"]))
     idf = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    df = (hits.groupBy("id", "term").agg(F.count(F.lit(1)).alias("df"))
-          .join(stats.select("id", "n", "avgdl"), "id").withColumn("idf", idf))
-    floored = df.filter("idf < 0").select("id").distinct()
-    floor = (c.select("id", "doc_id").join(floored, "id", "left_semi").join(index.postings, "doc_id")
-             .groupBy("id", "term").agg(F.count(F.lit(1)).alias("df")).join(stats.select("id", "n"), "id")
+    # (id, term, doc_id, tf, dl, ...) of query terms only
+    hits = (cl.join(qt.select("id", "term").distinct(), "id").join(index.postings, ["doc_id", "term"])
+            .withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("id", "term"))).withColumn("idf", idf))
+    floored = hits.filter("idf < 0").select("id").distinct()
+    floor = (cl.join(floored, "id", "left_semi").join(index.postings, "doc_id")
+             .groupBy("id", "n", "term").agg(F.count(F.lit(1)).alias("df"))
              .groupBy("id").agg((F.avg(idf) * eps).alias("eps_idf")))
-    df = df.join(floor, "id", "left").select(
-        "id", "term", "avgdl", F.when(F.col("idf") < 0, F.col("eps_idf")).otherwise(F.col("idf")).alias("idf"))
-    tf = F.col("tf")
-    norm = k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
-    scores = (hits.join(df, ["id", "term"]).join(qt, ["id", "term"])
-              .select(*keys, "doc_id", (F.col("qtf") * F.col("idf") * tf * (k1 + 1) / (tf + norm)).alias("s"))
+    weight = F.when(F.col("idf") < 0, F.col("eps_idf")).otherwise(F.col("idf"))
+    norm = k1 * (1 - b + b * F.col("dl") / (F.col("sumdl") / F.col("n")))
+    scores = (hits.join(floor, "id", "left").join(qt, ["id", "term"])
+              .select(*keys, "doc_id", (F.col("qtf") * weight * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)).alias("s"))
               .groupBy(*keys, "doc_id").agg(F.sum("s").alias("score")))
-    base = asked.select(*keys).join(c, "id").join(stats.select("id", "sumdl"), "id")
-    scored = (base.join(scores, [*keys, "doc_id"], "left")
+    scored = (asked.select(*keys).join(cl, "id").join(scores, [*keys, "doc_id"], "left")
               .select(*keys, "doc_id", "retr_rank", (F.col("sumdl") == 0).alias("fallback"),
                       F.when(F.col("sumdl") == 0, F.lit(0.0)).otherwise(F.coalesce("score", F.lit(0.0))).alias("score")))
     return _rank(scored, keys)

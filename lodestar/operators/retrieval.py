@@ -169,15 +169,14 @@ def _complete(found: DataFrame, keys: list[str], index: TextIndex, phrases: bool
         return found.select(*keys, "doc_id")
     whole = (found.groupBy(*keys, "field", "phrase", "nt", "doc_id").agg(F.count(F.lit(1)).alias("c"))
              .filter(F.col("c") == F.col("nt")))
-    multi = whole.filter(F.col("phrase").isNotNull())
     # only documents that hold all tokens of a phrase are read and normalised again
     texts = index.fields() if fielded else index.docs.select("doc_id", F.lit("text").alias("field"), "text")
-    wanted = texts.join(multi.select("doc_id", "field").distinct(), ["doc_id", "field"], "left_semi")
-    norm = wanted.select("doc_id", "field",
-                         F.concat(F.lit(" "), F.array_join(tokens_bm25("text"), " "), F.lit(" ")).alias("norm"))
-    checked = multi.join(norm, ["doc_id", "field"]).filter(F.instr("norm", F.col("phrase")) > 0)
-    out = whole.filter(F.col("phrase").isNull()).select(*keys, "doc_id").unionByName(checked.select(*keys, "doc_id"))
-    return out.distinct() if fielded else out  # a term may match in the title and in the abstract
+    asked = whole.filter(F.col("phrase").isNotNull()).select("doc_id", "field").distinct()
+    norm = texts.join(asked, ["doc_id", "field"], "left_semi").select(
+        "doc_id", "field", F.concat(F.lit(" "), F.array_join(tokens_bm25("text"), " "), F.lit(" ")).alias("norm"))
+    checked = (whole.join(norm, ["doc_id", "field"], "left")
+               .filter(F.col("phrase").isNull() | F.contains("norm", "phrase")).select(*keys, "doc_id"))
+    return checked.distinct() if fielded else checked  # a term may match in the title and in the abstract
 
 
 def _postings(index: TextIndex, fielded: bool) -> DataFrame:

@@ -37,11 +37,13 @@ class Inputs:
     d_emb: DataFrame | None = None
     lemmas: DataFrame | None = None
     n_core: int = PIPELINE_CORE_TERMS
-    persist: bool = False
+    persist: bool = True
     cache: dict = field(default_factory=dict)
 
     @classmethod
-    def load(cls, spark: SparkSession, sf_dir: str, persist: bool = False) -> "Inputs":
+    def load(cls, spark: SparkSession, sf_dir: str, persist: bool = True) -> "Inputs":
+        """``persist=False`` keeps everything one lazy plan: for single operators
+        only, a whole pipeline without written intermediates plans too long."""
         arts = FX.articles(spark, sf_dir)
         return cls(questions=FX.questions(spark, sf_dir), articles=arts,
                    unigrams=FX.unigrams(spark, sf_dir), gold=FX.qrels(spark, sf_dir),

@@ -22,13 +22,13 @@ def inputs(spark: SparkSession, sf_dir: str) -> P.Inputs:
     shared intermediates are written once and reused by its later queries."""
     known = spark.__dict__.setdefault("_lodestar_inputs", {})
     if sf_dir not in known:
-        known[sf_dir] = P.Inputs.load(spark, sf_dir, persist=True)
+        known[sf_dir] = P.Inputs.load(spark, sf_dir)
     return known[sf_dir]
 
 
 def lazy(spark: SparkSession, sf_dir: str) -> P.Inputs:
     """Inputs whose queries are one plan from the tables on."""
-    return P.Inputs.load(spark, sf_dir)
+    return P.Inputs.load(spark, sf_dir, persist=False)
 
 
 def _posexplode(df: DataFrame, key: str, arr) -> DataFrame:
@@ -345,7 +345,10 @@ def q_clause_search(spark, d):
 
 
 def q_search_with_retry(spark, d):
-    return P.candidates(lazy(spark, d))
+    inp = inputs(spark, d)
+    kw = P.keywords(inp)
+    return RT.search_with_retry(P.with_body(inp.questions), kw, FX.retry_clauses(kw), inp.index, inp.n_core,
+                                phrases=False, fielded=False, first=P.first_search(inp))
 
 
 def q_run_stats(spark, d):

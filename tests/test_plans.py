@@ -20,7 +20,7 @@ def test_search_cap_is_a_partial_group_limit(spark):
     from lodestar.operators import retrieval as RT
     from lodestar.plans import fixtures as FX
     from lodestar.plans import pipeline as P
-    inp = P.Inputs.load(spark, SF)
+    inp = P.Inputs.load(spark, SF, persist=False)
     plan = _plan(RT.boolean_search(P.keywords(inp), inp.index, phrases=False))
     assert plan.count("WindowGroupLimit") >= 2  # partial (before the exchange) + final
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
