@@ -185,7 +185,7 @@ def scratch(spark: SparkSession) -> None:
     """Intermediates go to ``spark.checkpoint.dir``. Only a local session that
     names no such folder (tests) gets a private one."""
     if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that the cluster shares")
         path = tempfile.mkdtemp(prefix="lodestar-llm-")
         spark.conf.set("spark.checkpoint.dir", path)
