@@ -6,7 +6,7 @@ linear support vector machines (squared hinge) separate the languages, the
 language with most wins is predicted, margins break ties.
 
 Models are fitted on the driver from a bounded, documented sample
-(``sample_rows`` rows, shared equally by the languages, the lowest by hash);
+(``sample_rows`` distinct texts, shared equally by the languages, the lowest by hash);
 every document is then scored in its own row with the models broadcast (their
 size is fixed by ``DIMENSIONS`` and the languages).
 
@@ -156,10 +156,17 @@ def train(docs: DataFrame, text: str, lang: str, sample_rows: int = SAMPLE_ROWS)
     n_langs = rows.agg(F.approx_count_distinct("lang", 0.01)).first()[0]
     if not n_langs:
         return None
-    # a ranking bounded by a constant: each task keeps that many rows of a language before the shuffle
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
-    sample = (rows.withColumn("h", F.xxhash64("text")).withColumn("n", nth).filter(F.col("n") <= max(2, sample_rows // n_langs))
-              .select("lang", text_column(_vectors, "v binary")(F.col("text")).alias("v")).select("lang", "v.v").collect())
+    # the sample is chosen on (lang, hash) alone: per language the lowest distinct hashes of texts; texts up to
+    # the last of them are then picked where they are read, copies of one text once
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    last = (rows.select("lang", "h").distinct().withColumn("n", nth).filter(F.col("n") <= max(2, sample_rows // n_langs))
+            .groupBy("lang").agg(F.max("h").alias("last")).collect())  # one row per language
+    cut = F.create_map(*[F.lit(x) for r in last for x in (r["lang"], r["last"])])
+    sample = (rows.filter(F.col("h") <= cut[F.col("lang")])
+              .select("lang", "h", text_column(_vectors, "v binary")(F.col("text")).alias("v")).select("lang", "h", "v.v")
+              .dropDuplicates(["lang", "h"]).collect())
+    sample = sorted(sample, key=lambda r: (r["lang"], r["h"]))
     sample = [r for r in sample if r["v"] is not None]
     if not sample:
         return None
