@@ -154,6 +154,15 @@ def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
         return mixed(out + np.uint64(k))
 
 
+def run_hashes(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of every run [start, end) of symbols with the hashes ``h``, by prefix
+    sums: equal runs get equal values wherever they stand."""
+    _Powers.to(len(h) + 1)
+    sums = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * _Powers.up[:len(h)], out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * _Powers.down[starts] + (ends - starts).astype(np.uint64) * MIX)
+
+
 CHUNK = 32
 
 

@@ -1,17 +1,18 @@
 """Line deduplication by pairwise alignment.
 
-Documents that overlap are found through shared rare line hashes, each pair is
+Documents that overlap are found through shared line hashes, each pair is
 aligned with patience diff, and the aligned common blocks are deleted from the
 later document (by id).
 
-Pairs. Every distinct line of a document, and every two lines in a row, is a
-hashed feature. A feature held by several documents is owned by the earliest,
-and each other holder is paired with the owner. A single line counts only while
-it is rare (at most ``rare`` documents); a more frequent line alone is
-boilerplate, not overlap, but lines that large groups of copies share are still
-reached through their line pairs. So a group of any size gives one
-pair per holder and owner, never all pairs within the group, and each pair is
-aligned once.
+Pairs. A passage is a run of lines with at least ``min_words`` words that has too
+few without its last or without its first line; a line of so many words is a passage
+alone. Every distinct passage of a document is a hashed feature, whatever its
+frequency, and so is every shorter line while it is rare (at most ``rare`` documents);
+a more frequent short line alone is boilerplate, not overlap. A feature held by several
+documents is owned by the earliest, and each other holder is paired with the owner. So a
+group of any size gives one pair per holder and owner, never all pairs within the
+group, and each pair is aligned once. Every common block of enough words consists of
+passages, so each part of it is met in a pair with some owner.
 
 Blocks shorter than ``min_words`` words are left. Deletion is decided on the
 input: a block is deleted because an earlier document has it, whatever becomes of
@@ -29,11 +30,12 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, written
+from .common import SPACE, run_hashes, word_count, written
 
 RARE = 20
 MIN_WORDS = 5
@@ -120,21 +122,36 @@ def without_blocks(text: str, blocks: list[list[int]], min_words: int = MIN_WORD
     return "\n".join(line for n, line in enumerate(lines) if n not in gone), len(lines), len(gone)
 
 
-def overlapping(lines: DataFrame, rare: int = RARE) -> DataFrame:
-    """(id, th, lines array<long>) -> distinct pairs (id, th, id0, th0) of a
+def passages(lines: np.ndarray, words: np.ndarray, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and hash of every passage of a document (line hashes and words)."""
+    n = len(lines)
+    upto = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    ends = np.searchsorted(upto, upto[:-1] + min_words)  # the shortest from each line on
+    starts = np.searchsorted(upto, upto[1:] - min_words, "right") - 1  # and up to each line
+    runs = np.concatenate([np.column_stack([np.arange(n), ends])[ends <= n],
+                           np.column_stack([starts, np.arange(1, n + 1)])[starts >= 0]])
+    runs = np.unique(runs, axis=0)
+    return runs[:, 0], runs[:, 1], run_hashes(lines.astype(np.int64).view(np.uint64), runs[:, 0], runs[:, 1]).view(np.int64)
+
+
+def _features(lines: pd.Series, words: pd.Series, min_words: pd.Series) -> pd.Series:
+    return pd.Series([np.unique(passages(h, w, m)[2]) for h, w, m in zip(lines, words, min_words)], dtype="object")
+
+
+def overlapping(lines: DataFrame, rare: int = RARE, min_words: int = MIN_WORDS) -> DataFrame:
+    """(id, th, lines array<long>, words array<int>) -> distinct pairs (id, th, id0, th0) of a
     document and an earlier one that owns one of its features."""
-    real = F.filter("lines", lambda h: h != 0)
-    pairs = F.transform(F.filter(F.arrays_zip(F.slice("lines", 1, F.greatest(F.size("lines") - 1, F.lit(0))).alias("x"),
-                                              F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0))).alias("y")),
-                                 lambda p: (p["x"] != 0) & (p["y"] != 0)),
-                        lambda p: F.struct(F.xxhash64(p["x"], p["y"]).alias("f"), F.lit(True).alias("pair")))
-    single = F.transform(real, lambda h: F.struct(h.alias("f"), F.lit(False).alias("pair")))
-    features = lines.select("id", "th", F.explode(F.array_distinct(F.concat(single, pairs))).alias("x")).select("id", "th", "x.*")
+    whole = F.pandas_udf(_features, "array<long>")("lines", "words", F.lit(min_words))
+    passage = F.transform(whole, lambda f: F.struct(f.alias("f"), F.lit(True).alias("passage")))
+    short = F.transform(F.filter(F.arrays_zip(F.col("lines").alias("x"), F.col("words").alias("y")),
+                                 lambda p: (p["x"] != 0) & (p["y"] < min_words)),
+                        lambda p: F.struct(p["x"].alias("f"), F.lit(False).alias("passage")))
+    features = lines.select("id", "th", F.explode(F.concat(passage, F.array_distinct(short))).alias("x")).select("id", "th", "x.*")
     first = F.struct(F.col("id").isNull().alias("last"), "id", "th")
-    owned = (features.groupBy("f", "pair").agg(F.count(F.lit(1)).alias("n"), F.min(first).alias("o"))
-             .filter((F.col("n") > 1) & (F.col("pair") | (F.col("n") <= rare)))
-             .select("f", "pair", F.col("o.id").alias("id0"), F.col("o.th").alias("th0")))
-    return (features.join(owned, ["f", "pair"])
+    owned = (features.groupBy("f", "passage").agg(F.count(F.lit(1)).alias("n"), F.min(first).alias("o"))
+             .filter((F.col("n") > 1) & (F.col("passage") | (F.col("n") <= rare)))
+             .select("f", "passage", F.col("o.id").alias("id0"), F.col("o.th").alias("th0")))
+    return (features.join(owned, ["f", "passage"])
             .filter(~(F.col("id").eqNullSafe(F.col("id0")) & (F.col("th") == F.col("th0"))))
             .select("id", "th", "id0", "th0").distinct())
 
@@ -145,9 +162,10 @@ def deduplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = docs.select(row.alias("row"), F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("t"))
     hashed = F.transform(F.split("t", "\n"), lambda x: F.when(F.btrim(x, F.lit(SPACE)) == "", F.lit(0)).otherwise(F.xxhash64(x)))
-    lines = written(rows.filter(F.col("t").isNotNull()).select("id", "th", hashed.alias("lines"))
+    counted = F.transform(F.split("t", "\n"), lambda x: word_count(x).cast("int"))
+    lines = written(rows.filter(F.col("t").isNotNull()).select("id", "th", hashed.alias("lines"), counted.alias("words"))
                     .dropDuplicates(["id", "th"]), "lines")
-    pairs = overlapping(lines, rare)
+    pairs = overlapping(lines, rare, min_words)
     mine = lines.select(F.col("id").alias("i"), F.col("th").alias("h"), F.col("lines").alias("later"))
     first = lines.select(F.col("id").alias("i0"), F.col("th").alias("h0"), F.col("lines").alias("earlier"))
     align = F.pandas_udf(_align, "array<int>")

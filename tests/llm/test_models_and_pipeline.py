@@ -132,6 +132,15 @@ def test_line_alignment_deletes_from_the_later_only(spark):
     assert got[3]["text"] == "" and got[4]["text"] == "first start"  # two words are no block
 
 
+def test_frequent_passages_are_deleted(spark):
+    """Over ``RARE`` holders of a line, no two with the same neighbours."""
+    line = "one line that is long enough to be a passage"
+    rows = [(i, f"before {i}\n{line}\nafter {i}") for i in range(30)] + [(i, line) for i in range(30, 60)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["x"]["text"] for r in line_align.deduplicate_lines(table, name="x").collect()}
+    assert got == {i: rows[0][1] if i == 0 else f"before {i}\nafter {i}" if i < 30 else "" for i in range(60)}
+
+
 def test_mixing(edge, empty, docs):
     for table in (edge, docs):
         rows = mixing.mix(table).collect()
