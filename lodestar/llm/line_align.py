@@ -14,6 +14,11 @@ group of any size gives one pair per holder and owner, never all pairs within th
 group, and each pair is aligned once. Every common block of enough words consists of
 passages, so each part of it is met in a pair with some owner.
 
+One alignment keeps one increasing run and needs lines that are single on both sides.
+Passages of the later document that it leaves although the owner has them (blocks in another
+order, repeated lines) are therefore looked up among the owner's passages and deleted too:
+no owner's order or repeats shield a block, and no other holder need be tried.
+
 Blocks shorter than ``min_words`` words are left. Deletion is decided on the
 input: a block is deleted because an earlier document has it, whatever becomes of
 later ones, and the earliest holder keeps it.
@@ -29,16 +34,18 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, run_hashes, word_count, written
+from .common import MIX, SPACE, mixed, run_hashes, word_count, written
 
 RARE = 20
 MIN_WORDS = 5
+PIECE = 500
 
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -106,8 +113,23 @@ def common_blocks(earlier: list[int], later: list[int]) -> list[int]:
     return out
 
 
-def _align(earlier: pd.Series, later: pd.Series) -> pd.Series:
-    return pd.Series([common_blocks(a.tolist(), b.tolist()) for a, b in zip(earlier, later)], dtype="object")
+def _align(earlier: pd.Series, earlier_words: pd.Series, later: pd.Series, later_words: pd.Series,
+           min_words: pd.Series) -> pd.Series:
+    m = int(min_words.iloc[0])
+    starts, ends, shared = (x.tolist() for x in shared_passages(earlier, earlier_words, later, later_words, m))
+    at, out = 0, []
+    for k, (a, b, w) in enumerate(zip(earlier, later, later_words)):
+        blocks = common_blocks(a.tolist(), b.tolist())
+        gone = bytearray(len(b))
+        for start, end in zip(blocks[::2], blocks[1::2]):
+            if w[start:end].sum() >= m:
+                gone[start:end] = b"\1" * (end - start)
+        while at < len(shared) and shared[at] == k:  # what the alignment leaves though the earlier one has it
+            if not all(gone[starts[at]:ends[at]]):
+                blocks += [starts[at], ends[at]]
+            at += 1
+        out.append(blocks)
+    return pd.Series(out, dtype="object")
 
 
 def without_blocks(text: str, blocks: list[list[int]], min_words: int = MIN_WORDS) -> tuple[str, int, int]:
@@ -122,27 +144,60 @@ def without_blocks(text: str, blocks: list[list[int]], min_words: int = MIN_WORD
     return "\n".join(line for n, line in enumerate(lines) if n not in gone), len(lines), len(gone)
 
 
-def passages(lines: np.ndarray, words: np.ndarray, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and hash of every passage of a document (line hashes and words)."""
-    n = len(lines)
-    upto = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+def passages(lines: pd.Series, words: pd.Series, min_words: int = MIN_WORDS) -> tuple[np.ndarray, ...]:
+    """Start, end, hash and document (its place in the series, ascending) of every passage
+    of some documents (line hashes and words), all at once."""
+    sizes = np.array([len(h) for h in lines], np.int64)
+    last = np.cumsum(sizes)
+    if not len(last) or not last[-1]:
+        return (np.empty(0, np.int64),) * 4
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    first, last, n = (last - sizes)[owner], last[owner], np.arange(last[-1])
+    upto = np.concatenate([[0], np.cumsum(np.concatenate(list(words)), dtype=np.int64)])
     ends = np.searchsorted(upto, upto[:-1] + min_words)  # the shortest from each line on
     starts = np.searchsorted(upto, upto[1:] - min_words, "right") - 1  # and up to each line
-    runs = np.concatenate([np.column_stack([np.arange(n), ends])[ends <= n],
-                           np.column_stack([starts, np.arange(1, n + 1)])[starts >= 0]])
-    runs = np.unique(runs, axis=0)
-    return runs[:, 0], runs[:, 1], run_hashes(lines.astype(np.int64).view(np.uint64), runs[:, 0], runs[:, 1]).view(np.int64)
+    from_line, to_line = ends <= last, starts >= first
+    to_line[from_line[np.maximum(starts, 0)] & (ends[np.maximum(starts, 0)] == n + 1)] = False  # the same run
+    starts = np.concatenate([n[from_line], starts[to_line]])
+    ends = np.concatenate([ends[from_line], n[to_line] + 1])
+    order = np.argsort(owner[starts], kind="stable")
+    starts, ends = starts[order], ends[order]
+    hashes = run_hashes(np.concatenate(list(lines)).astype(np.int64).view(np.uint64), starts, ends).view(np.int64)
+    return starts - first[starts], ends - first[starts], hashes, owner[starts]
+
+
+def shared_passages(earlier: pd.Series, earlier_words: pd.Series, later: pd.Series, later_words: pd.Series,
+                    min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and pair of the passages of ``later`` that ``earlier`` has, in whatever
+    order and however often."""
+    def keyed(hashes: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        return mixed(hashes.view(np.uint64) + pair.astype(np.uint64) * MIX)
+
+    starts, ends, hashes, pair = passages(later, later_words, min_words)
+    _, _, held, holder = passages(earlier, earlier_words, min_words)
+    both = np.isin(keyed(hashes, pair), keyed(held, holder))
+    return starts[both], ends[both], pair[both]
 
 
 def _features(lines: pd.Series, words: pd.Series, min_words: pd.Series) -> pd.Series:
-    return pd.Series([np.unique(passages(h, w, m)[2]) for h, w, m in zip(lines, words, min_words)], dtype="object")
+    _, _, hashes, place = passages(lines, words, int(min_words.iloc[0]))
+    return pd.Series(np.split(hashes, np.searchsorted(place, np.arange(1, len(lines)))), dtype="object")
+
+
+def _pieces(fn: Callable[..., pd.Series]) -> Callable[..., pd.Series]:
+    """``fn`` over ``PIECE`` rows at a time, so that its arrays stay small."""
+    def run(*columns: pd.Series) -> pd.Series:
+        done = [fn(*[c.iloc[k:k + PIECE] for c in columns]) for k in range(0, len(columns[0]), PIECE)]
+        return pd.concat(done, ignore_index=True) if done else pd.Series([], dtype="object")
+
+    return run
 
 
 def overlapping(lines: DataFrame, rare: int = RARE, min_words: int = MIN_WORDS) -> DataFrame:
     """(id, th, lines array<long>, words array<int>) -> distinct pairs (id, th, id0, th0) of a
     document and an earlier one that owns one of its features."""
-    whole = F.pandas_udf(_features, "array<long>")("lines", "words", F.lit(min_words))
-    passage = F.transform(whole, lambda f: F.struct(f.alias("f"), F.lit(True).alias("passage")))
+    whole = F.pandas_udf(_pieces(_features), "array<long>")("lines", "words", F.lit(min_words))
+    passage = F.transform(F.array_distinct(whole), lambda f: F.struct(f.alias("f"), F.lit(True).alias("passage")))
     short = F.transform(F.filter(F.arrays_zip(F.col("lines").alias("x"), F.col("words").alias("y")),
                                  lambda p: (p["x"] != 0) & (p["y"] < min_words)),
                         lambda p: F.struct(p["x"].alias("f"), F.lit(False).alias("passage")))
@@ -166,12 +221,14 @@ def deduplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     lines = written(rows.filter(F.col("t").isNotNull()).select("id", "th", hashed.alias("lines"), counted.alias("words"))
                     .dropDuplicates(["id", "th"]), "lines")
     pairs = overlapping(lines, rare, min_words)
-    mine = lines.select(F.col("id").alias("i"), F.col("th").alias("h"), F.col("lines").alias("later"))
-    first = lines.select(F.col("id").alias("i0"), F.col("th").alias("h0"), F.col("lines").alias("earlier"))
-    align = F.pandas_udf(_align, "array<int>")
+    mine = lines.select(F.col("id").alias("i"), F.col("th").alias("h"), F.col("lines").alias("later"),
+                        F.col("words").alias("later_words"))
+    first = lines.select(F.col("id").alias("i0"), F.col("th").alias("h0"), F.col("lines").alias("earlier"),
+                         F.col("words").alias("earlier_words"))
+    align = F.pandas_udf(_pieces(_align), "array<int>")
     blocks = (pairs.join(mine, F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("h")))
               .join(first, F.col("id0").eqNullSafe(F.col("i0")) & (F.col("th0") == F.col("h0")))
-              .select("i", "h", align("earlier", "later").alias("b"))
+              .select("i", "h", align("earlier", "earlier_words", "later", "later_words", F.lit(min_words)).alias("b"))
               .groupBy("i", "h").agg(F.collect_list("b").alias("blocks")))
 
     def apply(texts: pd.Series, found: pd.Series) -> pd.DataFrame:

@@ -141,6 +141,45 @@ def test_frequent_passages_are_deleted(spark):
     assert got == {i: rows[0][1] if i == 0 else f"before {i}\nafter {i}" if i < 30 else "" for i in range(60)}
 
 
+def whole_lines(rows, min_words=line_align.MIN_WORDS):
+    """(id, text) rows -> Counter of (id, text left, lines, deleted): without every line that
+    stands in a run of enough words that an earlier document also holds."""
+    distinct = sorted({(i is None, i or 0, common_hash(t)): t for i, t in rows if t is not None}.items())
+    seen, left = set(), {}
+    for key, t in distinct:
+        raw = t.split("\n")
+        lines = [x if x.strip(common.SPACE) else "" for x in raw]
+        words = [len(x.encode().split()) for x in raw]
+        runs = set()
+        for n in range(len(raw)):
+            end = next((e for e in range(n + 1, len(raw) + 1) if sum(words[n:e]) >= min_words), None)
+            start = next((s for s in range(n, -1, -1) if sum(words[s:n + 1]) >= min_words), None)
+            runs |= ({(n, end)} if end is not None else set()) | ({(start, n + 1)} if start is not None else set())
+        gone = {n for s, e in runs if tuple(lines[s:e]) in seen for n in range(s, e)}
+        seen |= {tuple(lines[s:e]) for s, e in runs}
+        left[key] = ("\n".join(x for n, x in enumerate(raw) if n not in gone), len(raw), len(gone))
+    return Counter((i, None, 0, 0) if t is None else (i, *left[i is None, i or 0, common_hash(t)]) for i, t in rows)
+
+
+def test_order_and_repeats_of_an_owner_shield_nothing(spark):
+    p, q = ("\n".join(f"{x} sentence number {k} of a common block" for k in range(3)) for x in "PQ")
+    short = "\n".join(f"two {k}" for k in range(4))
+    texts = [f"{p}\nu\n{q}", f"{q}\nv", f"{q}\nw\n{p}", f"{q}\nx\n{q}\ny", f"z\n{q}\n{p}\n{q}",
+             f"{short}\na\n{short}", f"b\n{short}\nc", f"{short}\nd\n{short}\ne\n{short}", "two 1\ntwo 2"]
+    rows = list(enumerate(texts))
+    done = line_align.deduplicate_lines(spark.createDataFrame(rows, "doc_id long, text string"), name="x")
+    got = Counter(tuple(r) for r in done.select("doc_id", "x.*").collect())
+    assert [t for _, t, _, _ in sorted(got)] == [texts[0], "v", "w", "x\ny", "z", texts[5], "b\nc", "d\ne", texts[8]]
+    assert got == whole_lines(rows)
+
+
+@pytest.mark.parametrize("name", ["docs", "edge"])
+def test_line_alignment_is_whole(request, name):
+    table = request.getfixturevalue(name)
+    done = line_align.deduplicate_lines(table, name="x_").select("doc_id", "x_.text", "x_.n_lines", "x_.n_removed")
+    assert Counter(tuple(r) for r in done.collect()) == whole_lines([(r["doc_id"], r["text"]) for r in table.collect()])
+
+
 def test_mixing(edge, empty, docs):
     for table in (edge, docs):
         rows = mixing.mix(table).collect()
