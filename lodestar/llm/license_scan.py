@@ -1,7 +1,7 @@
 """Licence scan by ordered signature rules (DataFrame functions only).
 
-A text becomes its lower-case words between single spaces. Texts that share a word
-with the keywords are looked at; those that hold a rule's whole keyword
+A text becomes its lower-case words between single spaces. Texts that hold the longest
+word of a keyword, be it inside a longer word, are looked at; those that hold a rule's whole keyword
 (plain substring tests) meet that rule's regex, and every match is a detection: an interval of words with a label, a confidence
 and the rule's priority. A detection inside another one's interval is
 suppressed; of equal intervals the rule of higher priority stays. One running
@@ -21,6 +21,8 @@ null ids are kept; only (id, text) are read, so extra columns cannot clash.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,9 +50,18 @@ def _rule_table(signatures: list[Rule]) -> Column:
 
 
 def gate_words(signatures: list[Rule]) -> list[str]:
-    """Words of which a text must hold one: the longest word of every keyword."""
+    """Words of which a text must hold one, alone or inside a longer word: the longest word of
+    every keyword, and the spellings of ``licen``."""
     longest = {max(keyword.split(), key=len) for keyword in [*(r.keyword for r in signatures), *BASE]}
-    return sorted(longest - {"licen"} | set(LICENSE_WORDS if "licen" in longest else ()))
+    return sorted(longest | set(LICENSE_WORDS if "licen" in longest else ()))
+
+
+def gated(words: Column, signatures: list[Rule]) -> Column:
+    """Whether the words hold a gate word, by the substring test of the rules' keywords. A gate word
+    that holds another adds nothing; as the only element of an array the words are made once."""
+    gates = gate_words(signatures)
+    least = [w for w in gates if not any(v in w for v in gates if v != w)]
+    return F.exists(F.array(words), lambda x: reduce(Column.__or__, [F.contains(x, F.lit(w)) for w in least]))
 
 
 def detections(docs: DataFrame, signatures: list[Rule]) -> DataFrame:
@@ -84,8 +95,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", signatures
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t"), F.xxhash64(F.col(text)).alias("th"))
     words = joined_words(F.col("t"))
     sizes = rows.select("id", "th", F.when(F.length(words) <= 2, F.lit(0)).otherwise(_spaces(words) - 1).cast("long").alias("n_words"))
-    worth = F.arrays_overlap(F.split(words, " "), F.array(*[F.lit(w) for w in gate_words(signatures)]))
-    found = surviving(detections(rows.filter(worth).select("id", "th", words.alias("words")), signatures))
+    found = surviving(detections(rows.filter(gated(words, signatures)).select("id", "th", words.alias("words")), signatures))
     by_doc = found.groupBy("id", "th").agg(
         F.count_if("base").alias("n_base"), F.min(F.when(F.col("base"), F.col("first"))).cast("long").alias("first_word"),
         F.max(F.when(F.col("base"), F.col("first"))).cast("long").alias("last_word"),

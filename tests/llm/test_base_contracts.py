@@ -331,3 +331,17 @@ def test_license_gate_covers_every_rule():
     gates = set(license_scan.gate_words(rules()))
     for r in rules():
         assert set(r.keyword.split()) & gates or "licen" in r.keyword.split() and set(LICENSE_WORDS) <= gates
+
+
+def test_licence_gate_is_no_stricter_than_the_rules(spark):
+    from lodestar.llm.license_rules import rules
+    texts = [f"released under {x}" for x in ("GPL3", "LGPL3", "AGPL3", "gpl2")] + ["nothing here", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    words = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"), license_scan.joined_words(F.col("text")).alias("words"))
+    passed = {r["id"] for r in words.filter(license_scan.gated(F.col("words"), rules())).select("id").collect()}
+    assert passed == {0, 1, 2, 3}
+    gpl = [r for r in rules() if r.keyword in ("gpl", "lgpl", "agpl")]
+    got = {r["doc_id"]: r["labels"] for r in license_scan.scan(docs, signatures=gpl).collect()}
+    assert got == {0: "gpl", 1: "lgpl", 2: "agpl", 3: "gpl", 4: "", 5: ""}
+    for keyword in {r.keyword for r in rules()}:  # also inside longer words
+        assert any(w in f"x{keyword}x" for w in license_scan.gate_words(rules()))
