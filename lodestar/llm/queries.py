@@ -7,8 +7,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fertility, language, license_scan, line_align, mixing, personal_data, quality_classifier, simhash, substring_dedup
+from . import (
+    decontamination, fertility, hard_negatives, language, license_scan, line_align, mixing, personal_data, quality_classifier,
+    sharding, simhash, substring_dedup, vector_codes,
+)
 from .common import documents
+from .vectors import embeddings
 
 
 def hex_sha256(text: Column) -> Column:
@@ -84,6 +88,24 @@ def op10_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(documents(spark, sf_dir))
 
 
+def op11_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document after a uniform shuffle."""
+    placed = sharding.shard_table(spark, f"{sf_dir}/documents.parquet", ["doc_id", "text"], name="p")
+    utf8 = F.coalesce(F.encode("text", "utf-8"), F.lit(b""))
+    return placed.select("doc_id", (F.octet_length(utf8) + F.lit(1).cast("long")).alias("size"), F.crc32(utf8).alias("text_crc32"),
+                         F.lit("rows").alias("law"), "p.shard", "p.slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op12_dictionary_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and error of every vector under the trained codebooks."""
+    return vector_codes.vector_codes(embeddings(spark, sf_dir))
+
+
+def op13_bond_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every anchor's positives."""
+    return hard_negatives.mine(embeddings(spark, sf_dir)).drop("negative_label")
+
+
 QUERIES = {
     "op1_fertility_rules": op1_fertility_rules,
     "op2_simhash_multi_index": op2_simhash_multi_index,
@@ -95,9 +117,14 @@ QUERIES = {
     "op8_random_indexing_quality": op8_random_indexing_quality,
     "op9_fm_index_dedup": op9_fm_index_dedup,
     "op10_license_rules": op10_license_rules,
+    "op11_hypergeometric_shards": op11_hypergeometric_shards,
+    "op12_dictionary_codes": op12_dictionary_codes,
+    "op13_bond_negatives": op13_bond_negatives,
 }
 
 ORACLES = {
     "op4_prefix_set_join": decontamination.ORACLE,
     "op5_systematic_mix": mixing.ORACLE.format(docs="documents"),
+    "op12_dictionary_codes": vector_codes.ORACLE,
+    "op13_bond_negatives": hard_negatives.ORACLE,
 }
