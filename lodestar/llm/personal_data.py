@@ -8,16 +8,20 @@ that is a phone number elsewhere in the same document.
 Nodes are the words that hold a digit or an ``@``; every other word is fixed to
 "outside" and enters through its neighbours' features. Neighbouring nodes share
 chain potentials; distant nodes with the same or a similar token (equal after
-stripping punctuation, or equal digits) share skip potentials, each occurrence
-being tied to the next. Loopy belief propagation runs on all edges of a
-document at once until messages settle, so what the document says in one place
-decides the label in another.
-
-Weights come from a bounded, documented sample (``sample_tokens`` tokens, the
-lowest by hash) by pseudo-likelihood: labels are the base spans, and for
-credentials a cue word before a long mixed token. A new span needs a
+stripping punctuation, or equal digits; six characters or more) share skip potentials, every
+occurrence being tied to the first, so that any two are two steps apart however many there are.
+Loopy belief propagation runs on all edges of a document at once until messages settle (loops
+that never do end after a number of rounds that grows with the longest row of neighbours), so what
+the document says in one place decides the label in another. Only messages whose inputs still change are
+computed again.
+
+Weights come from a bounded, documented sample (``sample_tokens`` distinct token rows, the
+lowest by hash, each weighed by its count up to ``ROW_WEIGHT``; tied labels count up to ``TIE_WEIGHT``)
+by pseudo-likelihood: labels are the base spans, for credentials a cue word before a long mixed
+token, and for like tokens of the same document the label of one of them. A new span needs a
 marginal of at least ``threshold``, the form its kind demands, and no overlap with a
-base span.
+base span. A node's features see the first 40 characters of its shape and the 48 characters before
+it (two words); spans and forms are judged on the whole token.
 
 Cases: null and empty texts have no spans; a text without digit or ``@`` is
 done after one look; repeated rows are treated alike; rows keep any id; other
@@ -51,7 +55,10 @@ N_LABELS = len(LABELS)
 FEATURES = 256
 SAMPLE_TOKENS = 12_000
 THRESHOLD = 0.9
-ROUNDS = 20
+ROW_WEIGHT = 20
+TIE_WEIGHT = 2
+LOOP_ROUNDS = 60
+SETTLED = 1e-4
 
 NODE = re.compile(r"[0-9@][^\x20\x09-\x0D]*")
 _SPACES = frozenset(" \t\n\x0b\x0c\r")
@@ -92,7 +99,7 @@ def valid(kind: str, text: str) -> bool:
         return found == [(0, len(text))]
     if kind == "ip":
         parts = text.split(".")
-        return len(parts) == 4 and all(0 < len(p) and _digits(p) == p and len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in parts)
+        return len(parts) == 4 and all(0 < len(p) and _digits(p) == p and len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in parts)
     if kind == "card":
         return 14 <= len(digits) <= 19 and luhn(digits)
     if kind == "phone":
@@ -164,24 +171,23 @@ def tokens_of(text: str) -> Tokens | None:
         spans.append((start, m.end()))
     if not spans:
         return None
-    chain, skip, last = [], [], {}
+    chain, skip, first = [], [], {}
     left, right = np.ones(len(spans), bool), np.ones(len(spans), bool)
     for n, (start, end) in enumerate(spans):
         if n and start - spans[n - 1][1] <= 8 and not text[spans[n - 1][1]:start].strip(" \t"):
             chain.append((n - 1, n))
             left[n] = right[n - 1] = False
         key = _key(text[start:end].strip(_EDGE))
-        if key is not None:
-            if key in last:
-                skip.append((last[key], n))
-            last[key] = n
+        if key is not None and first.setdefault(key, n) != n:
+            skip.append((first[key], n))
     pairs = lambda x: np.array(x, np.int64).reshape(-1, 2)
     features = np.array([_feature_numbers(text, a, b) for a, b in spans])
     return Tokens(spans, features, pairs(chain), pairs(skip), left, right)
 
 
 def weak_labels(text: str, tokens: Tokens, spans: list[tuple[int, int, int]]) -> np.ndarray:
-    """Base spans' kinds, and credentials after a cue."""
+    """Base spans' kinds, credentials after a cue, and what has the form of a kind that a like token
+    has elsewhere in the document."""
     out = np.zeros(len(tokens.spans), np.int64)
     at = 0
     for n, (start, end) in enumerate(tokens.spans):
@@ -192,6 +198,13 @@ def weak_labels(text: str, tokens: Tokens, spans: list[tuple[int, int, int]]) ->
             out[n] = 1 + hit
         elif valid("secret", text[start:end].strip(_EDGE)) and _CUE.search(text[max(0, start - 48):start]):
             out[n] = LABELS.index("secret")
+    said: dict[int, int] = {}  # first of like tokens -> label
+    for a, b in tokens.skip.tolist():
+        said[a] = said.get(a, 0) or int(out[a] or out[b])
+    for a, b in [*tokens.skip.tolist(), *((a, a) for a in said)]:
+        start, end = tokens.spans[b]
+        if said[a] and not out[b] and valid(LABELS[said[a]], text[start:end].strip(_EDGE)):
+            out[b] = said[a]
     return out
 
 
@@ -203,7 +216,7 @@ class Field:
     chain: np.ndarray   # (left label, right label)
     skip: np.ndarray    # (label, label), symmetric
 
-    def marginals(self, t: Tokens, rounds: int = ROUNDS) -> np.ndarray:
+    def marginals(self, t: Tokens, rounds: int | None = None) -> np.ndarray:
         """Loopy belief propagation, all messages at once, damped by half."""
         unary = self.unary[t.features].sum(axis=1)
         unary[t.lone_left] += self.chain[0]
@@ -216,24 +229,36 @@ class Field:
         reverse = np.concatenate([np.arange(e) + e, np.arange(e)])
         kind = np.concatenate([np.zeros(len(t.chain), int), np.full(len(t.skip), 2)])
         kind = np.concatenate([kind, kind + (kind == 0)])
-        potentials = np.stack([self.chain, self.chain.T, self.skip])
-        messages = np.zeros((2 * e, N_LABELS))
-        for _ in range(rounds):
-            belief = unary.copy()
-            np.add.at(belief, target, messages)
-            cavity = belief[source] - messages[reverse]
+        weights = np.exp(np.stack([self.chain, self.chain.T, self.skip]))
+        messages, belief = np.zeros((2 * e, N_LABELS)), unary.copy()
+        active = np.arange(2 * e)
+        for _ in range(LOOP_ROUNDS + 2 * _longest_row(t.chain) if rounds is None else rounds):
+            cavity = belief[source[active]] - messages[reverse[active]]
             cavity -= cavity.max(axis=1, keepdims=True)
-            new = np.log(np.einsum("el,elm->em", np.exp(cavity), np.exp(potentials)[kind]) + 1e-300)
+            new = np.log(np.einsum("el,elm->em", np.exp(cavity), weights[kind[active]]) + 1e-300)
             new -= new.mean(axis=1, keepdims=True)
-            change = np.abs(new - messages).max()
-            messages = 0.5 * messages + 0.5 * new
-            if change < 1e-3:
+            step = 0.5 * (new - messages[active])
+            messages[active] += step
+            np.add.at(belief, target[active], step)
+            moved = active[np.abs(step).max(axis=1) > SETTLED]
+            if not len(moved):
                 break
-        belief = unary.copy()
-        np.add.at(belief, target, messages)
+            heard = np.zeros(len(belief), bool)
+            heard[target[moved]] = True
+            again = heard[source]
+            again[moved] = True
+            active = np.flatnonzero(again)
         return _softmax(belief)
 
 
+def _longest_row(chain: np.ndarray) -> int:
+    """Pairs in the longest row of neighbouring nodes (pairs in order)."""
+    if not len(chain):
+        return 0
+    breaks = np.flatnonzero(chain[1:, 0] != chain[:-1, 1])
+    return int(np.diff(np.concatenate([[-1], breaks, [len(chain) - 1]])).max())
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
     p = np.exp(z - z.max(axis=1, keepdims=True))
     return p / p.sum(axis=1, keepdims=True)
@@ -268,6 +293,7 @@ def _examples() -> Callable[[str | None], tuple]:
         left[t.chain[:, 1]], right[t.chain[:, 0]] = y[t.chain[:, 0]], y[t.chain[:, 1]]
         np.add.at(skip, (t.skip[:, 0], y[t.skip[:, 1]]), 1)
         np.add.at(skip, (t.skip[:, 1], y[t.skip[:, 0]]), 1)
+        skip = np.minimum(skip, TIE_WEIGHT)
         rows = np.hstack([t.features, left[:, None], right[:, None], skip, y[:, None]])
         return (np.unique(rows, axis=0).tolist(),)
 
@@ -281,7 +307,7 @@ def train(docs: DataFrame, text: str = "text", sample_tokens: int = SAMPLE_TOKEN
             .groupBy("r").agg(F.count(F.lit(1)).alias("n")).orderBy(F.xxhash64("r"), "r").limit(sample_tokens).collect())
     if not rows:
         return None
-    r = np.repeat(np.array([x["r"] for x in rows]), [min(x["n"], 20) for x in rows], axis=0)
+    r = np.repeat(np.array([x["r"] for x in rows]), [min(x["n"], ROW_WEIGHT) for x in rows], axis=0)
     k = PER_TOKEN
     return fit(r[:, :k], r[:, k], r[:, k + 1], r[:, k + 2:k + 2 + N_LABELS].astype(float), r[:, -1])
 

@@ -18,6 +18,7 @@ EDGE = [
     (8, "Ünïcode word   \U0001F600 ß\x1cß", "de", "c"), (9, "GNU General Public License\n\nApache-License: CC BY mit LICENSE", "en", "c"),
     (10, "mail a.b@c.example.org +1 (200) 555-0100 10.0.0.1 4111 1111 1111 1111", "en", "c"), (None, None, None, None),
     (11, "a " * 200, "en", "a"), (12, "x" * 50_000, "en", "a"), (13, f"{PASSAGE} {PASSAGE}", "es", "a"), (14, "one", "en", "a"),
+    (15, "0" * 5_000 + ".1.1.1 and 1.1.1." + "9" * 5_000 + " card " + "4" * 6_000 + " +" + "1" * 5_000, "en", "c"),
 ]
 EXTRA = ["row", "id", "th", "fp", "f", "h", "words", "size", "lines", "key", "i", "s", "text_hash", "label", "score"]
 

@@ -143,7 +143,7 @@ def base_spans(t):
 
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t)
-            if all(int(p) <= 255 for p in m.group().split("."))]
+            if all(int(p[-3:]) <= 255 and not p[:-3].strip("0") for p in m.group().split("."))]
     for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
         d = re.sub("[^0-9]", "", m.group())
         if 14 <= len(d) <= 19 and luhn(d):
@@ -154,7 +154,8 @@ def base_spans(t):
 
 
 TRICKY = ["a@b.c d@e@f.g x@y", "@a.b a.@b.c.d.", "1.2.3.4.5.6.7.8 256.1.1.1 1.1.1.256.1.1.1", "+1 22-33 (44) 555666 777.8889999 +1",
-          "4111-1111-1111-1111 4111111111111112 00000000000000", "a%b+c-d@x-y.z-", "..@..", "+12 345 678 90 12 345 6789", "é@é.é a@b.é"]
+          "4111-1111-1111-1111 4111111111111112 00000000000000", "a%b+c-d@x-y.z-", "..@..", "+12 345 678 90 12 345 6789", "é@é.é a@b.é",
+          "0" * 5_000 + ".1.1.1", "1.1." + "0" * 4_500 + "255.0", "1.1.1." + "7" * 5_000, "4" * 7_000, "+" + "2" * 6_000, "1-" * 5_000 + "1"]
 
 
 def test_personal_data_base_patterns():
@@ -195,6 +196,80 @@ def test_skip_chain_carries_a_label_to_a_distant_token():
     assert field.marginals(t)[1, secret] < 0.5
 
 
+def test_skip_chain_reaches_every_occurrence():
+    """A cue's label reaches each later occurrence alike, however many there are."""
+    import numpy as np
+    token = "abcdef123456ghijkl7"
+    for n in (3, 40, 400):
+        t = personal_data.tokens_of(f"the password = {token} " + " ".join(f"filler words here {token}" for _ in range(n)))
+        assert len(t.skip) == n
+        secret = personal_data.LABELS.index("secret")
+        unary = np.zeros((personal_data.FEATURES, personal_data.N_LABELS))
+        cue = set(t.features[0]) - set(t.features[1])
+        for f in cue:
+            unary[f, secret] = 4.0
+        p = personal_data.Field(unary, np.zeros((6, 6)), np.eye(6) * 3).marginals(t)
+        assert p[1:, secret].min() > 0.5 and np.ptp(p[1:, secret]) < 1e-3
+
+
+def test_belief_propagation_is_exact_on_a_tree_of_skips():
+    import itertools
+
+    import numpy as np
+    rng = np.random.default_rng(9)
+    n, L = 5, personal_data.N_LABELS
+    field = personal_data.Field(rng.normal(size=(personal_data.FEATURES, L)), rng.normal(size=(L, L)), None)
+    s = rng.normal(size=(L, L))
+    field.skip = (s + s.T) / 2
+    lone = (np.zeros(n, bool),) * 2
+    pairs = [(0, 1)], [(0, 2), (0, 3), (1, 4)]
+    t = personal_data.Tokens([(0, 1)] * n, np.arange(n)[:, None], *[np.array(p) for p in pairs], *lone)
+    want = np.zeros((n, L))
+    for y in itertools.product(range(L), repeat=n):
+        w = np.exp(sum(field.unary[i, y[i]] for i in range(n)) + field.chain[y[0], y[1]] + sum(field.skip[y[a], y[b]] for a, b in pairs[1]))
+        for i in range(n):
+            want[i, y[i]] += w
+    assert np.abs(field.marginals(t) - want / want.sum(axis=1, keepdims=True)).max() < 1e-3
+
+
+def test_a_long_row_of_neighbours_settles():
+    """What the first of 300 neighbours says arrives at the last where potentials carry it."""
+    import numpy as np
+    n, L = 300, personal_data.N_LABELS
+    unary = np.zeros((personal_data.FEATURES, L))
+    unary[1, 5] = 20.0
+    features = np.zeros((n, 1), int)
+    features[0] = 1
+    chain = np.stack([np.arange(n - 1), np.arange(1, n)], 1)
+    t = personal_data.Tokens([(0, 1)] * n, features, chain, np.empty((0, 2), int), *(np.zeros(n, bool),) * 2)
+    p = personal_data.Field(unary, np.where(np.eye(L, dtype=bool), 12.0, 0.0), np.zeros((L, L))).marginals(t)
+    assert p[-1, 5] > 0.9
+
+
+def test_planted_secrets_far_from_their_cue(spark):
+    """A trained field marks the later places of a cued secret, and nothing in clean texts."""
+    import random
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+
+    def secret():
+        return "k7" + "".join(rng.choice(letters) for _ in range(20)) + "3x"
+    rows, planted = [], {}
+    for i in range(120):
+        word = " ".join(rng.choice(["river", "lamp", "stone", "house 12", "room 7b", "in 1999"]) for _ in range(30))
+        key = secret()
+        rows.append((i, f"{word} password: {key} {word}\n" + f"and later {key} again {word}\n" * (3 if i else 30)))
+        planted[i] = key
+    rows += [(1000 + i, " ".join(f"house {k} on street {k % 9}" for k in range(i, i + 40))) for i in range(60)]
+    got = personal_data.personal_data(spark.createDataFrame(rows, "doc_id long, text string"), name="x").collect()
+    for r in got:
+        found = [r["text"][s["start"]:s["stop"]] for s in r["x"]["spans"]]
+        if r["doc_id"] in planted:
+            assert found == [planted[r["doc_id"]]] * (4 if r["doc_id"] else 31)
+        else:
+            assert not found
+
+
 def test_belief_propagation_is_exact_on_a_chain():
     import itertools
 
