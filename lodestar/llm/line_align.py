@@ -6,25 +6,26 @@ later document (by id).
 
 Pairs. A passage is a run of lines with at least ``min_words`` words that has too
 few without its last or without its first line; a line of so many words is a passage
-alone. Every distinct passage of a document is a hashed feature, whatever its
-frequency, and so is every shorter line while it is rare (at most ``rare`` documents);
-a more frequent short line alone is boilerplate, not overlap. A feature held by several
-documents is owned by the earliest, and each other holder is paired with the owner. So a
-group of any size gives one pair per holder and owner, never all pairs within the
-group, and each pair is aligned once. Every common block of enough words consists of
+alone. Runs that long are what is rare: shorter lines alone are boilerplate, not
+overlap, and are no features. Every distinct passage of a document is a hashed feature,
+whatever its frequency. A feature held by several documents is owned by the earliest,
+and each other holder is paired with the owner. So a group of any size gives one pair per holder and
+owner, never all pairs within the group. Every common block of enough words consists of
 passages, so each part of it is met in a pair with some owner.
 
-One alignment keeps one increasing run and needs lines that are single on both sides.
-Passages of the later document that it leaves although the owner has them (blocks in another
-order, repeated lines) are therefore looked up among the owner's passages and deleted too:
-no owner's order or repeats shield a block, and no other holder need be tried.
+Alignment. What travels is not the documents but the lines of their shared passages: of the
+later document all of them, of the owner the first place of each. A pair's lines are put together in
+their order, with a mark wherever lines are missing between, and aligned. One alignment keeps one
+increasing run and needs lines that are single on both sides; what it leaves (blocks in another order,
+repeated lines) is aligned again, a passage of the later document with the owner's place of the
+same feature, until every shared passage was met. Only lines that an alignment matched are deleted.
 
 Blocks shorter than ``min_words`` words are left. Deletion is decided on the
 input: a block is deleted because an earlier document has it, whatever becomes of
 later ones, and the earliest holder keeps it.
 
 Cases: null texts have no lines and stay as they are; empty lines and lines of
-white space are never features and are deleted only inside a common block;
+white space are never features alone and are deleted only inside a common block;
 rows with the same id and text are one document (each row gets the same
 result); a null id counts as later than any other; equal ids are ordered
 by the hash of their text; a document without lines left has an empty text.
@@ -33,17 +34,16 @@ by the hash of their text; a document without lines left has an empty text.
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections import Counter
-from collections.abc import Callable
+from collections import Counter, defaultdict
+from collections.abc import Callable, Hashable, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX, SPACE, mixed, run_hashes, word_count, written
+from .common import SPACE, run_hashes, word_count, written
 
-RARE = 20
 MIN_WORDS = 5
 PIECE = 500
 
@@ -68,7 +68,7 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def patience_matches(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+def patience_matches(a: Sequence[Hashable], b: Sequence[Hashable]) -> list[tuple[int, int]]:
     """Matched places (i, j), increasing in both, a[i] == b[j].
 
     Equal heads and tails match; then the lines that occur once on each side are
@@ -100,7 +100,7 @@ def patience_matches(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(matched)
 
 
-def common_blocks(earlier: list[int], later: list[int]) -> list[int]:
+def common_blocks(earlier: Sequence[Hashable], later: Sequence[Hashable]) -> list[int]:
     """[start, end) line ranges of ``later`` that are common blocks, flat."""
     out: list[int] = []
     last = (-2, -2)
@@ -113,34 +113,64 @@ def common_blocks(earlier: list[int], later: list[int]) -> list[int]:
     return out
 
 
-def _align(earlier: pd.Series, earlier_words: pd.Series, later: pd.Series, later_words: pd.Series,
-           min_words: pd.Series) -> pd.Series:
-    m = int(min_words.iloc[0])
-    starts, ends, shared = (x.tolist() for x in shared_passages(earlier, earlier_words, later, later_words, m))
-    at, out = 0, []
-    for k, (a, b, w) in enumerate(zip(earlier, later, later_words)):
-        blocks = common_blocks(a.tolist(), b.tolist())
-        gone = bytearray(len(b))
-        for start, end in zip(blocks[::2], blocks[1::2]):
-            if w[start:end].sum() >= m:
-                gone[start:end] = b"\1" * (end - start)
-        while at < len(shared) and shared[at] == k:  # what the alignment leaves though the earlier one has it
-            if not all(gone[starts[at]:ends[at]]):
-                blocks += [starts[at], ends[at]]
-            at += 1
-        out.append(blocks)
+def _in_order(lines: dict[int, int], side: str) -> tuple[list[int], list[Hashable]]:
+    """Places and lines in the document's order; a mark like no other line where lines are missing between."""
+    places: list[int] = []
+    out: list[Hashable] = []
+    for place in sorted(lines):
+        if places and place != places[-1] + 1:
+            places.append(-1)
+            out.append((side, place))
+        places.append(place)
+        out.append(lines[place])
+    return places, out
+
+
+def align_passages(shared: list[tuple[int, int, Sequence[int], Sequence[int]]]) -> list[int]:
+    """Flat [start, end) line ranges of the later document, from the passages that it shares
+    with one owner: (start, the owner's start, own lines, the owner's lines)."""
+    mine: dict[int, int] = {}
+    theirs: dict[int, int] = {}
+    for start, start0, lines, lines0 in shared:
+        mine.update(zip(range(start, start + len(lines)), lines))
+        theirs.update(zip(range(start0, start0 + len(lines0)), lines0))
+    places, later = _in_order(mine, "later")
+    _, earlier = _in_order(theirs, "earlier")
+    out: list[int] = []
+    block_end: dict[int, int] = {}  # place -> end of its block
+    flat = common_blocks(earlier, later)
+    for a, b in zip(flat[::2], flat[1::2]):
+        start, end = places[a], places[b - 1] + 1
+        out += [start, end]
+        block_end.update(dict.fromkeys(range(start, end), end))
+    for start, _, lines, lines0 in shared:
+        if block_end.get(start, 0) < start + len(lines):
+            flat = common_blocks(lines0, lines)
+            out += [start + n for n in flat]
+            if flat == [0, len(lines)]:
+                block_end.update((n, max(block_end.get(n, 0), start + len(lines))) for n in range(start, start + len(lines)))
+    return out
+
+
+def _align(passages: pd.Series) -> pd.Series:
+    """The blocks of each later document, from the passages that it shares with all its owners."""
+    out = []
+    for held in passages:
+        owners = defaultdict(list)
+        for p in held:
+            owners[p["id0"], p["th0"]].append((p["s"], p["s0"], p["lines"].tolist(), p["lines0"].tolist()))
+        out.append([n for shared in owners.values() for n in align_passages(sorted(shared, key=lambda x: x[:2]))])
     return pd.Series(out, dtype="object")
 
 
-def without_blocks(text: str, blocks: list[list[int]], min_words: int = MIN_WORDS) -> tuple[str, int, int]:
+def without_blocks(text: str, blocks: list[int], min_words: int = MIN_WORDS) -> tuple[str, int, int]:
     """The text without the lines of blocks that have enough words; lines, lines deleted."""
     lines = text.split("\n")
-    words = [len(line.encode("utf-8").split()) for line in lines]
+    words = [len(line.encode("utf-8").split()) for line in lines] if blocks else []
     gone = set()
-    for flat in blocks:
-        for start, end in zip(flat[::2], flat[1::2]):
-            if sum(words[start:end]) >= min_words:
-                gone.update(range(start, end))
+    for start, end in zip(blocks[::2], blocks[1::2]):
+        if sum(words[start:end]) >= min_words:
+            gone.update(range(start, end))
     return "\n".join(line for n, line in enumerate(lines) if n not in gone), len(lines), len(gone)
 
 
@@ -166,74 +196,61 @@ def passages(lines: pd.Series, words: pd.Series, min_words: int = MIN_WORDS) ->
     return starts - first[starts], ends - first[starts], hashes, owner[starts]
 
 
-def shared_passages(earlier: pd.Series, earlier_words: pd.Series, later: pd.Series, later_words: pd.Series,
-                    min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and pair of the passages of ``later`` that ``earlier`` has, in whatever
-    order and however often."""
-    def keyed(hashes: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        return mixed(hashes.view(np.uint64) + pair.astype(np.uint64) * MIX)
+def _features(lines: pd.Series, words: pd.Series, min_words: pd.Series) -> pd.DataFrame:
+    starts, ends, hashes, place = passages(lines, words, int(min_words.iloc[0]))
+    cut = np.searchsorted(place, np.arange(1, len(lines)))
+    column = lambda x: pd.Series(np.split(x, cut), dtype="object", index=range(len(lines)))
+    return pd.DataFrame({"f": column(hashes), "s": column(starts), "e": column(ends)})
 
-    starts, ends, hashes, pair = passages(later, later_words, min_words)
-    _, _, held, holder = passages(earlier, earlier_words, min_words)
-    both = np.isin(keyed(hashes, pair), keyed(held, holder))
-    return starts[both], ends[both], pair[both]
 
+def _pieces(fn: Callable[..., pd.DataFrame]) -> Callable[..., pd.DataFrame]:
+    """``fn`` over ``PIECE`` rows at a time, so that its arrays stay small."""
+    def run(*columns: pd.Series) -> pd.DataFrame:
+        done = [fn(*[c.iloc[k:k + PIECE] for c in columns]) for k in range(0, max(1, len(columns[0])), PIECE)]
+        return pd.concat(done, ignore_index=True)
 
-def _features(lines: pd.Series, words: pd.Series, min_words: pd.Series) -> pd.Series:
-    _, _, hashes, place = passages(lines, words, int(min_words.iloc[0]))
-    return pd.Series(np.split(hashes, np.searchsorted(place, np.arange(1, len(lines)))), dtype="object")
+    return run
 
 
-def _pieces(fn: Callable[..., pd.Series]) -> Callable[..., pd.Series]:
-    """``fn`` over ``PIECE`` rows at a time, so that its arrays stay small."""
-    def run(*columns: pd.Series) -> pd.Series:
-        done = [fn(*[c.iloc[k:k + PIECE] for c in columns]) for k in range(0, len(columns[0]), PIECE)]
-        return pd.concat(done, ignore_index=True) if done else pd.Series([], dtype="object")
+def passage_table(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(id, th, lines array<long>, words array<int>) -> one row per place of a passage:
+    f (its hash), id, th, s (first line), lines."""
+    found = F.pandas_udf(_pieces(_features), "f array<long>, s array<int>, e array<int>").asNondeterministic()
+    each = F.transform(F.arrays_zip("x.f", "x.s", "x.e"), lambda p: F.struct(
+        p["f"].alias("f"), p["s"].alias("s"), F.slice("lines", p["s"] + 1, p["e"] - p["s"]).alias("lines")))
+    return (lines.select("id", "th", "lines", found("lines", "words", F.lit(min_words)).alias("x"))
+            .select("id", "th", F.explode(each).alias("p")).select("p.f", "id", "th", "p.s", "p.lines"))
 
-    return run
+
+def overlapping(table: DataFrame) -> DataFrame:
+    """Every place of a passage (``passage_table``) that an earlier document holds as well: id, th, s,
+    lines, with the owner's id0, th0, s0, lines0 (its first place there)."""
+    place = F.struct(F.col("id").isNull().alias("last"), "id", "th", "s", "lines")
+    document = F.struct(F.col("id").isNull().alias("last"), "id", "th")
+    owned = (table.groupBy("f").agg(F.min(place).alias("o"), F.max(document).alias("z"))
+             .filter(F.col("z") != F.struct("o.last", "o.id", "o.th"))
+             .select("f", F.col("o.id").alias("id0"), F.col("o.th").alias("th0"), F.col("o.s").alias("s0"), F.col("o.lines").alias("lines0")))
+    return (table.join(owned, "f").drop("f")
+            .filter(~(F.col("id").eqNullSafe(F.col("id0")) & (F.col("th") == F.col("th0")))))
 
 
-def overlapping(lines: DataFrame, rare: int = RARE, min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, th, lines array<long>, words array<int>) -> distinct pairs (id, th, id0, th0) of a
-    document and an earlier one that owns one of its features."""
-    whole = F.pandas_udf(_pieces(_features), "array<long>")("lines", "words", F.lit(min_words))
-    passage = F.transform(F.array_distinct(whole), lambda f: F.struct(f.alias("f"), F.lit(True).alias("passage")))
-    short = F.transform(F.filter(F.arrays_zip(F.col("lines").alias("x"), F.col("words").alias("y")),
-                                 lambda p: (p["x"] != 0) & (p["y"] < min_words)),
-                        lambda p: F.struct(p["x"].alias("f"), F.lit(False).alias("passage")))
-    features = lines.select("id", "th", F.explode(F.concat(passage, F.array_distinct(short))).alias("x")).select("id", "th", "x.*")
-    first = F.struct(F.col("id").isNull().alias("last"), "id", "th")
-    owned = (features.groupBy("f", "passage").agg(F.count(F.lit(1)).alias("n"), F.min(first).alias("o"))
-             .filter((F.col("n") > 1) & (F.col("passage") | (F.col("n") <= rare)))
-             .select("f", "passage", F.col("o.id").alias("id0"), F.col("o.th").alias("th0")))
-    return (features.join(owned, ["f", "passage"])
-            .filter(~(F.col("id").eqNullSafe(F.col("id0")) & (F.col("th") == F.col("th0"))))
-            .select("id", "th", "id0", "th0").distinct())
-
-
-def deduplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rare: int = RARE,
-                      min_words: int = MIN_WORDS, name: str = "aligned") -> DataFrame:
+def deduplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS,
+                      name: str = "aligned") -> DataFrame:
     """``docs`` with a struct column ``name``: text (what is left), n_lines, n_removed."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = docs.select(row.alias("row"), F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("t"))
     hashed = F.transform(F.split("t", "\n"), lambda x: F.when(F.btrim(x, F.lit(SPACE)) == "", F.lit(0)).otherwise(F.xxhash64(x)))
     counted = F.transform(F.split("t", "\n"), lambda x: word_count(x).cast("int"))
-    lines = written(rows.filter(F.col("t").isNotNull()).select("id", "th", hashed.alias("lines"), counted.alias("words"))
-                    .dropDuplicates(["id", "th"]), "lines")
-    pairs = overlapping(lines, rare, min_words)
-    mine = lines.select(F.col("id").alias("i"), F.col("th").alias("h"), F.col("lines").alias("later"),
-                        F.col("words").alias("later_words"))
-    first = lines.select(F.col("id").alias("i0"), F.col("th").alias("h0"), F.col("lines").alias("earlier"),
-                         F.col("words").alias("earlier_words"))
-    align = F.pandas_udf(_pieces(_align), "array<int>")
-    blocks = (pairs.join(mine, F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("h")))
-              .join(first, F.col("id0").eqNullSafe(F.col("i0")) & (F.col("th0") == F.col("h0")))
-              .select("i", "h", align("earlier", "earlier_words", "later", "later_words", F.lit(min_words)).alias("b"))
-              .groupBy("i", "h").agg(F.collect_list("b").alias("blocks")))
+    lines = (rows.filter(F.col("t").isNotNull()).select("id", "th", hashed.alias("lines"), counted.alias("words"))
+             .dropDuplicates(["id", "th"]))
+    shared = overlapping(written(passage_table(lines, min_words), "passages"))
+    align = F.pandas_udf(_align, "array<int>")
+    blocks = (shared.groupBy(F.col("id").alias("i"), F.col("th").alias("h"))
+              .agg(F.collect_list(F.struct("s", "lines", "id0", "th0", "s0", "lines0")).alias("p"))
+              .select("i", "h", align("p").alias("blocks")))
 
     def apply(texts: pd.Series, found: pd.Series) -> pd.DataFrame:
-        out = [(t, 0, 0) if t is None else without_blocks(t, [] if b is None else [x.tolist() for x in b], min_words)
-               for t, b in zip(texts, found)]
+        out = [(t, 0, 0) if t is None else without_blocks(t, [] if b is None else b.tolist(), min_words) for t, b in zip(texts, found)]
         return pd.DataFrame({"text": pd.Series([x[0] for x in out], dtype="object"),
                              "n_lines": [x[1] for x in out], "n_removed": [x[2] for x in out]})
 
