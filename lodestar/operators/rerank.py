@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions.text import tokens_bm25, tokens_tfidf
-from .retrieval import TextIndex
+from ..session import materialize
+from .retrieval import TextIndex, small
 
 SCORE_DIGITS = 6
 
@@ -61,7 +62,8 @@ def rerank_bm25(queries: DataFrame, cand: DataFrame, index: TextIndex,
     """Okapi BM25 with the epsilon floor: a negative idf is replaced by
     ``eps * mean(idf)`` over all distinct terms of the question's candidates.
 
-    Only postings of query terms are fetched. An idf is negative only for a
+    Documents come from the forward table, cut to the candidates before they move, and
+    each gives up its counts of the query's terms only. An idf is negative only for a
     term in more than half of the candidates, so the mean over all candidate
     terms is built just for questions with such a query term.
     -> ``(keys..., doc_id, score, rank)``. All candidates without tokens
@@ -69,23 +71,32 @@ def rerank_bm25(queries: DataFrame, cand: DataFrame, index: TextIndex,
     """
     keys = _keys(queries)
     asked = queries.filter(F.col("query").isNotNull() & (F.col("query") != ""))
+    c = usable_candidates(cand, index)
+    docs = index.of_docs(index.forward(), cand)
     # statistics over one question's candidates (at most the search cap): windows, not joins with themselves
     per_question = Window.partitionBy("id")
-    cl = (usable_candidates(cand, index).join(index.doc_len, "doc_id", "left").withColumn("dl", F.coalesce("dl", F.lit(0)))
+    cl = (c.join(docs.select("doc_id", "dl"), "doc_id", "left").withColumn("dl", F.coalesce("dl", F.lit(0)))
           .withColumn("n", F.count(F.lit(1)).over(per_question)).withColumn("sumdl", F.sum("dl").over(per_question)))
+    if index.persist:
+        cl = materialize(cl, "bm25_candidates")
     qt = (asked.select(*keys, F.explode(tokens_bm25("query")).alias("term"))
           .groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("qtf")))
+    qt = _coded(qt, index, index.vocabulary()).filter("code IS NOT NULL").drop("term")
+    if index.persist:
+        qt = materialize(qt, "bm25_queries")
     idf = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    # (id, term, doc_id, tf, dl, ...) of query terms only
-    hits = (cl.join(qt.select("id", "term").distinct(), "id").join(index.postings, ["doc_id", "term"])
-            .withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("id", "term"))).withColumn("idf", idf))
+    # (id, code, doc_id, tf, dl, ...) of query terms only
+    terms = qt.select("id", "code").distinct()
+    hits = (cl.join(terms, "id").join(_counts_of(docs, terms, index), ["doc_id", "code"])
+            .withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("id", "code"))).withColumn("idf", idf))
     floored = hits.filter("idf < 0").select("id").distinct()
-    floor = (cl.join(floored, "id", "left_semi").join(index.postings, "doc_id")
-             .groupBy("id", "n", "term").agg(F.count(F.lit(1)).alias("df"))
+    floor = (cl.select("id", "doc_id", "n").join(floored, "id", "left_semi").join(docs.select("doc_id", "codes"), "doc_id")
+             .repartition("id").select("id", "n", F.explode("codes").alias("code"))
+             .groupBy("id", "n", "code").agg(F.count(F.lit(1)).alias("df"))
              .groupBy("id").agg((F.avg(idf) * eps).alias("eps_idf")))
     weight = F.when(F.col("idf") < 0, F.col("eps_idf")).otherwise(F.col("idf"))
     norm = k1 * (1 - b + b * F.col("dl") / (F.col("sumdl") / F.col("n")))
-    scores = (hits.join(floor, "id", "left").join(qt, ["id", "term"])
+    scores = (hits.join(floor, "id", "left").join(qt, ["id", "code"])
               .select(*keys, "doc_id", (F.col("qtf") * weight * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)).alias("s"))
               .groupBy(*keys, "doc_id").agg(F.sum("s").alias("score")))
     scored = (asked.select(*keys).join(cl, "id").join(scores, [*keys, "doc_id"], "left")
@@ -94,59 +105,114 @@ def rerank_bm25(queries: DataFrame, cand: DataFrame, index: TextIndex,
     return _rank(scored, keys)
 
 
-def tfidf_postings(index: TextIndex, stop_words=C.TFIDF_STOP_WORDS) -> DataFrame:
-    """``(doc_id, term, tf)`` with the TF-IDF tokeniser."""
-    return (index.docs.select("doc_id", F.explode(tokens_tfidf("text", stop_words)).alias("term"))
-            .groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")))
-
-
-def rerank_tfidf(queries: DataFrame, cand: DataFrame, index: TextIndex,
-                 postings: DataFrame | None = None, max_features: int = C.TFIDF_MAX_FEATURES,
+def _coded(terms: DataFrame, index: TextIndex, vocabulary: DataFrame) -> DataFrame:
+    """``terms`` with the vocabulary's ``code`` (null: not in it). The vocabulary is cut to the terms first."""
+    wanted = terms.select("term").distinct()
+    known = vocabulary.join(small(wanted) if index.persist else wanted, "term", "left_semi")
+    return terms.join(known, "term", "left")
+
+
+def _counts_of(docs: DataFrame, codes: DataFrame, index: TextIndex) -> DataFrame:
+    """``(doc_id, code, tf)`` of the documents for the given codes only."""
+    wanted = codes.select("code").distinct()
+    return (docs.select("doc_id", F.explode(F.arrays_zip("codes", "tfs")).alias("x"))
+            .select("doc_id", F.col("x.codes").alias("code"), F.col("x.tfs").alias("tf"))
+            .join(small(wanted) if index.persist else wanted, "code", "left_semi"))
+
+
+def tfidf_statistics(asked: DataFrame, cand: DataFrame, docs: DataFrame, index: TextIndex,
+                     max_features: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What all queries of a question share, built once.
+
+    ``asked(id, code)``: the terms of any of the question's queries; ``cand(id, doc_id)``; ``docs``: a
+    forward table. A query changes the counts of its own terms only, so at most as many other terms
+    enter or leave the vocabulary, all near its edge. The terms are thus either *plain* (in
+    every query's vocabulary, with the same weight), or *special* (asked, or near the
+    edge), or out.
+
+    -> ``(id, doc_id, plain)``: the sum of squared weights of a candidate's plain terms (a candidate
+    without terms is absent); ``(id, code, df, tot)``: the special terms; ``(id, room)``: the places
+    that the plain terms leave in the vocabulary."""
+    # by question first: the exploded rows then meet where they are
+    rows = (cand.select("id", "doc_id").join(docs.select("doc_id", "codes", "tfs"), "doc_id").repartition("id")
+            .select("id", "doc_id", F.explode(F.arrays_zip("codes", "tfs")).alias("x"))
+            .select("id", "doc_id", F.col("x.codes").alias("code"), F.col("x.tfs").alias("tf")))
+    n = cand.groupBy("id").agg(F.count(F.lit(1)).alias("n_docs"))
+    a = asked.groupBy("id").agg(F.count(F.lit(1)).alias("n_asked"))
+    order = Window.partitionBy("id").orderBy(F.col("tot").desc(), F.col("code").asc())
+    n_asked = F.coalesce("n_asked", F.lit(0))
+    sure, out = F.lit(max_features) - n_asked, F.lit(max_features) + n_asked
+    ranked = (rows.groupBy("id", "code").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tot"))
+              .withColumn("r", F.row_number().over(order))
+              .join(asked.withColumn("is_asked", F.lit(True)), ["id", "code"], "left").join(n, "id").join(a, "id", "left"))
+    special = F.col("is_asked").isNotNull() | (F.col("r") > sure)
+    kept = (ranked.filter(F.col("is_asked").isNotNull() | (F.col("r") <= out))
+            .select("id", "code", "df", "tot", special.alias("special"), (F.log((F.col("n_docs") + 2.0) / (F.col("df") + 1.0)) + 1.0).alias("idf")))
+    if index.persist:
+        kept = materialize(kept, "tfidf_terms")
+    weight = F.when(F.col("special"), 0.0).otherwise(F.col("tf") * F.col("idf"))
+    plain = (rows.join(kept.select("id", "code", "special", "idf"), ["id", "code"], "left")
+             .groupBy("id", "doc_id").agg(F.coalesce(F.sum(weight * weight), F.lit(0.0)).alias("plain")))
+    room = kept.groupBy("id").agg((F.lit(max_features) - F.count_if(~F.col("special"))).alias("room"))
+    return plain, kept.filter("special").select("id", "code", "df", "tot"), room
+
+
+def rerank_tfidf(queries: DataFrame, cand: DataFrame, index: TextIndex, max_features: int = C.TFIDF_MAX_FEATURES,
                  stop_words=C.TFIDF_STOP_WORDS) -> DataFrame:
     """Cosine of L2-normalised tf-idf vectors; the query is a document of
     the corpus (n = candidates + 1), ``idf = ln((1+n)/(1+df)) + 1``, and only
     the ``max_features`` terms with the highest total count are kept
     (ties by term). No vocabulary at all -> retrieval order, scores 0.
 
+    Counts, ranks and norms of a question's candidates are built once
+    (``tfidf_statistics``); a query (mode) then corrects them by its own terms and the terms at the
+    vocabulary's edge, a short list.
+
     -> ``(keys..., doc_id, score, rank)``.
     """
     keys = _keys(queries)
-    post = postings if postings is not None else index.derived(
-        "tfidf_postings" if stop_words is C.TFIDF_STOP_WORDS else f"tfidf_postings_{len(stop_words)}",
-        lambda: tfidf_postings(index, stop_words))
+    kind = "tfidf" if stop_words is C.TFIDF_STOP_WORDS else f"tfidf_{len(stop_words)}"
+    of = lambda text: tokens_tfidf(text, stop_words)
+    vocabulary = index.vocabulary(kind, of)
     c = usable_candidates(cand, index)
-    n_docs = c.groupBy("id").agg(F.count(F.lit(1)).alias("n_docs"))
-    ct = c.select("id", "doc_id").join(post, "doc_id")
-    dstat = ct.groupBy("id", "term").agg(F.count(F.lit(1)).alias("df_d"), F.sum("tf").alias("tot_d"))
     q = queries.filter(F.col("query").isNotNull() & (F.col("query") != ""))
-    qt = (q.select(*keys, F.explode(tokens_tfidf("query", stop_words)).alias("term"))
+    qt = (q.select(*keys, F.explode(of("query")).alias("term"))
           .groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("qtf")))
-    # corpus statistics per (keys, term): candidate part (mode independent) + the query
-    qk = q.select(*keys)
-    dpart = qk.join(dstat, "id")
-    stat = (dpart.join(qt, [*keys, "term"], "full")
+    qt = _coded(qt, index, vocabulary)
+    if index.persist:
+        qt = materialize(qt, "tfidf_queries")
+    docs = index.of_docs(index.forward(kind, of), cand)
+    asked = qt.filter("code IS NOT NULL").select("id", "code").distinct()
+    plain, special, room = tfidf_statistics(asked, c, docs, index, max_features)
+    if index.persist:
+        plain, special = materialize(plain, "tfidf_plain"), materialize(special, "tfidf_special")
+    # the special terms of each query's corpus, and those of them that its vocabulary takes
+    qk = q.select(*keys).join(c.groupBy("id").agg(F.count(F.lit(1)).alias("n_docs")), "id")
+    codes = special.select("code").distinct()
+    named = vocabulary.join(small(codes) if index.persist else codes, "code", "left_semi")
+    known = q.select(*keys).join(special.join(named, "code"), "id").drop("code")
+    stat = (known.join(qt.drop("code"), [*keys, "term"], "full")
             .select(*keys, "term", F.coalesce("qtf", F.lit(0)).alias("qtf"),
-                    (F.coalesce("df_d", F.lit(0)) + F.when(F.col("qtf").isNotNull(), 1).otherwise(0)).alias("df"),
-                    (F.coalesce("tot_d", F.lit(0)) + F.coalesce("qtf", F.lit(0))).alias("tot")))
+                    (F.coalesce("df", F.lit(0)) + F.when(F.col("qtf").isNotNull(), 1).otherwise(0)).alias("df"),
+                    (F.coalesce("tot", F.lit(0)) + F.coalesce("qtf", F.lit(0))).alias("tot")))
     wv = Window.partitionBy(*keys).orderBy(F.col("tot").desc(), F.col("term").asc())
-    vocab = (stat.select(*keys, "term", "qtf", "df", F.row_number().over(wv).alias("vr"))
-             .filter(F.col("vr") <= max_features).join(n_docs, "id")
-             .select(*keys, "term", "qtf",
-                     (F.log((F.col("n_docs") + 2.0) / (F.col("df") + 1.0)) + 1.0).alias("idf")))
-    # one pass over the vocabulary: query norm and "has a vocabulary"
-    qstat = vocab.groupBy(*keys).agg(
-        F.sqrt(F.sum(F.col("qtf") * F.col("idf") * (F.col("qtf") * F.col("idf")))).alias("nq"))
-    # one pass over candidate terms: document norm and dot product together
-    dw = (ct.join(vocab.select(*keys, "term", "idf", (F.col("qtf") * F.col("idf")).alias("wq")), ["id", "term"])
-          .select(*keys, "doc_id", (F.col("tf") * F.col("idf")).alias("wd"), "wq"))
-    dstats = dw.groupBy(*keys, "doc_id").agg(F.sqrt(F.sum(F.col("wd") * F.col("wd"))).alias("nd"),
-                                             F.sum(F.col("wd") * F.col("wq")).alias("dot"))
-    base = qk.join(c, "id").join(qstat, keys, "left")
-    scored = (base.join(dstats, [*keys, "doc_id"], "left")
-              .select(*keys, "doc_id", "retr_rank", F.col("nq").isNull().alias("fallback"),
-                      F.when((F.col("nq") > 0) & (F.col("nd") > 0),
-                             F.col("dot") / (F.col("nq") * F.col("nd"))).otherwise(F.lit(0.0)).alias("score")))
-    scored = scored.withColumn("score", F.coalesce("score", F.lit(0.0)))
+    idf = F.log((F.col("n_docs") + 2.0) / (F.col("df") + 1.0)) + 1.0
+    vocab = (stat.withColumn("vr", F.row_number().over(wv)).join(qk, keys).join(room, "id", "left")
+             .filter(F.col("vr") <= F.coalesce("room", F.lit(max_features)))
+             .select(*keys, "term", "qtf", idf.alias("idf")))
+    norms = vocab.groupBy(*keys).agg(F.sqrt(F.sum(F.pow(F.col("qtf") * F.col("idf"), 2))).alias("nq"))
+    # a query's candidates: special terms that are in its vocabulary, on top of the plain ones
+    weight = F.col("tf") * F.col("idf")
+    own = (vocab.join(named, "term").join(c.select("id", "doc_id"), "id").join(_counts_of(docs, special, index), ["doc_id", "code"])
+           .groupBy(*keys, "doc_id").agg(F.sum(weight * weight).alias("own"), F.sum(weight * F.col("qtf") * F.col("idf")).alias("dot")))
+    base = (q.select(*keys).join(c, "id").join(norms, keys, "left").join(plain, ["id", "doc_id"], "left")
+            .join(own, [*keys, "doc_id"], "left")
+            .withColumn("nd", F.sqrt(F.coalesce("plain", F.lit(0.0)) + F.coalesce("own", F.lit(0.0)))))
+    # no term in the query nor in any candidate: no vocabulary
+    terms = F.max(F.when(F.col("plain").isNotNull() | F.col("nq").isNotNull(), True)).over(Window.partitionBy(*keys))
+    scored = base.select(*keys, "doc_id", "retr_rank", terms.isNull().alias("fallback"),
+                         F.when((F.col("nq") > 0) & (F.col("nd") > 0), F.coalesce("dot", F.lit(0.0)) / (F.col("nq") * F.col("nd")))
+                         .otherwise(F.lit(0.0)).alias("score"))
     return _rank(scored, keys)
 
 
@@ -201,7 +267,7 @@ def rank_with_fallback(queries: DataFrame, cand: DataFrame, articles: DataFrame,
     if ranker == "BM25":
         ranked = rerank_bm25(qok, cand, index)
     elif ranker == "TF-IDF":
-        ranked = rerank_tfidf(qok, cand, index, postings=kw.get("tfidf_postings"))
+        ranked = rerank_tfidf(qok, cand, index)
     elif ranker == "EMBEDDING":
         ranked = rerank_embedding(qok, cand, index, kw["q_emb"], kw["d_emb"])
     else:

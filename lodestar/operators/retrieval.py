@@ -2,13 +2,23 @@
 
 The remote search service is re-aimed onto our own corpus table. A term is
 normalised with the BM25 tokeniser on both sides; a term of several tokens
-is a phrase, checked on the space-padded normalised text. Result order is
+is a phrase: its tokens must stand at consecutive positions. Result order is
 ``(matched distinct terms desc, doc_id asc)`` in place of the service's
 relevance order; ``total_count`` is counted before the cap.
+
+Two tables serve every search and ranker. ``forward`` has one row per document (the
+numbers of its terms, and counts). ``blocks`` has one row per term and block of documents: the
+documents that hold it; ``occurrences``, for phrases, has the places as well. Blocks are stored in folders by a hash of the
+term, so a search reads only the folders of its terms, and what it reads is joined with the (few)
+terms before anything moves: the postings as a whole never cross the network. A
+term of a third of all documents is many rows of bounded size. Matches travel as
+arrays, one row per question, term and block; they become rows only inside the task that counts
+them, and the cap keeps at most its number per task.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,7 +27,6 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..functions.text import py_strip, tokens_bm25, usable_part
 from ..session import materialize
-from .joins import salted_join
 
 
 def split_articles(documents: DataFrame) -> DataFrame:
@@ -40,22 +49,59 @@ def doc_text(articles: DataFrame) -> DataFrame:
             .filter(F.col("text") != ""))
 
 
-def build_postings(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``(doc_id, term, tf)``: one row per distinct (document, BM25 token)."""
-    return (docs.select("doc_id", F.explode(tokens_bm25(text_col)).alias("term"))
+BLOCK_DOCS = 16_384      # documents per block, about
+FOLDER_DOCS = 2_000      # one folder of terms per so many documents,
+FOLDERS = (16, 1_024)    # within these bounds
+SLICES = 16              # files per folder at most: blocks of a frequent term are spread
+BROADCAST_ROWS = 100_000  # rows of terms or ids that are sent to every task at most
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, marked for broadcast if it has at most ``rows`` rows (counted, not estimated)."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def counted_terms(texts: DataFrame, tokens=tokens_bm25) -> DataFrame:
+    """``(doc_id, text)`` -> ``(doc_id, term, tf)``. Texts are dealt by document before they
+    become tokens: many tasks tokenise, however few files hold them, and counts need no further shuffle."""
+    return (texts.repartition("doc_id").select("doc_id", F.explode(tokens("text")).alias("term"))
             .groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
-def doc_lengths(postings: DataFrame) -> DataFrame:
-    """``(doc_id, dl)``: token count per document (documents without tokens are absent)."""
-    return postings.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
+def vocabulary_table(counted: DataFrame) -> DataFrame:
+    """``(term, code)``: distinct terms with numbers that rise in the order of the terms (numbers of
+    rows in range partitions), so rankers sort and group by numbers."""
+    return (counted.select("term").distinct().repartitionByRange("term").sortWithinPartitions("term")
+            .withColumn("code", F.monotonically_increasing_id()))
+
+
+def forward_table(counted: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """-> ``(doc_id, dl, codes, tfs)``: one row per document with tokens. A term of most documents
+    is an oversized partition of the join, which adaptive execution splits."""
+    return (counted.join(vocabulary, "term").groupBy("doc_id")
+            .agg(F.sum("tf").alias("dl"), F.collect_list(F.struct("code", "tf")).alias("t"))
+            .select("doc_id", "dl", F.col("t.code").alias("codes"), F.col("t.tf").alias("tfs")))
+
+
+def block_table(tokens: DataFrame, folders: int, blocks: int, held: Column) -> DataFrame:
+    """``(doc_id, field, term, ...)`` -> ``(part, field, term, block, held)``: what a block of
+    documents holds of a term, as an array of ``held``."""
+    block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")
+    return (tokens.withColumn("part", folder_of("term", folders)).withColumn("block", block)
+            .repartition("part", F.col("block") % SLICES).groupBy("part", "field", "term", "block")
+            .agg(F.collect_list(held).alias("held")).sortWithinPartitions("part", "field", "term"))
+
+
+def folder_of(term, folders: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(folders)).cast("int")
 
 
 @dataclass
 class TextIndex:
     """Usable document texts plus the tables every search and ranker reads.
 
-    With ``persist`` each table is written once, when it is first asked for."""
+    With ``persist`` each table is written once, when it is first asked for; without, everything
+    stays one lazy plan (for small tables: searches read all blocks)."""
 
     docs: DataFrame       # (doc_id, title, abstract, text)
     persist: bool = False
@@ -65,27 +111,48 @@ class TextIndex:
     def build(cls, articles: DataFrame, persist: bool = False) -> "TextIndex":
         return cls(doc_text(articles), persist)
 
-    def derived(self, name: str, fn) -> DataFrame:
+    def derived(self, name: str, fn, by: str | None = None) -> DataFrame:
         if name not in self.tables:
             df = fn()
-            self.tables[name] = materialize(df, name) if self.persist else df
+            self.tables[name] = materialize(df, name, by) if self.persist else df
         return self.tables[name]
 
-    @property
-    def postings(self) -> DataFrame:
-        """``(doc_id, term, tf)`` over the combined text."""
-        return self.derived("postings", lambda: build_postings(self.docs))
+    def vocabulary(self, kind: str = "bm25", tokens=tokens_bm25) -> DataFrame:
+        """``(term, code)`` over the combined texts, by the tokeniser that ``kind`` names."""
+        return self.derived(f"{kind}_vocabulary", lambda: vocabulary_table(self.counted(kind, tokens)))
+
+    def counted(self, kind: str = "bm25", tokens=tokens_bm25) -> DataFrame:
+        """``(doc_id, term, tf)`` over the combined texts."""
+        return self.derived(f"{kind}_counted", lambda: counted_terms(self.docs.select("doc_id", "text"), tokens))
+
+    def forward(self, kind: str = "bm25", tokens=tokens_bm25) -> DataFrame:
+        """``(doc_id, dl, codes, tfs)`` over the combined texts."""
+        return self.derived(f"{kind}_forward", lambda: forward_table(self.counted(kind, tokens), self.vocabulary(kind, tokens)))
 
     @property
     def doc_len(self) -> DataFrame:
-        """``(doc_id, dl)``."""
-        return self.derived("doc_len", lambda: doc_lengths(self.postings))
+        """``(doc_id, dl)``; documents without tokens are absent."""
+        return self.forward().select("doc_id", "dl")
 
     @property
     def usable_ids(self) -> DataFrame:
         """``(doc_id)`` of usable documents (a small table, built once)."""
         return self.derived("usable_ids", lambda: self.docs.select("doc_id"))
 
+    def of_docs(self, table: DataFrame, ids: DataFrame) -> DataFrame:
+        """The rows of a table by ``doc_id`` that the ids ask for, cut before they move."""
+        ids = ids.select("doc_id").distinct()
+        return table.join(small(ids) if self.persist else ids, "doc_id", "left_semi")
+
+    def shape(self) -> tuple[int, int]:
+        """(folders of terms, blocks of documents) for the number of usable documents."""
+        if not self.persist:
+            return 1, 1
+        if "shape" not in self.tables:
+            n = self.usable_ids.count()
+            self.tables["shape"] = (min(max(n // FOLDER_DOCS, FOLDERS[0]), FOLDERS[1]), max(1, math.ceil(n / BLOCK_DOCS)))
+        return self.tables["shape"]
+
     def fields(self) -> DataFrame:
         """``(doc_id, field, text)``: the combined text (field ``text``), title and abstract."""
         parts = F.array(*[F.struct(F.lit(f).alias("field"), t.alias("text")) for f, t in (
@@ -93,9 +160,30 @@ class TextIndex:
         return (self.docs.select("doc_id", F.explode(parts).alias("p")).select("doc_id", "p.*")
                 .filter(F.col("text").isNotNull() & (F.col("text") != "")))
 
-    def field_postings(self) -> DataFrame:
-        """``(doc_id, field, term)``, distinct."""
-        return (self.fields().select("doc_id", "field", F.explode(F.array_distinct(tokens_bm25("text"))).alias("term")))
+    def blocks(self, fielded: bool = False) -> DataFrame:
+        """``(part, field, term, block, docs)``, the documents of a block that hold a term, in folders by ``part``."""
+        def build() -> DataFrame:
+            if fielded:
+                terms = self.fields().select("doc_id", "field", F.explode(F.array_distinct(tokens_bm25("text"))).alias("term"))
+            else:
+                terms = self.counted().select("doc_id", F.lit("text").alias("field"), "term")
+            return block_table(terms, *self.shape(), F.col("doc_id")).withColumnRenamed("held", "docs")
+        return self.derived("field_blocks" if fielded else "blocks", build, by="part")
+
+    def occurrences(self, fielded: bool = False) -> DataFrame:
+        """``(part, field, term, block, occ_docs, occ_pos)``: each occurrence of a term in a block
+        (document, position); a table of its own, for phrases only."""
+        texts = self.fields() if fielded else self.docs.select("doc_id", F.lit("text").alias("field"), "text")
+        return self.derived("field_occurrences" if fielded else "occurrences", lambda: block_table(
+            texts.select("doc_id", "field", F.posexplode(tokens_bm25("text")).alias("pos", "term")), *self.shape(), F.struct("doc_id", "pos"))
+            .select("part", "field", "term", "block", F.col("held.doc_id").alias("occ_docs"), F.col("held.pos").alias("occ_pos")), by="part")
+
+    def of_terms(self, blocks: DataFrame, terms: DataFrame) -> DataFrame:
+        """The blocks in the folders of the given terms only."""
+        if not self.persist:
+            return blocks
+        parts = [r[0] for r in terms.select(folder_of("term", self.shape()[0])).distinct().collect()]  # folder numbers
+        return blocks.filter(F.col("part").isin(parts))
 
 
 def clean_terms(keywords: DataFrame) -> DataFrame:
@@ -151,55 +239,41 @@ def searched_fields(field) -> Column:
 
 
 def _prepared(terms: DataFrame, fielded: bool) -> DataFrame:
-    """``terms(id, k, term, field, extra...)`` -> one row per field and distinct
-    token, with the number of tokens and, for several, the padded phrase."""
+    """``terms(id, k, term, field, extra...)`` -> one row per field and token, with its place
+    among the term's tokens (``at``) and their number (``nt``)."""
     extra = [c for c in terms.columns if c not in ("id", "k", "term", "field")]
     t = terms.select("id", "k", *extra, tokens_bm25("term").alias("toks"),
                      (F.explode(searched_fields(F.col("field"))) if fielded else F.lit("text")).alias("field"))
-    distinct = F.array_distinct("toks")
-    return t.select("id", "k", *extra, "field", F.size(distinct).alias("nt"),
-                    F.when(F.size("toks") > 1, F.concat(F.lit(" "), F.array_join("toks", " "), F.lit(" "))).alias("phrase"),
-                    F.explode(distinct).alias("term"))
-
-
-def _complete(found: DataFrame, keys: list[str], index: TextIndex, phrases: bool, fielded: bool) -> DataFrame:
-    """Token matches -> term matches: every token present and, for a term of
-    several tokens, the phrase in the document's normalised text."""
-    if not phrases:
-        return found.select(*keys, "doc_id")
-    whole = (found.groupBy(*keys, "field", "phrase", "nt", "doc_id").agg(F.count(F.lit(1)).alias("c"))
-             .filter(F.col("c") == F.col("nt")))
-    # only documents that hold all tokens of a phrase are read and normalised again
-    texts = index.fields() if fielded else index.docs.select("doc_id", F.lit("text").alias("field"), "text")
-    asked = whole.filter(F.col("phrase").isNotNull()).select("doc_id", "field").distinct()
-    norm = texts.join(asked, ["doc_id", "field"], "left_semi").select(
-        "doc_id", "field", F.concat(F.lit(" "), F.array_join(tokens_bm25("text"), " "), F.lit(" ")).alias("norm"))
-    checked = (whole.join(norm, ["doc_id", "field"], "left")
-               .filter(F.col("phrase").isNull() | F.contains("norm", "phrase")).select(*keys, "doc_id"))
-    return checked.distinct() if fielded else checked  # a term may match in the title and in the abstract
-
-
-def _postings(index: TextIndex, fielded: bool) -> DataFrame:
-    return index.field_postings() if fielded else index.postings.select("doc_id", F.lit("text").alias("field"), "term")
-
-
-def _term_hits(terms: DataFrame, index: TextIndex, phrases: bool, fielded: bool) -> DataFrame:
-    """``terms(id, k, term, field, extra...)`` -> ``(id, k, extra..., doc_id)`` for
-    every document that holds the term. Postings of frequent terms are a hot
-    key: the join is salted on the side of the (few) terms."""
-    t = _prepared(terms, fielded)
-    keys = [c for c in terms.columns if c not in ("term", "field")]
-    found = salted_join(_postings(index, fielded), t, ["term", "field"])
-    return _complete(found, keys, index, phrases, fielded)
+    return t.select("id", "k", *extra, "field", F.size("toks").alias("nt"), F.posexplode("toks").alias("at", "term"))
+
 
+def _joined(tokens: DataFrame, index: TextIndex, blocks: DataFrame) -> DataFrame:
+    """Tokens with their blocks. The blocks are cut to the tokens' folders by the scan and to the
+    tokens where they are read; more tokens than a broadcast may hold are joined by a shuffle of those folders."""
+    found = index.of_terms(blocks, tokens).drop("part")
+    return found.join(small(tokens) if index.persist else tokens, ["field", "term"])
 
-def _term_hits_among(pairs: DataFrame, terms: DataFrame, index: TextIndex, phrases: bool, fielded: bool) -> DataFrame:
-    """The same for given ``pairs(id, doc_id)`` only: each pair asks for its
-    question's terms, so a frequent term costs no more than the pairs."""
-    t = _prepared(terms, fielded)
+
+def _term_docs(terms: DataFrame, index: TextIndex, phrases: bool, fielded: bool) -> DataFrame:
+    """``terms(id, k, term, field, extra...)`` -> ``(id, k, extra..., block, doc_id)`` for every
+    document that holds the term, in tasks by question and block."""
     keys = [c for c in terms.columns if c not in ("term", "field")]
-    found = pairs.join(t, "id").join(_postings(index, fielded), ["doc_id", "field", "term"])
-    return _complete(found, keys, index, phrases, fielded)
+    tokens = _prepared(terms, fielded)
+    if index.persist and phrases:
+        tokens = materialize(tokens, "search_tokens")
+    single = tokens.filter("nt = 1") if phrases else tokens.dropDuplicates([*keys, "field", "term"])
+    matched = _joined(single, index, index.blocks(fielded)).select(*keys, "block", "docs")
+    if phrases:
+        # positions of the first token that each occurrence stands for, met by all tokens
+        occurrences = F.zip_with("occ_docs", "occ_pos", lambda d, p: F.struct(d.alias("d"), (p - F.col("at")).alias("p")))
+        starts = (_joined(tokens.filter("nt > 1"), index, index.occurrences(fielded))
+                  .select(*keys, "field", "nt", "block", F.struct(F.size("occ_docs").alias("n"), occurrences.alias("o")).alias("s"))
+                  .groupBy(*keys, "field", "nt", "block").agg(F.array_sort(F.collect_list("s")).alias("s"))
+                  .filter(F.size("s") == F.col("nt")))
+        met = F.aggregate(F.slice("s", 2, F.size("s")), F.col("s")[0]["o"], lambda a, x: F.array_intersect(a, x["o"]))
+        matched = matched.unionByName(starts.select(*keys, "block", F.array_distinct(F.transform(met, lambda o: o["d"])).alias("docs")))
+    hits = matched.repartition("id", "block").select(*keys, "block", F.explode("docs").alias("doc_id"))
+    return hits.dropDuplicates() if fielded else hits  # a term may match in the title and in the abstract
 
 
 def _cap(matches: DataFrame, max_results: int) -> DataFrame:
@@ -218,8 +292,8 @@ def boolean_search(keywords: DataFrame, index: TextIndex, n_core: int = C.CORE_T
     """Hybrid search: documents holding every core term (the first ``n_core``)
     and, when there are other terms, at least one of them.
 
-    Core terms are matched first; the other terms are looked up only in the
-    documents that survive. ``phrases=False`` promises one-token terms.
+    One pass: each question's terms meet in tasks of one block of documents.
+    ``phrases=False`` promises one-token terms.
     ``keywords(id, pos, term)`` -> ``(id, doc_id, retr_rank, total_count, matched)``.
     """
     check_field(field)
@@ -227,20 +301,12 @@ def boolean_search(keywords: DataFrame, index: TextIndex, n_core: int = C.CORE_T
     t = clean_terms(keywords).select("id", "k", "term", (F.col("k") <= n_core).alias("core"),
                                      F.lit(field).cast("string").alias("field"))
     need = t.groupBy("id").agg(F.count_if("core").alias("n_core"), F.count_if(~F.col("core")).alias("n_rest"))
-    core = t.filter("core").drop("core")
-    rest = t.filter(~F.col("core")).drop("core")
-    core_docs = (_term_hits(core, index, phrases, fielded).groupBy("id", "doc_id").agg(F.count(F.lit(1)).alias("core_hits"))
-                 .join(need, "id").filter(F.col("core_hits") == F.col("n_core"))
-                 .select("id", "doc_id", "core_hits", "n_rest"))
-    rest_docs = (_term_hits_among(core_docs.filter("n_rest > 0").select("id", "doc_id"), rest, index, phrases, fielded)
-                 .groupBy("id", "doc_id").agg(F.count(F.lit(1)).alias("rest_hits")))
-    ok = (core_docs.join(rest_docs, ["id", "doc_id"], "left")
-          .filter((F.col("n_rest") == 0) | F.col("rest_hits").isNotNull())
-          .select("id", "doc_id", (F.col("core_hits") + F.coalesce("rest_hits", F.lit(0))).alias("matched")))
-    # questions whose core terms were all dropped as empty: the other terms alone
-    coreless = rest.join(need.filter("n_core = 0").select("id"), "id", "left_semi")
-    alone = (_term_hits(coreless, index, phrases, fielded).groupBy("id", "doc_id").agg(F.count(F.lit(1)).alias("matched")))
-    return _cap(ok.unionByName(alone), max_results)
+    hits = (_term_docs(t, index, phrases, fielded).groupBy("id", "block", "doc_id")
+            .agg(F.count_if("core").alias("core_hits"), F.count_if(~F.col("core")).alias("rest_hits")))
+    ok = (hits.join(small(need) if index.persist else need, "id")
+          .filter((F.col("core_hits") == F.col("n_core")) & ((F.col("n_rest") == 0) | (F.col("rest_hits") > 0)))
+          .select("id", "doc_id", (F.col("core_hits") + F.col("rest_hits")).alias("matched")))
+    return _cap(ok, max_results)
 
 
 def clause_search(clauses: DataFrame, index: TextIndex, max_results: int = C.MAX_SEARCH_RESULTS,
@@ -254,13 +320,12 @@ def clause_search(clauses: DataFrame, index: TextIndex, max_results: int = C.MAX
                        F.row_number().over(Window.partitionBy("id").orderBy("clause_no", "term")).alias("k"))
     c = c.filter(F.col("term").isNotNull() & (py_strip("term") != ""))
     need = (c.filter(~F.col("negated")).groupBy("id").agg(F.count_distinct("grp").alias("n_pos")))
-    hits = _term_hits(c, index, phrases, fielded)
-    per_clause = hits.groupBy("id", "doc_id", "grp", "negated").agg(F.count(F.lit(1)).alias("terms"))
-    per_doc = per_clause.groupBy("id", "doc_id").agg(
-        F.count_if(~F.col("negated")).alias("clauses_hit"), F.count_if("negated").alias("excluded"),
-        F.sum(F.when(~F.col("negated"), F.col("terms")).otherwise(0)).alias("matched"))
-    ok = (per_doc.filter("excluded = 0").join(need, "id").filter(F.col("clauses_hit") == F.col("n_pos"))
-          .select("id", "doc_id", "matched"))
+    positive = ~F.col("negated")
+    per_doc = _term_docs(c, index, phrases, fielded).groupBy("id", "block", "doc_id").agg(
+        F.size(F.collect_set(F.when(positive, F.col("grp")))).alias("clauses_hit"),
+        F.count_if("negated").alias("excluded"), F.count_if(positive).alias("matched"))
+    ok = (per_doc.filter("excluded = 0").join(small(need) if index.persist else need, "id")
+          .filter(F.col("clauses_hit") == F.col("n_pos")).select("id", "doc_id", "matched"))
     return _cap(ok, max_results)
 
 

@@ -42,12 +42,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Writes ``df`` as a parquet table under the shared checkpoint folder and
     reads it back: lineage is cut (nothing to replay after a lost executor),
     later plans stay shallow, and the table's statistics are its real file
-    sizes."""
+    sizes. ``by``: a column whose values become folders."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
+    writer = df.write.mode("overwrite")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
