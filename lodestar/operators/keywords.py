@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions.text import has_alnum, tokens_words
+from ..session import materialize
+from .responses import parse_keyword_responses
 
 
 def word_freq(questions: DataFrame, lemmas: DataFrame | None = None,
@@ -85,6 +87,36 @@ def question_keywords(questions: DataFrame, unigrams: DataFrame,
     return keyword_dedup(keyword_filter(kw))
 
 
+def parsed_responses(responses: DataFrame) -> DataFrame:
+    """``responses(id, turn, raw)`` -> ``(id, pos, term)``: the keywords of all of a question's responses, in order."""
+    place = Window.partitionBy("id").orderBy("turn", "pos")
+    return (parse_keyword_responses(responses, ("id", "turn"))
+            .select("id", F.row_number().over(place).alias("pos"), F.col("keyword").alias("term")))
+
+
+def response_keywords(responses: DataFrame) -> DataFrame:
+    """Stored responses -> filter -> dedup, as used before searching."""
+    return keyword_dedup(keyword_filter(parsed_responses(responses)))
+
+
+HEAVY = 1_000_000  # pairs of a key's questions and words
+GRID = 16
+
+
+def heavy_light_join(k: DataFrame, wr: DataFrame, heavy: int = HEAVY, grid: int = GRID) -> DataFrame:
+    """``k(id, key) ⋈ wr(key, word, weight)``; keys with more than ``heavy`` pairs in a grid of cells."""
+    counts = (k.groupBy("key").agg(F.count(F.lit(1)).alias("nk"))
+              .join(wr.groupBy("key").agg(F.count(F.lit(1)).alias("nw")), "key")
+              .filter(F.col("nk") * F.col("nw") > heavy).select("key"))
+    cells = F.sequence(F.lit(0), F.lit(grid - 1))
+    of = lambda c: F.pmod(F.xxhash64(c), F.lit(grid)).cast("int")
+    hk = k.join(counts, "key", "left_semi").withColumn("a", of("id")).withColumn("b", F.explode(cells))
+    hw = wr.join(counts, "key", "left_semi").withColumn("b", of("word")).withColumn("a", F.explode(cells))
+    light = k.join(counts, "key", "left_anti").join(wr, "key")
+    columns = ["key", "id", "word", "weight"]
+    return light.select(*columns).unionByName(hk.join(hw, ["key", "a", "b"]).select(*columns))
+
+
 def expand_keywords(keys: DataFrame, word_repr: DataFrame, n_top: int = C.EXPANSION_TOP_N,
                     exclude: DataFrame | None = None) -> DataFrame:
     """``(id, pos, term, source)``: the ``n_top`` associated words by summed
@@ -93,12 +125,16 @@ def expand_keywords(keys: DataFrame, word_repr: DataFrame, n_top: int = C.EXPANS
     ``keys(id, pos, term)``; ``word_repr(key, word, weight)``; unknown keys
     contribute nothing; ``exclude(word)`` is removed before summing. Ties:
     ``(weight desc, word asc)``. Duplicates between both parts are kept.
+
+    A key of many questions and many words is heavy: its questions and its words are dealt to
+    a grid of ``GRID`` x ``GRID`` cells, each a task's worth of the join, and partial sums leave the cells.
     """
     wr = word_repr
     if exclude is not None:
         wr = wr.join(exclude.select("word").distinct(), "word", "left_anti")
     k = keys.select("id", F.col("term").alias("key"))
-    summed = (k.join(wr, "key").groupBy("id", "word").agg(F.sum("weight").alias("weight")))
+    joined = heavy_light_join(k, wr)
+    summed = (joined.groupBy("id", "word").agg(F.sum("weight").alias("weight")))
     w = Window.partitionBy("id").orderBy(F.col("weight").desc(), F.col("word").asc())
     top = (summed.select("id", "word", F.row_number().over(w).alias("pos"))
            .filter(F.col("pos") <= n_top)
@@ -112,7 +148,17 @@ def expand_keywords(keys: DataFrame, word_repr: DataFrame, n_top: int = C.EXPANS
 
 
 def sort_word_repr(word_repr: DataFrame) -> DataFrame:
-    """``(key, rank, word, weight)``: each key's words by weight desc (ties by word)."""
-    w = Window.partitionBy("key").orderBy(F.col("weight").desc(), F.col("word").asc())
-    return word_repr.select("key", F.row_number().over(w).alias("rank"), "word", "weight")
-
+    """``(key, rank, word, weight)``: each key's words by weight desc (ties by word).
+
+    Ranks in two levels, so a key with most rows is sorted by many tasks: rows are dealt to ranges of (key,
+    weight, word), numbered inside their range, and the rows of a key in earlier ranges are added.
+    The ranges are written, so both levels read the same cut."""
+    order = [F.col("key").asc(), F.col("weight").desc(), F.col("word").asc()]
+    ranged = materialize(word_repr.select("key", "word", "weight").repartitionByRange(*order)
+                         .withColumn("part", F.spark_partition_id()), "ranked_ranges")
+    held = ranged.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = held.select("key", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("key", "part").orderBy(F.col("weight").desc(), F.col("word").asc())
+    return (ranged.withColumn("r", F.row_number().over(inside)).join(base, ["key", "part"])
+            .select("key", (F.col("r") + F.col("base")).cast("int").alias("rank"), "word", "weight"))

@@ -13,6 +13,7 @@
 - q_emb / d_emb <- ``embeddings``: every 25th row (``vec_id % 25 = 0``) is a
   query vector, dealt to the (question, mode) pairs in turn; the others are
   document vectors (``doc_id = vec_id``)
+- responses  <- the assistant's turns of the conversation that bears the question's id
 - lemmas     <- background words that are another background word plus ``s``
 """
 
@@ -25,6 +26,7 @@ from ..functions import constants as C
 from ..functions.text import tokens_words
 from ..operators.joins import salted_join
 from ..operators.retrieval import split_articles
+from ..session import materialize
 
 QUERY_VECTOR_STEP = 25
 
@@ -75,6 +77,7 @@ def gold_pairs(questions: DataFrame, documents: DataFrame, n_anchors: int = 2) -
     words = q.select("id", F.explode(F.array_distinct("w")).alias("word"))
     held = (documents.select("doc_id", F.explode(F.array_distinct(tokens_words("text"))).alias("word"))
             .join(words.select("word").distinct(), "word", "left_semi"))
+    held = materialize(held, "gold_words")  # read for the counts and for the candidates
     counts = held.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     rarest = Window.partitionBy("id").orderBy("n", "word")
     anchors = (words.join(counts, "word").withColumn("r", F.row_number().over(rarest))
@@ -101,6 +104,13 @@ def lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forms.join(words.withColumnRenamed("word", "lemma"), "lemma", "left_semi").select("form", "lemma")
 
 
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(id, turn, raw)``: stored model responses to the questions."""
+    c = table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
+    return (c.select(F.col("conv_id").alias("id"), "turn", F.col("text").alias("raw"))
+            .join(questions(spark, sf_dir).select("id"), "id", "left_semi"))
+
+
 def retry_clauses(keywords: DataFrame) -> DataFrame:
     """One clause per question: all its keywords OR-ed."""
     return keywords.select("id", F.lit(1).alias("clause_no"), "term",

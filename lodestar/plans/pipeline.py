@@ -36,6 +36,9 @@ class Inputs:
     q_emb: DataFrame | None = None
     d_emb: DataFrame | None = None
     lemmas: DataFrame | None = None
+    responses: DataFrame | None = None  # (id, turn, raw): stored model responses as the keyword source
+    word_repr: DataFrame | None = None  # (key, word, weight): keywords are expanded from it
+    clauses: DataFrame | None = None    # (id, clause_no, term, field, negated): the rewritten queries of the retry
     n_core: int = PIPELINE_CORE_TERMS
     persist: bool = True
     cache: dict = field(default_factory=dict)
@@ -71,31 +74,60 @@ def with_body(questions: DataFrame) -> DataFrame:
     return questions.filter(F.col("body").isNotNull() & (F.col("body") != ""))
 
 
+def domain(inp: Inputs, threshold: float) -> DataFrame:
+    """``(id, pos, term)``: domain words of every question, extracted once."""
+    return inp.memo(("domain", threshold), lambda: K.domain_words(
+        K.weirdness(K.word_freq(with_body(inp.questions), inp.lemmas), inp.unigrams), threshold))
+
+
+def details(inp: Inputs) -> DataFrame:
+    """The candidates' articles, fetched once."""
+    return inp.memo("details", lambda: RT.fetch_details(candidates(inp), inp.articles))
+
+
 def keywords(inp: Inputs, threshold: float = C.WEIRDNESS_THRESHOLD) -> DataFrame:
-    """Filtered, de-duplicated keywords ``(id, pos, term)`` of every question."""
-    return inp.memo(("kw", threshold), lambda: K.question_keywords(
-        with_body(inp.questions), inp.unigrams, inp.lemmas, threshold))
+    """Filtered, de-duplicated keywords ``(id, pos, term)`` of every question: from stored responses
+    if there are any, else by weirdness; with word associations, expanded."""
+    def build() -> DataFrame:
+        asked = with_body(inp.questions)
+        if inp.responses is not None:
+            kw = K.response_keywords(inp.responses.join(asked.select("id"), "id", "left_semi"))
+        else:
+            kw = K.keyword_dedup(K.keyword_filter(domain(inp, threshold)))
+        if inp.word_repr is not None:
+            kw = K.keyword_dedup(K.keyword_filter(K.expand_keywords(kw, inp.word_repr).drop("source")))
+        return kw
+    return inp.memo(("kw", threshold), build)
 
 
 def extracted(inp: Inputs, threshold: float = C.WEIRDNESS_THRESHOLD) -> DataFrame:
-    """``(id, n_extracted)``: domain words per question before the filter."""
-    words = K.domain_words(K.weirdness(K.word_freq(with_body(inp.questions), inp.lemmas), inp.unigrams), threshold)
-    return words.groupBy("id").agg(F.count(F.lit(1)).alias("n_extracted"))
+    """``(id, n_extracted)``: keywords per question before the filter."""
+    if inp.responses is not None:
+        words = K.parsed_responses(inp.responses.join(with_body(inp.questions).select("id"), "id", "left_semi"))
+        return words.groupBy("id").agg(F.count(F.lit(1)).alias("n_extracted"))
+    return domain(inp, threshold).groupBy("id").agg(F.count(F.lit(1)).alias("n_extracted"))
+
+
+def phrases(inp: Inputs) -> bool:
+    """Extracted keywords and associated words are single tokens; those of responses may be phrases."""
+    return inp.responses is not None
 
 
 def first_search(inp: Inputs, max_results: int = C.MAX_SEARCH_RESULTS) -> DataFrame:
-    """The hybrid search; extracted keywords are single tokens."""
+    """The hybrid search."""
     return inp.memo(("first", inp.n_core, max_results), lambda: RT.boolean_search(
-        keywords(inp), inp.index, inp.n_core, max_results, phrases=False))
+        keywords(inp), inp.index, inp.n_core, max_results, phrases=phrases(inp)))
 
 
 def candidates(inp: Inputs, max_results: int = C.MAX_SEARCH_RESULTS) -> DataFrame:
     """``(id, doc_id, retr_rank, total_count, query_used)``: the first search,
-    replaced by the retry for questions it left empty."""
+    replaced for questions it left empty by the retry with their stored clauses, or else with all
+    their keywords OR-ed."""
     kw = keywords(inp)
+    clauses = inp.clauses if inp.clauses is not None else FX.retry_clauses(kw)
     return inp.memo(("cand", inp.n_core, max_results), lambda: RT.search_with_retry(
-        with_body(inp.questions), kw, FX.retry_clauses(kw), inp.index, inp.n_core, max_results,
-        phrases=False, fielded=False, first=first_search(inp, max_results)))
+        with_body(inp.questions), kw, clauses, inp.index, inp.n_core, max_results,
+        phrases=phrases(inp) or inp.clauses is not None, fielded=inp.clauses is not None, first=first_search(inp, max_results)))
 
 
 def ranked(inp: Inputs, ranker: str = "BM25", modes=("BODY",)) -> DataFrame:
@@ -115,8 +147,7 @@ def results(inp: Inputs, ranker: str = "BM25", modes=("BODY",), k: int = C.TOP_N
     """Nested results ``(ranker, mode, id, seq, body, documents, snippets)``,
     one row per question and mode, in the result-file shape."""
     top = R.top_k(ranked(inp, ranker, modes), k)
-    details = inp.memo("details", lambda: RT.fetch_details(candidates(inp), inp.articles))
-    snips = S.build_snippets(top, details).withColumn("ranker", F.lit(ranker))
+    snips = S.build_snippets(top, details(inp)).withColumn("ranker", F.lit(ranker))
     qs = with_runs(inp.questions, [(ranker, m) for m in modes])
     return S.assemble_results(qs, snips, ["ranker", "mode"])
 
@@ -181,7 +212,7 @@ def question_status(inp: Inputs) -> DataFrame:
     nk = keywords(inp).groupBy("id").agg(F.count(F.lit(1)).alias("n_keywords"))
     first = first_search(inp).groupBy("id").agg(F.count(F.lit(1)).alias("initial_hits"))
     final = candidates(inp).groupBy("id").agg(F.count(F.lit(1)).alias("final_hits"))
-    part = RT.fetch_status(RT.fetch_details(candidates(inp), inp.articles)).select("id", "partial")
+    part = RT.fetch_status(details(inp)).select("id", "partial")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return (inp.questions.select("id", (F.col("body").isNotNull() & (F.col("body") != "")).alias("has_body"))
             .join(extracted(inp), "id", "left").join(nk, "id", "left").join(first, "id", "left")

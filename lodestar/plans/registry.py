@@ -92,7 +92,7 @@ def q_boolean_search(spark, d):
 
 def q_fetch_details(spark, d):
     inp = inputs(spark, d)
-    det = RT.fetch_details(P.candidates(inp), inp.articles)
+    det = P.details(inp)
     return det.join(RT.fetch_status(det), "id").select("id", "doc_id", "retr_rank", "title", "abstract", "found", "partial")
 
 
@@ -138,8 +138,7 @@ def q_topk_documents(spark, d):
 def q_build_snippets(spark, d):
     inp = inputs(spark, d)
     top = R.top_k(_ranked(spark, d, "BM25"))
-    det = RT.fetch_details(P.candidates(inp), inp.articles)
-    return S.build_snippets(top, det).drop("doc_id")
+    return S.build_snippets(top, P.details(inp)).drop("doc_id")
 
 
 def q_pipeline_results(spark, d):
@@ -273,7 +272,7 @@ def _write_bm25_results(spark, d):
 
     def build():
         path = scratch_path(spark, "results")
-        SR.write_results(P.results(inp, "BM25", ("BODY",)), path, "TRAIN", RUN_TS)
+        SR.write_result_documents(P.results(inp, "BM25", ("BODY",)), path, "TRAIN", RUN_TS)
         return path
     if "results_path" not in inp.cache:
         inp.cache["results_path"] = build()
@@ -281,12 +280,12 @@ def _write_bm25_results(spark, d):
 
 
 def q_write_results(spark, d):
-    res = SR.scan_results(spark, _write_bm25_results(spark, d))
+    res = SR.scan_result_files(spark, _write_bm25_results(spark, d))
     return S.explode_results(res.select("id", "seq", "body", "documents", "snippets"))
 
 
 def q_strip_rerank_fields(spark, d):
-    res = SR.scan_results(spark, _write_bm25_results(spark, d)).select("id", "documents", "snippets")
+    res = SR.scan_result_files(spark, _write_bm25_results(spark, d)).select("id", "documents", "snippets")
     st = S.strip_rerank_fields(res)
     e = st.select("id", "removed", F.explode("snippets").alias("s"))
     return e.select("id", "removed", *[F.col("s")[c].alias(c) for c in S.SNIPPET_FIELDS[:6]])
@@ -295,17 +294,16 @@ def q_strip_rerank_fields(spark, d):
 def q_write_metrics(spark, d):
     per = _bm25_body_eval(spark, d)
     path = scratch_path(spark, "metrics")
-    SR.write_metrics(per, E.macro_metrics(per, ["ranker", "mode"]), path, "TRAIN", RUN_TS)
-    back = spark.read.json(path + "_questions")
-    return _round(back.select(F.col("id").cast("bigint").alias("id"), "seq",
-                              *[F.col(f"`{E.METRIC_LABELS[m]}`").alias(m) for m in E.METRICS]), E.METRICS)
+    SR.write_metric_documents(per, E.macro_metrics(per, ["ranker", "mode"]), path, "TRAIN", RUN_TS)
+    back = SR.scan_metric_questions(spark, path).withColumn("id", F.col("id").cast("bigint"))
+    return _round(back.join(per.select("id", "seq"), "id").select("id", "seq", *E.METRICS), E.METRICS)
 
 
 def q_scan_metrics(spark, d):
     inp = inputs(spark, d)
     grid = P.experiment_grid(inp)
     path = scratch_path(spark, "metrics")
-    SR.write_metrics(None, grid, path, "TRAIN", RUN_TS)
+    SR.write_metric_documents(None, grid, path, "TRAIN", RUN_TS)
     return _round(SR.scan_metrics(spark, path), E.METRICS)
 
 
@@ -363,6 +361,10 @@ def q_gold_pairs(spark, d):
     return FX.qrels(spark, d)
 
 
+def q_response_keywords(spark, d):
+    return K.response_keywords(FX.responses(spark, d))
+
+
 def q_empty_body(spark, d):
     res = P.results(inputs(spark, d), "BM25", ("BODY",))
     has = F.col("body").isNotNull() & (F.col("body") != "")
@@ -389,5 +391,6 @@ QUERIES.update({
     "run_stats": q_run_stats,
     "empty_body": q_empty_body,
     "word_freq_lemmas": q_word_freq_lemmas,
+    "response_keywords": q_response_keywords,
     "gold_pairs": q_gold_pairs,
 })

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .files import empty, path_exists
 
 # Each question is read as its JSON text, so that no field is lost; the known
@@ -59,9 +60,9 @@ def scan_questions(spark: SparkSession, path: str) -> DataFrame:
                       F.posexplode("questions").alias("pos", "raw"))
     rows = rows.filter(F.col("raw").startswith("{")).withColumn("q", F.from_json("raw", QUESTION_SCHEMA))
     counts = rows.groupBy("file_name").agg((F.max("pos") + 1).alias("n"))
-    # questions before each file: files are numbered in ranges of names, then
-    # one row per range is summed up (two levels, no task sees all files)
-    counts = counts.repartitionByRange("file_name").withColumn("part", F.spark_partition_id())
+    # questions before each file: files are numbered in ranges of names, then one row per range
+    # is summed up (two levels, no task sees all files); the ranges are written, so both levels read the same cut
+    counts = materialize(counts.repartitionByRange("file_name").withColumn("part", F.spark_partition_id()), "file_counts")
     inside = Window.partitionBy("part").orderBy("file_name").rowsBetween(Window.unboundedPreceding, -1)
     parts = counts.groupBy("part").agg(F.sum("n").alias("total"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -601,6 +601,15 @@ SELECT conv_id, turn, pos, keyword, parsed_list FROM (
         SELECT conv_id, turn, text AS raw, regexp_extract(text, {_sqlq(FIRST_LIST)}, 1) AS lst
         FROM conversations))))"""
 
+ORACLES["response_keywords"] = f"""
+WITH parsed AS ({ORACLES["parse_keyword_responses"]}),
+said AS (SELECT conv_id AS id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, pos) AS pos, keyword AS term
+  FROM parsed JOIN conversations USING (conv_id, turn) WHERE role = 'assistant' AND conv_id IN (SELECT item_id FROM benchmark))
+SELECT id, min(pos) AS pos, lower(term) AS term FROM said
+WHERE NOT list_contains({STOP_GENERAL}, lower(term)) AND NOT list_contains({STOP_MEDICAL}, lower(term))
+  AND length(term) > 1 AND regexp_matches(term, '[\\p{{L}}\\p{{N}}]')
+GROUP BY id, lower(term)"""
+
 
 def _strip_prefix(x: str, prefix: str) -> str:
     return (f"(CASE WHEN starts_with(lower({x}), {_sqlq(prefix.lower())}) "
