@@ -35,17 +35,18 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter, defaultdict
-from collections.abc import Callable, Hashable, Sequence
+from collections.abc import Callable, Hashable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE, run_hashes, word_count, written
 
 MIN_WORDS = 5
-PIECE = 500
+PIECE = 200
 
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -152,15 +153,27 @@ def align_passages(shared: list[tuple[int, int, Sequence[int], Sequence[int]]])
     return out
 
 
-def _align(passages: pd.Series) -> pd.Series:
-    """The blocks of each later document, from the passages that it shares with all its owners."""
-    out = []
-    for held in passages:
-        owners = defaultdict(list)
-        for p in held:
-            owners[p["id0"], p["th0"]].append((p["s"], p["s0"], p["lines"].tolist(), p["lines0"].tolist()))
-        out.append([n for shared in owners.values() for n in align_passages(sorted(shared, key=lambda x: x[:2]))])
-    return pd.Series(out, dtype="object")
+def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The blocks of each later document, from the passages that it shares with all its owners;
+    ``PIECE`` documents leave Arrow's columns at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, PIECE):
+            part = batch.slice(at, PIECE)
+            held = part["p"].flatten()
+            columns = dict(zip((f.name for f in held.type), held.flatten()))
+            start, start0 = columns["s"].to_numpy().tolist(), columns["s0"].to_numpy().tolist()
+            owner = list(zip(columns["id0"].to_pylist(), columns["th0"].to_numpy().tolist()))
+            lines, lines0 = (columns[c].flatten().to_numpy() for c in ("lines", "lines0"))
+            ends, ends0 = (np.cumsum(columns[c].value_lengths().to_numpy()).tolist() for c in ("lines", "lines0"))
+            out, n = [], 0
+            for count in part["p"].value_lengths().to_pylist():
+                owners = defaultdict(list)
+                for k in range(n, n + count):
+                    own = lines[ends[k - 1] if k else 0:ends[k]].tolist()
+                    owners[owner[k]].append((start[k], start0[k], own, lines0[ends0[k - 1] if k else 0:ends0[k]].tolist()))
+                n += count
+                out.append([x for shared in owners.values() for x in align_passages(sorted(shared, key=lambda x: x[:2]))])
+            yield pa.RecordBatch.from_arrays([part["i"], part["h"], pa.array(out, pa.list_(pa.int32()))], ["i", "h", "blocks"])
 
 
 def without_blocks(text: str, blocks: list[int], min_words: int = MIN_WORDS) -> tuple[str, int, int]:
@@ -244,10 +257,9 @@ def deduplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     lines = (rows.filter(F.col("t").isNotNull()).select("id", "th", hashed.alias("lines"), counted.alias("words"))
              .dropDuplicates(["id", "th"]))
     shared = overlapping(written(passage_table(lines, min_words), "passages"))
-    align = F.pandas_udf(_align, "array<int>")
     blocks = (shared.groupBy(F.col("id").alias("i"), F.col("th").alias("h"))
               .agg(F.collect_list(F.struct("s", "lines", "id0", "th0", "s0", "lines0")).alias("p"))
-              .select("i", "h", align("p").alias("blocks")))
+              .mapInArrow(_align, f"i {lines.schema['id'].dataType.simpleString()}, h long, blocks array<int>"))
 
     def apply(texts: pd.Series, found: pd.Series) -> pd.DataFrame:
         out = [(t, 0, 0) if t is None else without_blocks(t, [] if b is None else b.tolist(), min_words) for t, b in zip(texts, found)]
