@@ -7,9 +7,13 @@ the sentence-piece vocabulary gives characters per token and the share of
 byte-fallback tokens. A text is rejected when a measure leaves the band of
 its main script, or when a base rule fails.
 
-Tokens of a word do not depend on its neighbours, so each distinct word is
-tokenised once per task and remembered (up to a bound; the memory only saves
-time). Everything is a row-wise column: no shuffle, any number of rows.
+Tokens of a word must not depend on its neighbours, so each distinct word is
+tokenised once per worker and remembered (up to a bound; the memory only saves
+time). Words of plain letters, digits and signs are tokenised many at a time, one space before
+each; words with any other character (white space of other kinds, marks, characters that a
+vocabulary rewrites) each alone. Everything is a row-wise column: no shuffle, any number of rows.
+
+``VOCABULARIES`` is a folder of public files that every executor must hold at the same path.
 
 Cases: null and empty texts have zero counts, no measures and fail the base
 rule; a text without letters has script ``none`` and its own band; repeated
@@ -19,6 +23,7 @@ rows are judged alike; extra columns pass through.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import cache
@@ -36,6 +41,10 @@ PIECE_BPE = "piece_bpe_32k.model"
 # Fixed value: the byte-level vocabulary's splitting pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+# Characters that both vocabularies take as they are, whatever stands beside their word.
+PLAIN = re.compile("[\x21-\x7E\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u0131\u0134-\u013E\u0141-\u0148\u014A-\u017E\u0391-\u03A1"
+                   "\u03A3-\u03C9\u0410-\u044F\u05D0-\u05EA\u0627-\u063A\u0641-\u064A\u4E00-\u9FFF\uAC00-\uD7A3]+")
+
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 
@@ -117,18 +126,30 @@ class Vocabulary:
             found = [self.index[w] if i is None else i for w, i in zip(words, found)]
         return np.array(found, np.int64)
 
+    def _joined(self, plain: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens, tokens of each word, pieces and the word of each piece, of plain words."""
+        if not plain:
+            return np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        tokens = np.array(self.bpe.encode_ordinary(" " + " ".join(plain)), np.int32)
+        of = np.cumsum(self.opens_word[tokens]) - 1  # no word holds a space: each space opens the next one
+        pieces = np.array(self.pieces.encode(" ".join(plain)), np.int64)
+        return tokens, np.bincount(of, minlength=len(plain)), pieces, np.cumsum(self.opens_piece[pieces]) - 1
+
     def _add(self, new: list[bytes]) -> None:
         at, n = len(self.index), len(new)
         texts = [w.decode("utf-8") for w in new]
-        tokens = np.array(self.bpe.encode_ordinary(" " + " ".join(texts)), np.int32)
-        of = np.cumsum(self.opens_word[tokens]) - 1  # no word holds a space: each space opens the next one
-        n_tokens = np.bincount(of, minlength=n)
-        pieces = np.array(self.pieces.encode(" ".join(texts)), np.int64)
-        part_of = np.cumsum(self.opens_piece[pieces]) - 1
-        if part_of[-1] != n - 1 or part_of[0] != 0:  # a word holds the mark itself: one by one
-            each = [self.pieces.encode(t) for t in texts]
-            pieces = np.fromiter(chain.from_iterable(each), np.int64)
-            part_of = np.repeat(np.arange(n), np.fromiter(map(len, each), np.int64, n))
+        plain = [t for t in texts if PLAIN.fullmatch(t)]
+        tokens, n_tokens, pieces, part_of = self._joined(plain)
+        odd = [(w, t) for w, t in zip(new, texts) if not PLAIN.fullmatch(t)]
+        if odd:
+            more_tokens = [self.bpe.encode_ordinary(" " + t) for _, t in odd]
+            more_pieces = [self.pieces.encode(t) for _, t in odd]
+            count = lambda lists: np.fromiter(map(len, lists), np.int64, len(lists))
+            tokens = np.concatenate([tokens, np.fromiter(chain.from_iterable(more_tokens), np.int32)])
+            n_tokens = np.concatenate([n_tokens, count(more_tokens)])
+            pieces = np.concatenate([pieces, np.fromiter(chain.from_iterable(more_pieces), np.int64)])
+            part_of = np.concatenate([part_of, len(plain) + np.repeat(np.arange(len(odd)), count(more_pieces))])
+        new = [t.encode("utf-8") for t in plain] + [w for w, _ in odd]
         if at + n > self.sizes.shape[1]:
             self.sizes = np.concatenate([self.sizes, np.zeros((4, max(n, at)), np.int64)], axis=1)
         if self.used + len(tokens) > len(self.tokens):
