@@ -10,9 +10,12 @@ that, so a document with very many detections costs no more than sorting them.
 
 The base phrases are rules of their own that nothing suppresses.
 
-Lower-casing uses the engine's ``lower``: its results differ from lower-casing A-Z
-only in letters outside ASCII, which no base phrase holds and which never
-end a word.
+Every text is read and normalised once: its number of words, and its words where they hold a gate word,
+are written; rules, intervals and counts start from there.
+
+Lower-casing A-Z uses the engine's ``lower`` where that changes other letters into other letters
+outside ASCII only, which no base phrase holds and which never end a word. The two letters that
+it would turn into ASCII (U+0130, U+212A) send their texts another way.
 
 Cases: null, empty and wordless texts have no words and no labels (empty
 strings, score 0, null places); rows with the same id and text are scanned alike;
@@ -26,6 +29,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
 from .license_rules import BASE, LICENSE_WORDS, Rule, rules
 
 BASE_SCORE = 0.7
@@ -33,7 +37,10 @@ BASE_SCORE = 0.7
 
 def joined_words(text: Column) -> Column:
     """' w0 w1 ... wn ' (no word: two spaces)."""
-    words = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")
+    text = F.coalesce(text, F.lit(""))
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    low = F.when(F.contains(text, F.lit("\u0130")) | F.contains(text, F.lit("\u212a")), F.translate(text, upper, upper.lower())).otherwise(F.lower(text))
+    words = F.regexp_replace(low, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")
     return F.concat(F.lit(" "), F.btrim(words), F.lit(" "))
 
 
@@ -92,10 +99,14 @@ def surviving(found: DataFrame) -> DataFrame:
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", signatures: list[Rule] | None = None) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, one row per document."""
     signatures = rules() if signatures is None else signatures
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t"), F.xxhash64(F.col(text)).alias("th"))
-    words = joined_words(F.col("t"))
-    sizes = rows.select("id", "th", F.when(F.length(words) <= 2, F.lit(0)).otherwise(_spaces(words) - 1).cast("long").alias("n_words"))
-    found = surviving(detections(rows.filter(gated(words, signatures)).select("id", "th", words.alias("words")), signatures))
+    # an array of one: the words are made once, whatever asks for them
+    looked = F.transform(F.array(joined_words(F.col(text))), lambda w: F.struct(
+        F.when(F.length(w) <= 2, F.lit(0)).otherwise(_spaces(w) - 1).cast("long").alias("n_words"),
+        F.when(gated(w, signatures), w).alias("words")))[0]
+    rows = written(docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("th"), looked.alias("w"))
+                   .select("id", "th", "w.n_words", "w.words"), "license_words")
+    sizes = rows.select("id", "th", "n_words")
+    found = surviving(detections(rows.filter("words IS NOT NULL").select("id", "th", "words"), signatures))
     by_doc = found.groupBy("id", "th").agg(
         F.count_if("base").alias("n_base"), F.min(F.when(F.col("base"), F.col("first"))).cast("long").alias("first_word"),
         F.max(F.when(F.col("base"), F.col("first"))).cast("long").alias("last_word"),
