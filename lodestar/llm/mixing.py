@@ -18,10 +18,15 @@ holds more than the distinct sizes of a source, 256 buckets, or one bucket of
 one size: a source with a third of all rows, or a third of all rows being copies
 of one text, is spread like any other.
 
+``mix`` gives each document's share; ``emit`` gives the mix itself: whole rows, once per boundary crossed. For
+that, the copies of a document (rows with the same id, size, source and text hash count as one
+document several times) are numbered on both sides and met by an equi-join, so whole rows
+move once.
+
 Cases: null text has size 0 and is never taken; a null source is a source of its
 own, placed last; a source of size 0 has target 0; repeated rows are documents
-of their own; an empty table gives an empty result; only (id, text, source) are
-read, so extra columns cannot clash.
+of their own; an empty table gives an empty result; ``mix`` reads only (id, text, source), ``emit`` carries every
+column, so extra columns cannot clash.
 """
 
 from __future__ import annotations
@@ -68,15 +73,18 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget_
                     .alias("target")))
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
-        weights: tuple[int, ...] = WEIGHTS, budget_percent: int = BUDGET_PERCENT, max_repeat: int = MAX_REPEAT,
-        seed: str = SEED) -> DataFrame:
-    """doc_id, size, source_size, target, taken (words the mix takes, repeats counted)."""
-    hashed = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
-    rows = written(docs.select(F.col(doc_id).alias("doc_id"), word_count(F.col(text)).alias("size"),
-                               F.col(source).alias("source"),
-                               F.when(F.col(source).isNull(), "").otherwise(F.concat(F.lit("s"), F.col(source))).alias("src"),
-                               hashed.alias("h")), "sized")
+def _sized(docs: DataFrame, doc_id: str, text: str, source: str) -> list:
+    """Columns that a document's share depends on, and what tells it from others."""
+    return [F.col(doc_id).alias("doc_id"), word_count(F.col(text)).alias("size"), F.col(source).alias("source"),
+            F.when(F.col(source).isNull(), "").otherwise(F.concat(F.lit("s"), F.col(source))).alias("src"),
+            F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).alias("h"), F.xxhash64(F.col(text)).alias("th")]
+
+
+def shares(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
+           weights: tuple[int, ...] = WEIGHTS, budget_percent: int = BUDGET_PERCENT, max_repeat: int = MAX_REPEAT,
+           seed: str = SEED) -> DataFrame:
+    """doc_id, src, th, size, source_size, target, copies (integer boundaries that the document crosses)."""
+    rows = written(docs.select(*_sized(docs, doc_id, text, source)), "sized")
     bucket = F.substring("h", 1, 2)
     counts = rows.groupBy("src", "size", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     by_bucket = Window.partitionBy("src", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -94,12 +102,40 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
         .otherwise(F.lit(0)).cast("long").alias("rate"),
         F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.col("source"), F.lit("")))), 1, UNIT_BITS // 4), 16, 10)
         .cast("long").alias("offset"))
-    nth = F.row_number().over(Window.partitionBy("src", "size", "bucket").orderBy("h", "doc_id"))
+    nth = F.row_number().over(Window.partitionBy("src", "size", "bucket").orderBy("h", "doc_id", "th"))
     placed = (rows.withColumn("bucket", bucket).withColumn("nth", nth).join(places, ["src", "size", "bucket"])
               .withColumn("place", F.col("nth") + F.col("before")).join(targets, "src"))
     upto = F.shiftright(F.col("place") * F.col("rate") + F.col("offset"), UNIT_BITS)
     below = F.shiftright((F.col("place") - 1) * F.col("rate") + F.col("offset"), UNIT_BITS)
-    return placed.select("doc_id", "size", "source_size", "target", ((upto - below) * F.col("size")).cast("long").alias("taken"))
+    return placed.select("doc_id", "src", "th", "size", "source_size", "target", (upto - below).alias("copies"))
+
+
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
+    """doc_id, size, source_size, target, taken (words the mix takes, repeats counted)."""
+    return shares(docs, doc_id, text, source, **how).select(
+        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+
+
+def with_shares(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", name: str = "mixed", **how) -> DataFrame:
+    """``docs`` with a struct column ``name``: size, source_size, target, and copies, how often the mix takes the row."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_sized(docs, doc_id, text, source)).drop("source", "h")
+    same = ["doc_id", "src", "size", "th"]
+    # rows that are alike in all that is told apart are numbered on either side: each meets one share
+    numbered = lambda df, *order: df.withColumn("nth", F.row_number().over(Window.partitionBy(*same).orderBy(*order)))
+    left, right = numbered(whole, F.lit(1)), numbered(shares(docs, doc_id, text, source, **how), F.desc("copies"))
+    on = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in (*same, "nth")]
+    return (left.alias("l").join(right.alias("r"), on)
+            .select("l.row", F.struct("r.size", "r.source_size", "r.target", "r.copies").alias("share"))
+            .select("row.*", F.col("share").alias(name)))
+
+
+def emit(docs: DataFrame, name: str = "mixed", **how) -> DataFrame:
+    """The mix itself: every row of ``docs`` that has words, as often as it is taken, with a struct column
+    ``name``: size, source_size, target, copies (of the row) and copy (which of them, from 1)."""
+    taken = with_shares(docs, name=name, **how).filter((F.col(f"{name}.copies") > 0) & (F.col(f"{name}.size") > 0))
+    number = F.sequence(F.lit(1).cast("long"), F.col(f"{name}.copies"))
+    each = taken.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(name).alias("share"), F.explode(number).alias("copy"))
+    return each.select("row.*", F.col("share").withField("copy", F.col("copy")).alias(name))
 
 
 ORACLE = f"""

@@ -61,6 +61,32 @@ def test_fertility_measures_follow_the_vocabularies(docs):
         assert not (r["base_failed"] and r["kept"])
 
 
+def test_tokens_of_a_word_do_not_depend_on_its_neighbours():
+    """Odd words (other white space, marks, rewritten characters) in any mix and any order."""
+    import random
+    odd = ["\u2003", "a\u2003b", "\ufeff", "x\ufeffy", "\u00ad", "co\u00adop", "\u2581", "x\u2581y", "\x1c", "q\x1cr", "\u0301a", "e\u0301",
+           "\ufdfa", "\u00a0", "n\u00a0m", "\u200b", "\u3000", "\uff21\uff22", "\u2126", "\u0133", "\u212a", "\U0001F600", "\u0e33", "\u0149",
+           "don't", "It's", "word", "Stra\u00dfe", "\u00e9t\u00e9", "42", "...", "a.b,c", "\u6f22\u5b57", "\u041c\u043e\u0441", "x" * 300, "'s", "\x7f"]
+    fresh = lambda: fertility.Vocabulary(fertility.VOCABULARIES)
+
+    def counts(v, words):
+        ids = v.ids([w.encode() for w in words])
+        return [tuple(v.sizes[1:, i].tolist()) + tuple(v.text_tokens(np.array([i])).tolist()) for i in ids]
+    import numpy as np
+    v = fresh()
+    alone = {}
+    for w in odd:
+        v.reset()
+        alone[w] = counts(v, [w])[0]
+        assert alone[w][0] == len(v.bpe.encode_ordinary(" " + w)) and alone[w][1] == len(v.pieces.encode(w))
+    rng = random.Random(2)
+    for _ in range(300):
+        v.reset()
+        mix = [rng.choice(odd) for _ in range(rng.randrange(1, 12))]
+        cut = rng.randrange(len(mix) + 1)
+        assert counts(v, mix[:cut]) + counts(v, mix[cut:]) == [alone[w] for w in mix]
+
+
 def test_fertility_bands_reject():
     one = fertility.measure()()
     prose = ("Along the northern shore the fishing village keeps its narrow lanes, and every morning small boats leave before "

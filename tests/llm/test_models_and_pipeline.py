@@ -187,6 +187,23 @@ def test_mixing(edge, empty, docs):
     assert mixing.mix(empty).count() == 0
 
 
+def test_the_mix_holds_whole_rows(edge, docs, empty):
+    """Emitted rows, repeats and all columns included, are what the shares say."""
+    for table in (edge, docs, docs.unionByName(docs.limit(30)), empty):
+        rows = mixing.emit(table, name="mixed_")
+        assert rows.columns == [*table.columns, "mixed_"]
+        rows = rows.collect()
+        want = Counter()
+        for r in mixing.mix(table).collect():
+            if r["taken"]:
+                want[r["doc_id"], r["size"]] += r["taken"] // r["size"]
+        assert Counter((r["doc_id"], r["mixed_"]["size"]) for r in rows if r["mixed_"]["size"]) == want
+        assert all(r["mixed_"]["size"] == len(WORD.findall(r["text"] or "")) and 1 <= r["mixed_"]["copy"] <= r["mixed_"]["copies"] <= 2 for r in rows)
+        source = Counter((r["doc_id"], r["text"]) for r in table.collect())
+        for key, n in Counter((r["doc_id"], r["text"]) for r in rows).items():
+            assert n <= 2 * source[key]
+
+
 def test_mixing_targets(spark):
     sizes = {"a": 100, "b": 1000, "c": 1000, "d": 10, None: 500, "e": 0}
     table = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
@@ -279,7 +296,9 @@ def test_pipeline(spark):
     rows = [r for r, c in zip(rows, contamination(rows, items)) if not c[5]]
     want = mixing.mix(spark.createDataFrame([(i, t, source[i]) for i, t in rows], "doc_id long, text string, source string"))
     got = corpus_pipeline.run(spark, SF)
-    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
+    assert Counter(map(tuple, got.select(*want.columns).collect())) == Counter(map(tuple, want.collect()))
+    assert Counter(tuple(r) for r in got.select("doc_id", "text", "source").collect()) == Counter((i, t, source[i]) for i, t in rows)
+    assert all(r["copies"] * r["size"] == r["taken"] for r in got.collect())
     assert 50 < len(rows) < 200
 
 
@@ -291,5 +310,19 @@ def test_stages_handle_odd_rows(spark, edge, empty):
             if name != "mix_sources":
                 assert docs.columns == table.columns, name
         assert docs.count() <= table.count()
-    for name, stage in corpus_pipeline.STAGES:  # each on all odd rows
-        assert stage(spark, edge, SF).count() >= 0
+    # each on all odd rows: a filter keeps whole rows of its input, a rewrite keeps the ids, a mix keeps every row
+    before = Counter((r["doc_id"], r["text"]) for r in edge.collect())
+    after = {name: stage(spark, edge, SF).collect() for name, stage in corpus_pipeline.STAGES}
+    for name in ("quality_rules", "near_dedup", "decontaminate"):
+        kept = Counter((r["doc_id"], r["text"]) for r in after[name])
+        assert all(n <= before[k] for k, n in kept.items()), name
+    from lodestar.llm import fertility
+    judged = zip(before, fertility.measure()()([t for _, t in before]))
+    assert Counter((r["doc_id"], r["text"]) for r in after["quality_rules"]) == Counter({k: before[k] for k, m in judged if m[6]})
+    assert len(after["near_dedup"]) < edge.count() and None in {r["text"] for r in after["decontaminate"]}
+    lines = whole_lines([(r["doc_id"], r["text"]) for r in edge.collect()])
+    want = Counter({(i, t): n for (i, t, _, gone), n in lines.items() if not gone or WORD.search(t)})
+    assert Counter((r["doc_id"], r["text"]) for r in after["line_dedup"]) == want
+    assert Counter((r["doc_id"], r["text"]) for r in after["mix_sources"]) == before
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, SF).collect() == [], name
