@@ -140,22 +140,22 @@ def communication_matrix(parts: DataFrame, n_shards: int = SHARDS, seed: int = S
     """(part, n) with distinct ``part`` -> (part, n, row): the rows that each part gives to each shard.
 
     The tree's depth follows the number of parts; a level's nodes are drawn in parallel."""
-    spark = parts.sparkSession
     parts = parts.select("part", F.col("n").cast("long").alias("n"), F.xxhash64(F.lit(seed), F.lit("part"), "part").alias("h"))
     count, rows = parts.agg(F.count(F.lit(1)), F.sum("n")).first()
     rows = rows or 0
     levels = max(0, math.ceil(math.log2(max(count, 1)) / fan_bits) - 1)
-    shape = "node bigint, room array<bigint>"
-    nodes = spark.createDataFrame([(0, [rows // n_shards + (j < rows % n_shards) for j in range(n_shards)])], shape)
+    root = F.array(*[F.lit(rows // n_shards + (j < rows % n_shards)).cast("bigint") for j in range(n_shards)])
+    nodes: DataFrame | None = None  # the root's room is known
 
     def digits(level: int) -> Column:
         return F.shiftrightunsigned("h", 64 - fan_bits * level) if level else F.lit(0).cast("bigint")
 
-    def deal(nodes: DataFrame, children: DataFrame, level: int) -> DataFrame:
+    def deal(nodes: DataFrame | None, children: DataFrame, level: int) -> DataFrame:
         """children (node, id, n) -> (id, n, row)"""
         held = children.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("id", "n"))).alias("c"))
         rows = dealt(F.col("c.n"), F.col("c.id"), F.col("room"), seed + level)
-        return (held.join(nodes, "node").select(F.arrays_zip(F.col("c.id").alias("id"), F.col("c.n").alias("n"), rows.alias("row")).alias("z"))
+        held = held.withColumn("room", root) if nodes is None else held.join(nodes, "node")
+        return (held.select(F.arrays_zip(F.col("c.id").alias("id"), F.col("c.n").alias("n"), rows.alias("row")).alias("z"))
                 .select(F.explode("z").alias("z")).select("z.id", "z.n", "z.row"))
 
     for level in range(levels):
