@@ -62,3 +62,22 @@ def test_metric_scan_filters_names(spark, tmp_dir):
     assert names == ["TRAIN_metrics_BM25_x.json"]
     r = [x for x in rows if x["file_name"] == "TRAIN_metrics_BM25_x.json"][0]
     assert r["query_type"] == "N/A" and r["ndcg10"] == 0.5 and r["eval_type"] == "TRAIN"
+
+
+def test_one_large_association_file_is_read_by_many_tasks(spark, tmp_dir):
+    os.makedirs(tmp_dir)
+    data = {f"key{i}": {f"w{k}": i * k for k in range(i % 5)} for i in range(4000)}
+    json.dump(data, open(f"{tmp_dir}/one_line.json", "w"))
+    json.dump({f"other {k}": v for k, v in data.items()}, open(f"{tmp_dir}/indented.json", "w"), indent=2)
+    json.dump({}, open(f"{tmp_dir}/empty.json", "w"))
+    want = sorted((f"{p}{k}", w, n) for p in ("", "other ") for k, m in data.items() for w, n in m.items())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+    try:
+        assert SB._inner_objects(spark, tmp_dir).rdd.getNumPartitions() > 3
+        assert sorted(map(tuple, SB.scan_word_repr(spark, tmp_dir).collect())) == want
+        # a brace inside a string: that file is read whole
+        json.dump({"odd } key": {"a}": 1, '"{': 2}, "plain": {"b": 3}}, open(f"{tmp_dir}/odd.json", "w"))
+        more = [("odd } key", "a}", 1), ("odd } key", '"{', 2), ("plain", "b", 3)]
+        assert sorted(map(tuple, SB.scan_word_repr(spark, tmp_dir).collect())) == sorted(want + more)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
