@@ -85,11 +85,13 @@ def forward_table(counted: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 def block_table(tokens: DataFrame, folders: int, blocks: int, held: Column) -> DataFrame:
     """``(doc_id, field, term, ...)`` -> ``(part, field, term, block, held)``: what a block of
-    documents holds of a term, as an array of ``held``."""
+    documents holds of a term, as an array of ``held``. One shuffle, by folder and slice of the
+    blocks: it serves the grouping and the files, so no row moves twice."""
     block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")
-    return (tokens.withColumn("part", folder_of("term", folders)).withColumn("block", block)
-            .repartition("part", F.col("block") % SLICES).groupBy("part", "field", "term", "block")
-            .agg(F.collect_list(held).alias("held")).sortWithinPartitions("part", "field", "term"))
+    dealt = tokens.withColumn("bin", folder_of("term", folders) * SLICES + block % SLICES).repartition("bin")
+    return (dealt.groupBy("bin", "field", "term", block.alias("block")).agg(F.collect_list(held).alias("held"))
+            .select(F.floor(F.col("bin") / SLICES).cast("int").alias("part"), "field", "term", "block", "held")
+            .sortWithinPartitions("part", "field", "term"))
 
 
 def folder_of(term, folders: int) -> Column:
@@ -163,10 +165,9 @@ class TextIndex:
     def blocks(self, fielded: bool = False) -> DataFrame:
         """``(part, field, term, block, docs)``, the documents of a block that hold a term, in folders by ``part``."""
         def build() -> DataFrame:
-            if fielded:
-                terms = self.fields().select("doc_id", "field", F.explode(F.array_distinct(tokens_bm25("text"))).alias("term"))
-            else:
-                terms = self.counted().select("doc_id", F.lit("text").alias("field"), "term")
+            # distinct within the row: no token is grouped, no count is written for a search
+            texts = self.fields() if fielded else self.docs.select("doc_id", F.lit("text").alias("field"), "text")
+            terms = texts.repartition("doc_id").select("doc_id", "field", F.explode(F.array_distinct(tokens_bm25("text"))).alias("term"))
             return block_table(terms, *self.shape(), F.col("doc_id")).withColumnRenamed("held", "docs")
         return self.derived("field_blocks" if fielded else "blocks", build, by="part")
 
