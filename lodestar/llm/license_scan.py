@@ -40,8 +40,8 @@ def joined_words(text: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     low = F.when(F.contains(text, F.lit("\u0130")) | F.contains(text, F.lit("\u212a")), F.translate(text, upper, upper.lower())).otherwise(F.lower(text))
-    words = F.regexp_replace(low, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")
-    return F.concat(F.lit(" "), F.btrim(words), F.lit(" "))
+    words = F.regexp_extract_all(low, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
+    return F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
 
 
 def _spaces(text: Column) -> Column:
