@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mixed, text_column
+from .common import mixed, text_column, written
 
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "af"),
@@ -43,6 +43,7 @@ OTHER = "other"
 DIMENSIONS = 2048
 ORDERS = (1, 2, 3)
 SAMPLE_ROWS = 4000
+SPREAD = 6  # standard deviations by which ranked hashes may be fewer than expected
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -149,6 +150,21 @@ def _vectors():
     return lambda t: (ngram_vector(t).tobytes() if t and _LETTER.search(t) else None,)
 
 
+def last_hashes(rows: DataFrame, own: int) -> dict[str, int]:
+    """(lang, h) -> per language its ``own``-th lowest distinct hash (all, if fewer: the highest). Hashes are spread
+    evenly, so a language's count tells below which value that one lies: only the about ``own`` hashes under it are
+    ranked, however many rows a language has. Two rows per language reach the driver."""
+    hashes = written(rows.select("lang", "h").distinct(), "language_hashes")
+    share = F.least(F.lit(1.0), F.lit(own + SPREAD * own ** 0.5 + SPREAD ** 2) / F.count(F.lit(1)))
+    bounds = hashes.groupBy("lang").agg(share.alias("share")).collect()
+    if not bounds:
+        return {}
+    within = F.create_map(*[F.lit(x) for r in bounds for x in (r["lang"], r["share"])])[F.col("lang")]
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    few = hashes.filter(F.col("h") / F.lit(2.0 ** 64) + 0.5 <= within).withColumn("n", nth).filter(F.col("n") <= own)
+    return {r["lang"]: r["last"] for r in few.groupBy("lang").agg(F.max("h").alias("last")).collect()}
+
+
 def train(docs: DataFrame, text: str, lang: str, sample_rows: int = SAMPLE_ROWS) -> Model | None:
     """Fits from ``docs`` (already restricted to what may be learned from)."""
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter(
@@ -156,13 +172,13 @@ def train(docs: DataFrame, text: str, lang: str, sample_rows: int = SAMPLE_ROWS)
     n_langs = rows.agg(F.approx_count_distinct("lang", 0.01)).first()[0]
     if not n_langs:
         return None
-    # the sample is chosen on (lang, hash) alone: per language the lowest distinct hashes of texts; texts up to
-    # the last of them are then picked where they are read, copies of one text once
+    # the sample is chosen on (lang, hash) alone; texts up to a language's last hash are then picked where they are
+    # read, copies of one text once
     rows = rows.withColumn("h", F.xxhash64("text"))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    last = (rows.select("lang", "h").distinct().withColumn("n", nth).filter(F.col("n") <= max(2, sample_rows // n_langs))
-            .groupBy("lang").agg(F.max("h").alias("last")).collect())  # one row per language
-    cut = F.create_map(*[F.lit(x) for r in last for x in (r["lang"], r["last"])])
+    last = last_hashes(rows, max(2, sample_rows // n_langs))
+    if not last:
+        return None
+    cut = F.create_map(*[F.lit(x) for pair in last.items() for x in pair])
     sample = (rows.filter(F.col("h") <= cut[F.col("lang")])
               .select("lang", "h", text_column(_vectors, "v binary")(F.col("text")).alias("v")).select("lang", "h", "v.v")
               .dropDuplicates(["lang", "h"]).collect())

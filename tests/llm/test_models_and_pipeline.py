@@ -235,6 +235,18 @@ def test_language(spark, edge, empty):
     assert {r["lang_pred"] for r in language.identify(edge.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("own", [1, 5, 40, 5000])
+def test_language_sample_cut(spark, own):
+    """The cut of each language's sample is its n-th lowest distinct hash, also where few hashes are ranked."""
+    rows = spark.range(12_000).select(F.when(F.col("id") % 3 > 0, "aa").when(F.col("id") < 60, "bb").otherwise("cc").alias("lang"),
+                                      F.xxhash64((F.col("id") / 2).cast("int")).alias("h"))
+    hashes = {}
+    for r in rows.collect():
+        hashes.setdefault(r["lang"], set()).add(r["h"])
+    assert language.last_hashes(rows, own) == {k: sorted(v)[:own][-1] for k, v in hashes.items()}
+    assert language.last_hashes(rows.filter("false"), own) == {}
+
+
 def test_language_family_first():
     assert language.family_of("de") == language.family_of("en-GB") == "germanic" and language.family_of("tlh") == "other"
     rng = np.random.default_rng(0)
