@@ -322,9 +322,11 @@ def clause_search(clauses: DataFrame, index: TextIndex, max_results: int = C.MAX
     c = c.filter(F.col("term").isNotNull() & (py_strip("term") != ""))
     need = (c.filter(~F.col("negated")).groupBy("id").agg(F.count_distinct("grp").alias("n_pos")))
     positive = ~F.col("negated")
-    per_doc = _term_docs(c, index, phrases, fielded).groupBy("id", "block", "doc_id").agg(
-        F.size(F.collect_set(F.when(positive, F.col("grp")))).alias("clauses_hit"),
-        F.count_if("negated").alias("excluded"), F.count_if(positive).alias("matched"))
+    per_clause = (_term_docs(c, index, phrases, fielded).groupBy("id", "block", "doc_id", "grp", "negated")
+                  .agg(F.count(F.lit(1)).alias("n")))
+    per_doc = per_clause.groupBy("id", "block", "doc_id").agg(
+        F.count_if(positive & F.col("grp").isNotNull()).alias("clauses_hit"), F.count_if("negated").alias("excluded"),
+        F.sum(F.when(positive, F.col("n")).otherwise(0)).alias("matched"))
     ok = (per_doc.filter("excluded = 0").join(small(need) if index.persist else need, "id")
           .filter(F.col("clauses_hit") == F.col("n_pos")).select("id", "doc_id", "matched"))
     return _cap(ok, max_results)
