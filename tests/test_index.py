@@ -191,3 +191,36 @@ def test_pipeline_on_stored_responses(spark):
     assert got == {(1, 1, "hybrid"), (2, 4, "direct")}
     assert P.results(inp, "BM25", ("KEYWORDS",)).count() == 3
     assert P.question_status(inp).filter("n_extracted > 0").count() == 3
+
+
+def test_rankers_count_the_candidates_only(spark):
+    """Texts that no question has among its candidates are not counted; the same candidates are counted once."""
+    table = spark.createDataFrame([(i, f"alpha beta w{i}", "N/A") for i in range(30)], "doc_id long, title string, abstract string")
+    index = RT.TextIndex.build(table, persist=True)
+    cand = spark.createDataFrame([(1, 3, 1), (1, 5, 2), (2, 5, 1)], "id long, doc_id long, retr_rank int")
+    queries = spark.createDataFrame([(1, "w3 w9"), (2, "alpha")], "id long, query string")
+    got = {(r["id"], r["doc_id"]): r["rank"] for r in R.rerank_bm25(queries, cand, index).collect()}
+    assert got == {(1, 3): 1, (1, 5): 2, (2, 5): 1}
+    assert "bm25_forward" not in index.tables and index.among(cand) is index.among(cand)
+    assert sorted(r["doc_id"] for r in index.among(cand).forward().collect()) == [3, 5]
+
+
+def test_a_block_is_a_task_and_its_texts_move_once(spark, monkeypatch):
+    monkeypatch.setattr(RT, "BLOCK_DOCS", 50)
+    written = []
+    monkeypatch.setattr(RT, "materialize", lambda df, name, by=None: written.append((name, df)) or df)
+    table = spark.createDataFrame([(i % 400, f"alpha w{i}", "N/A") for i in range(500)], "doc_id long, title string, abstract string")
+    index = RT.TextIndex.build(table, persist=True)
+    rows = index.blocks().select("term", F.explode("docs").alias("d")).collect()
+    assert sorted(r["d"] for r in rows if r["term"] == "alpha") == sorted(i % 400 for i in range(500))
+    plan = dict(written)["blocks"]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "direct_shuffle_partition_id" in plan and ", 10)" in plan
+
+
+def test_an_unknown_query_term_takes_its_place_in_the_vocabulary(spark):
+    """A query term that no candidate holds can push the last term out of a capped vocabulary."""
+    table = spark.createDataFrame([(1, "aa aa aa bb", "N/A"), (2, "bb cc", "N/A")], "doc_id long, title string, abstract string")
+    cand = spark.createDataFrame([(1, 1, 1), (1, 2, 2)], "id long, doc_id long, retr_rank int")
+    got = R.rerank_tfidf(spark.createDataFrame([(1, "zz zz zz zz bb")], "id long, query string"), cand, RT.TextIndex.build(table, True), max_features=2)
+    # vocabulary: zz 4 times; aa and bb 3 times, aa first
+    assert {r["doc_id"]: r["score"] for r in got.collect()} == {1: 0.0, 2: 0.0}
