@@ -4,6 +4,7 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestar.operators import evaluation as E
 from lodestar.operators import rerank as R
@@ -189,3 +190,13 @@ def test_word_associations_in_both_file_shapes(spark, tmp_dir):
     assert sorted(map(tuple, back.collect())) == want
     SB.write_word_repr_json(back, tmp_dir + "/lines")
     assert sorted(map(tuple, SB.scan_word_repr(spark, tmp_dir + "/lines").collect())) == want
+
+
+def test_gold_pairs_are_found_when_asked_for(spark, monkeypatch):
+    """Loading the inputs, as each query does, does not search the corpus for gold pairs."""
+    asked = []
+    monkeypatch.setattr(FX, "qrels", lambda *_: asked.append(1) or spark.createDataFrame([(1, 2)], "id long, doc_id long"))
+    monkeypatch.setattr(FX, "table", lambda *_: spark.createDataFrame(
+        [(1, "a b", 1, [1.0])], "doc_id long, text string, vec_id long, embedding array<float>").withColumn("item_id", F.col("doc_id")))
+    inp = P.Inputs.load(spark, "/none", persist=False)
+    assert not asked and [tuple(r) for r in inp.qrels.collect()] == [(1, 2)] and asked
