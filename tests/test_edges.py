@@ -6,6 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from lodestar.functions import text as T
 from lodestar.operators import evaluation as E
 from lodestar.operators import rerank as R
 from lodestar.operators import responses as RS
@@ -200,3 +201,21 @@ def test_gold_pairs_are_found_when_asked_for(spark, monkeypatch):
         [(1, "a b", 1, [1.0])], "doc_id long, text string, vec_id long, embedding array<float>").withColumn("item_id", F.col("doc_id")))
     inp = P.Inputs.load(spark, "/none", persist=False)
     assert not asked and [tuple(r) for r in inp.qrels.collect()] == [(1, 2)] and asked
+
+
+def test_usable_documents_are_found_without_stripping_texts_twice(spark):
+    """The filter looks for a first kept character only; what is kept and how it is stripped stays the same."""
+    rows = [(1, "a", "N/A"), (2, " \x1c", "N/A"), (3, "N/A", "　b\x85"), (4, None, ""), (5, " ", "\t"), (6, "", " c d\n")]
+    texts = RT.doc_text(spark.createDataFrame(rows, "doc_id long, title string, abstract string"))
+    assert {r["doc_id"]: r["text"] for r in texts.collect()} == {1: "a", 3: "b", 6: "c d"}
+    plan = texts._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if "Filter" in line]
+    assert not any("trim(" in line.replace("ltrim(", "") for line in filters), plan
+
+
+def test_bm25_runs_are_read_as_plain_characters_first(spark):
+    text = "a1\tb c,dé \x85e  f--g　\n0"
+    df = spark.createDataFrame([(text,)], "t string")
+    runs, tokens = df.select(F.regexp_extract_all("t", F.lit(T.BM25_KEEP_RE), 0), T.tokens_bm25("t")).first()
+    assert tokens == ["a1", "b", "cd", "e", "fg", "0"]
+    assert runs[0] == "a1" and "".join(runs) == "".join(c for c in text if c in "a1bcdefg0" or c.isspace())
